@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fixed
-from newsloom.functions.basics import all_matches, is_blank
+from newsloom.functions.basics import all_matches, is_blank, let
 from newsloom.functions.page import featured_image, page_images, page_metadata, page_title
 from newsloom.functions.urls import resolve_url, url_basename
 from newsloom.operators.blocks import main_content
@@ -34,42 +34,44 @@ def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("url",), **content_
     )
 
 
-_MIME = (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("jpe", "image/jpeg"), ("gif", "image/gif"), ("png", "image/png"),
-         ("bmp", "image/bmp"), ("tif", "image/tiff"), ("tiff", "image/tiff"), ("webp", "image/webp"), ("ico", "image/x-icon"))
+_MIME = {
+    "jpg": "image/jpeg", "jpeg": "image/jpeg", "jpe": "image/jpeg", "gif": "image/gif", "png": "image/png",
+    "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "ico": "image/x-icon",
+}
 
 
 def mime_type(file_name: Column) -> Column:
     """Type by file extension; null for an unknown one."""
-    extension = F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1))
-    out = None
-    for ext, mime in _MIME:
-        out = F.when(extension == ext, mime) if out is None else out.when(extension == ext, mime)
-    return out
+    known = F.create_map(*[F.lit(x) for pair in _MIME.items() for x in pair])
+    return F.try_element_at(known, F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1)))
 
 
 def image_manifest(posts: DataFrame, post_id: str = "post_id", html: str = "post_content", base: str = "url") -> DataFrame:
     """One row per usable image of a post: address, file, type, title, class mark.
 
     An image whose file name has no extension gets a name from its address.
+    The rows are made inside the post's row and laid out at the end.
     """
-    rows = posts.select(
-        post_id, F.col(base).alias("_base"),
-        F.posexplode(all_matches(html, fixed.IMG_SRC_PATTERN, 1)).alias("position", "_src"),
-    ).where(~is_blank("_src"))
-    rows = rows.withColumn("image_url", resolve_url("_src", "_base")).where(
-        F.col("image_url").rlike(r"^https?://[^/\s?#]+([/?#]\S*)?$")
-    )
-    name = url_basename("image_url")
-    made_up = F.concat(F.lit("image-"), F.md5("image_url"), F.lit(".jpg"))
-    rows = rows.withColumn("file_name", F.when(F.contains(name, F.lit(".")), name).otherwise(made_up))
-    rows = rows.withColumn("mime_type", mime_type(F.col("file_name"))).where(F.col("mime_type").isNotNull())
-    return rows.select(
-        F.md5(F.concat_ws("|", F.col(post_id).cast("string"), F.col("position").cast("string"))).alias("attachment_id"),
-        F.col(post_id).alias("post_parent"),
-        F.col("position").cast("long").alias("position"),
-        "image_url",
-        "file_name",
-        "mime_type",
-        F.regexp_replace("file_name", r"\.[^.]+$", "").alias("post_title"),
-        F.lit("inherit").alias("post_status"),
+    owner = F.col(post_id).cast("string")
+
+    def entry(src: Column, position: Column) -> Column:
+        def named(url: Column) -> Column:
+            made_up = F.concat(F.lit("image-"), F.md5(url), F.lit(".jpg"))
+            name = let(url_basename(url), lambda n: F.when(F.contains(n, F.lit(".")), n).otherwise(made_up))
+            return let(name, lambda file: F.struct(
+                F.md5(F.concat_ws("|", owner, position.cast("string"))).alias("attachment_id"),
+                position.cast("long").alias("position"),
+                url.alias("image_url"),
+                file.alias("file_name"),
+                mime_type(file).alias("mime_type"),
+                F.regexp_replace(file, r"\.[^.]+$", "").alias("post_title"),
+                F.lit("inherit").alias("post_status"),
+            ))
+
+        return F.when(~is_blank(src), let(resolve_url(src, F.col(base)), named))
+
+    images = F.filter(
+        F.transform(all_matches(html, fixed.IMG_SRC_PATTERN, 1), entry),
+        lambda i: i["mime_type"].isNotNull() & i["image_url"].rlike(r"^https?://[^/\s?#]+([/?#]\S*)?$"),
     )
+    return posts.select(F.col(post_id).alias("post_parent"), F.inline(images))

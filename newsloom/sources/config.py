@@ -44,7 +44,8 @@ def feed_config(table: DataFrame, json: str = "json", keep: tuple[str, ...] = ()
         *keep, F.posexplode(F.from_json(F.col(json), _RAW_FEED)).alias("_pos", "f")
     )
     f = F.col("f")
-    made_id = F.concat(F.lit("feed_"), F.md5(F.concat_ws("|", F.col("_pos"), F.to_json(f))))
+    raw = [F.coalesce(f[name], F.lit("")) for name in ("feed_url", "time", "quantity", "category", "post_status")]
+    made_id = F.concat(F.lit("feed_"), F.md5(F.concat_ws("|", F.col("_pos").cast("string"), *raw)))
     url = F.when(~is_blank(f["feed_url"]), trimmed(f["feed_url"]))
     quantity = F.when(f["quantity"].isNull(), F.lit(1)).otherwise(clamp_quantity(leading_int(f["quantity"])))
     return rows.where(F.coalesce(url, F.lit("")) != "").select(

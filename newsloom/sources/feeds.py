@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -208,3 +208,17 @@ def analyze_feeds(items: DataFrame, feeds: DataFrame | None = None) -> DataFrame
         url_host(url).alias("domain"),
         or_default(title, fixed.UNTITLED_FEED).alias("feed_title"),
     )
+
+
+def preview_feeds(items: DataFrame, samples: int = 5, date: str = "pub_epoch") -> DataFrame:
+    """Per feed: item count and the newest few items as an array of (url, title, date).
+
+    The samples are cut down before anything is gathered, so a feed's array
+    never holds more than ``samples`` entries.
+    """
+    order = Window.partitionBy("feed").orderBy(F.col(date).desc_nulls_last(), F.col("seq").asc())
+    few = items.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= samples)
+    entry = F.struct(F.col("_rank").alias("rank"), F.col("url"), F.col("title"), F.col("pub_date").alias("date"))
+    sample = few.groupBy("feed").agg(F.array_sort(F.collect_list(entry)).alias("sample"))
+    counts = items.groupBy("feed").agg(F.count("*").cast("long").alias("item_count"))
+    return counts.join(sample, "feed")
