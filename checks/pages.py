@@ -204,7 +204,7 @@ _TWO_BLOCKS = f"""(SELECT page_id, 'div' AS tag, 'ad' AS cls, {_AD_BYTES} AS tex
 @check("block_metrics", f"""
 SELECT page_id, tag, cls, text_bytes, p_count, CAST(0 AS BIGINT) AS link_bytes, CAST(0 AS DOUBLE) AS link_density FROM {_TWO_BLOCKS}""")
 def block_metrics(spark, folder):
-    rows = _trees(spark, folder).select("page_id", F.inline(blocks.block_metrics(F.col("nodes"))))
+    rows = _trees(spark, folder).select("page_id", F.inline(blocks.block_metrics("nodes")))
     return rows.select("page_id", "tag", "cls", "text_bytes", "p_count", "link_bytes", "link_density")
 
 
@@ -212,8 +212,8 @@ def block_metrics(spark, folder):
 SELECT page_id, tag, cls, CASE WHEN text_bytes < 100 THEN CAST(0 AS DOUBLE)
   ELSE text_bytes / 100 + p_count * 10 - CASE WHEN cls = 'ad' THEN 100 ELSE 0 END END AS score FROM {_TWO_BLOCKS}""")
 def block_score(spark, folder):
-    rows = _trees(spark, folder).select("page_id", F.explode(blocks.block_metrics(F.col("nodes"))).alias("b"))
-    return rows.select("page_id", "b.tag", "b.cls", blocks.block_score(F.col("b")).alias("score"))
+    rows = _trees(spark, folder).select("page_id", F.explode(blocks.block_metrics("nodes")).alias("b"))
+    return rows.select("page_id", "b.tag", "b.cls", blocks.block_score("b").alias("score"))
 
 
 @check("block_score_documented", f"""
@@ -224,19 +224,19 @@ FROM (SELECT t.*, CASE WHEN t.cls = 'ad' THEN 0 ELSE
     len(list_filter(regexp_split_to_array({d._DECODE.format(x=d.strip(d._INNER))}, '\\s+'), lambda w: w <> '')) END AS words
   FROM {_TWO_BLOCKS} t JOIN {d.VARIED} p ON t.page_id = p.page_id)""")
 def block_score_documented(spark, folder):
-    rows = _trees(spark, folder).select("page_id", F.explode(blocks.block_metrics(F.col("nodes"))).alias("b"))
-    return rows.select("page_id", "b.tag", "b.cls", blocks.block_score(F.col("b"), "documented").alias("score"))
+    rows = _trees(spark, folder).select("page_id", F.explode(blocks.block_metrics("nodes")).alias("b"))
+    return rows.select("page_id", "b.tag", "b.cls", blocks.block_score("b", "documented").alias("score"))
 
 
 @check("best_block", f"SELECT page_id, text_bytes, CAST(score AS DOUBLE) AS score FROM {d.BLOCKS} WHERE score > 10")
 def best_block(spark, folder):
-    rows = _trees(spark, folder).select("page_id", blocks.best_block(F.col("nodes")).alias("b")).where(F.col("b").isNotNull())
+    rows = _trees(spark, folder).select("page_id", blocks.best_block("nodes").alias("b")).where(F.col("b").isNotNull())
     return rows.select("page_id", F.col("b.text_bytes").alias("text_bytes"), (-F.col("b.minus_score")).alias("score"))
 
 
 @check("selector_block", f"SELECT page_id, CAST(0 AS BIGINT) AS rank, text_bytes FROM {d.BLOCKS} WHERE by_selector")
 def selector_block(spark, folder):
-    rows = _trees(spark, folder).select("page_id", blocks.selector_block(F.col("nodes")).alias("b")).where(F.col("b").isNotNull())
+    rows = _trees(spark, folder).select("page_id", blocks.selector_block("nodes").alias("b")).where(F.col("b").isNotNull())
     return rows.select("page_id", F.col("b.rank").cast("long").alias("rank"), F.col("b.text_bytes").alias("text_bytes"))
 
 
@@ -254,7 +254,8 @@ def clean_nodes(spark, folder):
     html = F.replace(html, F.lit("</article>"), F.lit(_JUNK[2] + "</article>"))
     tree = p.select("page_id", page_tree(html).alias("tree")).select("page_id", "tree.*")
     article = F.get(F.filter("nodes", lambda n: n["tag"] == "article"), F.lit(0))
-    return tree.select("page_id", F.md5(blocks.clean_block(F.col("markup"), F.col("nodes"), article)).alias("content_md5"))
+    tree = tree.withColumn("block", article)
+    return tree.select("page_id", F.md5(blocks.clean_block("markup", "nodes", "block")).alias("content_md5"))
 
 
 @check("page_extract", f"""

@@ -2,6 +2,8 @@
 
 All of it works on the elements of one page inside that page's row: no element
 is ever shuffled, and pages of any number spread as the scan splits them.
+The expressions are SQL text over the column that holds the element array
+(``nodes``), see ``newsloom.functions.html_tree`` for its fields.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fixed
-from newsloom.functions.basics import let
 from newsloom.functions.html_tree import page_tree
 from newsloom.functions.page import clean_attributes, jsonld_body
 
@@ -28,138 +29,125 @@ def _any_of(words: Sequence[str]) -> str:
     return "|".join("".join(c if c.isalnum() or c == "-" else "\\" + c for c in w) for w in words)
 
 
+def _listed(words: Sequence[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 # --- by selector -----------------------------------------------------------
 
-def selector_rank(node: Column) -> Column:
+def _selector_rank(node: str) -> str:
     """Position of the first selector the element satisfies; null if none."""
     cases = []
     for rank, (tag, field, test, value) in enumerate(fixed.SELECTORS):
-        hit = node["tag"] == tag
+        hit = f"{node}.tag = '{tag}'"
         if test == "contains":
-            hit = hit & F.contains(node[field], F.lit(value))
+            hit += f" AND contains({node}.{field}, '{value}')"
         elif test == "equals":
-            hit = hit & (node[field] == value)
-        cases.append(F.when(hit, F.lit(rank)))
-    return F.coalesce(*cases)
+            hit += f" AND {node}.{field} = '{value}'"
+        cases.append(f"WHEN {hit} THEN {rank}")
+    return f"CASE {' '.join(cases)} END"
 
 
-def selector_block(nodes: Column) -> Column:
+def selector_block(nodes: str = "nodes") -> Column:
     """Struct of the first container, by selector and then by place, with enough text."""
-    ranked = F.transform(
-        F.filter(nodes, lambda n: (n["text_bytes"] > fixed.SELECTOR_MIN_BYTES) & selector_rank(n).isNotNull()),
-        lambda n: F.struct(
-            selector_rank(n).alias("rank"), n["pre"].alias("pre"), n["post"].alias("post"),
-            n["start"].alias("start"), n["stop"].alias("stop"), n["text_bytes"].alias("text_bytes"),
-        ),
-    )
-    return F.array_min(ranked)
+    return F.expr(f"""
+        array_min(filter(
+            transform(
+                filter({nodes}, n -> n.text_bytes > {fixed.SELECTOR_MIN_BYTES}),
+                n -> named_struct('rank', {_selector_rank('n')}, 'pre', n.pre, 'post', n.post,
+                                  'start', n.start, 'stop', n.stop, 'text_bytes', n.text_bytes)),
+            c -> c.rank IS NOT NULL))""")
 
 
 # --- by score --------------------------------------------------------------
 
-def block_metrics(nodes: Column) -> Column:
-    """Array with the measures of every visible container."""
+def _metrics(nodes: str) -> str:
+    def inside(counter: str) -> str:
+        """The counter's growth from the element itself to its last descendant."""
+        return f"(element_at({nodes}, c.post + 1).{counter} - c.{counter})"
 
-    def measure(c: Column) -> Column:
-        def inside(counter: str) -> Column:
-            return F.element_at(nodes, c["post"] + 1)[counter] - c[counter]
-
-        return F.struct(
-            c["pre"].alias("pre"), c["post"].alias("post"), c["depth"].alias("depth"), c["tag"].alias("tag"),
-            c["cls"].alias("cls"), c["id"].alias("id"), c["start"].alias("start"), c["stop"].alias("stop"),
-            c["visible_bytes"].alias("text_bytes"), c["words"].alias("words"),
-            inside("p_run").alias("p_count"), inside("link_run").alias("link_bytes"),
-            inside("heading_run").alias("headings"), inside("image_run").alias("images"),
-            inside("list_run").alias("lists"),
-            (inside("link_run") / F.greatest(F.lit(1), c["visible_bytes"])).alias("link_density"),
-        )
+    return f"""
+        transform(
+            filter({nodes}, n -> n.tag IN ({_listed(fixed.SCORED_TAGS)}) AND NOT n.hidden),
+            c -> named_struct(
+                'pre', c.pre, 'post', c.post, 'depth', c.depth, 'tag', c.tag, 'cls', c.cls, 'id', c.id,
+                'start', c.start, 'stop', c.stop, 'text_bytes', c.visible_bytes, 'words', c.words,
+                'p_count', {inside('p_run')}, 'link_bytes', {inside('link_run')},
+                'headings', {inside('heading_run')}, 'images', {inside('image_run')}, 'lists', {inside('list_run')},
+                'link_density', {inside('link_run')} / greatest(1, c.visible_bytes)))"""
 
-    return F.transform(F.filter(nodes, lambda n: n["tag"].isin(*fixed.SCORED_TAGS) & ~n["hidden"]), measure)
 
+def block_metrics(nodes: str = "nodes") -> Column:
+    """Array with the measures of every visible container."""
+    return F.expr(_metrics(nodes))
 
-def block_score(block: Column, scoring: str = "standard") -> Column:
-    """Score of a measured container.
 
-    ``standard`` weighs text, paragraphs, links and names; ``documented`` is the
-    longer published table with headings, images, lists, depth and sparseness.
-    """
-    names = F.concat_ws(" ", block["cls"], block["id"])
-    base = block["text_bytes"] / 100 + block["p_count"] * 10
-    links = F.when(block["link_density"] > fixed.LINK_DENSITY_LIMIT, block["link_density"] * 100).otherwise(0.0)
-    bad = F.when(names.rlike(fixed.BAD_NAME), 100.0).otherwise(0.0)
-    good = names.rlike(fixed.GOOD_NAME)
+def _score(block: str, scoring: str) -> str:
+    names = f"concat_ws(' ', {block}.cls, {block}.id)"
+    base = f"{block}.text_bytes / 100 + {block}.p_count * 10"
+    links = f"IF({block}.link_density > {fixed.LINK_DENSITY_LIMIT}D, {block}.link_density * 100, 0D)"
+    good, bad = f"{names} RLIKE r'{fixed.GOOD_NAME}'", f"IF({names} RLIKE r'{fixed.BAD_NAME}', 100D, 0D)"
     if scoring == "standard":
-        total = base - links + F.when(good, 30.0).otherwise(0.0) - bad
+        total = f"{base} - {links} + IF({good}, 30D, 0D) - {bad}"
     elif scoring == "documented":
         total = (
-            base + block["headings"] * 5 + block["images"] * 2 + block["lists"] * 3 - links
-            - F.when(block["depth"] > 8, 50.0).otherwise(0.0)
-            - F.when(
-                (block["p_count"] > 0) & (block["words"] < block["p_count"] * 20), 30.0
-            ).otherwise(0.0)
-            + F.when(block["tag"].isin("article", "main"), 30.0).otherwise(0.0)
-            + F.when(good, 25.0).otherwise(0.0) - bad
+            f"{base} + {block}.headings * 5 + {block}.images * 2 + {block}.lists * 3 - {links}"
+            f" - IF({block}.depth > 8, 50D, 0D)"
+            f" - IF({block}.p_count > 0 AND {block}.words < {block}.p_count * 20, 30D, 0D)"
+            f" + IF({block}.tag IN ('article', 'main'), 30D, 0D) + IF({good}, 25D, 0D) - {bad}"
         )
     else:
         raise ValueError(f"unknown scoring: {scoring}")
-    return F.when(block["text_bytes"] < fixed.SCORE_MIN_BYTES, 0.0).otherwise(total)
+    return f"IF({block}.text_bytes < {fixed.SCORE_MIN_BYTES}, 0D, {total})"
 
 
-def best_block(nodes: Column, min_score: float = fixed.MIN_SCORE, scoring: str = "standard") -> Column:
-    """Struct of the container with the highest score (the first one on ties)."""
-    ranked = F.transform(
-        block_metrics(nodes),
-        lambda b: F.struct(
-            (-block_score(b, scoring)).alias("minus_score"), b["pre"].alias("pre"), b["post"].alias("post"),
-            b["start"].alias("start"), b["stop"].alias("stop"), b["text_bytes"].alias("text_bytes"),
-        ),
-    )
-    return F.array_min(F.filter(ranked, lambda b: -b["minus_score"] > F.lit(float(min_score))))
+def block_score(block: str = "block", scoring: str = "standard") -> Column:
+    """Score of a measured container.
 
+    ``standard`` weighs text, paragraphs, links and names; ``documented`` is the
+    longer published table with headings, images, lists, depth and sparseness.
+    """
+    return F.expr(_score(block, scoring))
 
-# --- cleaning --------------------------------------------------------------
 
-def _unwanted(node: Column, drop_hidden, extra_classes, extra_ids) -> Column:
-    return (
-        node["tag"].isin(*fixed.CLEAN_DROP_TAGS)
-        | node["id"].rlike(_any_of((*fixed.CLEAN_DROP_IDS, *extra_ids)))
-        | node["cls"].rlike(_any_of((*fixed.CLEAN_DROP_CLASSES, *extra_classes)))
-        | (drop_hidden & node["hidden"])
-    )
+def best_block(nodes: str = "nodes", min_score: float = fixed.MIN_SCORE, scoring: str = "standard") -> Column:
+    """Struct of the container with the highest score (the first one on ties)."""
+    return F.expr(f"""
+        array_min(filter(
+            transform({_metrics(nodes)},
+                b -> named_struct('minus_score', -({_score('b', scoring)}), 'pre', b.pre, 'post', b.post,
+                                  'start', b.start, 'stop', b.stop, 'text_bytes', b.text_bytes)),
+            s -> -s.minus_score > {float(min_score)}D))""")
 
 
+# --- cleaning --------------------------------------------------------------
+
 def clean_block(
-    markup: Column,
-    nodes: Column,
-    block: Column,
-    drop_hidden=False,
+    markup: str = "markup",
+    nodes: str = "nodes",
+    block: str = "block",
+    drop_hidden: str = "false",
     extra_classes: Sequence[str] = (),
     extra_ids: Sequence[str] = (),
 ) -> Column:
-    """Markup of the block without the unwanted subtrees, attributes tidied."""
-    drop_hidden = drop_hidden if isinstance(drop_hidden, Column) else F.lit(bool(drop_hidden))
-
-    def cut(b: Column) -> Column:
-        removed = F.filter(
-            nodes, lambda n: n["pre"].between(b["pre"], b["post"]) & _unwanted(n, drop_hidden, extra_classes, extra_ids)
-        )
+    """Markup of the block without the unwanted subtrees, attributes tidied.
 
-        def keep_up_to(state: Column, stop: Column) -> Column:
-            return F.concat(
-                state["kept"], F.substr(markup, state["at"] + 1, F.greatest(stop - state["at"], F.lit(0)))
-            )
-
-        return F.aggregate(
-            removed,
-            F.struct(b["start"].alias("at"), F.lit("").alias("kept")),
-            # a subtree inside one that is gone already changes nothing
-            lambda s, n: F.when(n["start"] < s["at"], s).otherwise(
-                F.struct(n["stop"].alias("at"), keep_up_to(s, n["start"]).alias("kept"))
-            ),
-            lambda s: keep_up_to(s, b["stop"]),
-        )
-
-    return clean_attributes(let(block, cut))
+    ``drop_hidden`` is a SQL condition: scripts, styles, forms and frames go too.
+    """
+    unwanted = f"""
+        n.tag IN ({_listed(fixed.CLEAN_DROP_TAGS)})
+        OR n.id RLIKE r'{_any_of((*fixed.CLEAN_DROP_IDS, *extra_ids))}'
+        OR n.cls RLIKE r'{_any_of((*fixed.CLEAN_DROP_CLASSES, *extra_classes))}'
+        OR (({drop_hidden}) AND n.hidden)"""
+    kept = "concat(s.kept, substr({markup}, s.at + 1, greatest({stop} - s.at, 0)))"
+    # a subtree inside one that is gone already starts before ``at`` and changes nothing
+    return clean_attributes(F.expr(f"""
+        aggregate(
+            filter({nodes}, n -> n.pre BETWEEN {block}.pre AND {block}.post AND ({unwanted})),
+            named_struct('at', {block}.start, 'kept', ''),
+            (s, n) -> IF(n.start < s.at, s,
+                         named_struct('at', n.stop, 'kept', {kept.format(markup=markup, stop='n.start')})),
+            s -> {kept.format(markup=markup, stop=f'{block}.stop')})"""))
 
 
 # --- the whole search ------------------------------------------------------
@@ -179,33 +167,22 @@ def main_content(
     selector gave a block.
     """
     source = F.col(html)
-    staged = pages.withColumn("_jsonld", jsonld_body(source))
-    staged = staged.withColumn("_tree", page_tree(F.when(F.col("_jsonld").isNull(), source)))
-    nodes, markup = F.col("_tree.nodes"), F.col("_tree.markup")
-    staged = staged.withColumn("_selected", selector_block(nodes))
-    staged = staged.withColumn(
-        "_scored", F.when(F.col("_selected").isNull(), best_block(nodes, min_score, scoring))
-    )
-    place = ("pre", "post", "start", "stop")
-    block = F.coalesce(
-        *[
-            F.when(F.col(c).isNotNull(), F.struct(*[F.col(c)[p].alias(p) for p in place]))
-            for c in ("_selected", "_scored")
-        ]
-    )
-    by_score = F.col("_selected").isNull()
-    cleaned = clean_block(
-        markup, nodes, F.col("_block"), by_score | F.lit(drop_scripts), extra_classes, extra_ids
-    )
+    place = "named_struct('pre', {0}.pre, 'post', {0}.post, 'start', {0}.start, 'stop', {0}.stop)"
+    block = f"""CASE WHEN _selected IS NOT NULL THEN {place.format('_selected')}
+                     WHEN _scored IS NOT NULL THEN {place.format('_scored')} END"""
+    drop_hidden = "true" if drop_scripts else "_selected IS NULL"
+    cleaned = clean_block("_tree.markup", "_tree.nodes", "_block", drop_hidden, extra_classes, extra_ids)
+    by_score = best_block("_tree.nodes", min_score, scoring)
     return (
-        staged.withColumn("_block", block)
-        .withColumn("content", F.coalesce("_jsonld", F.when(F.col("_block").isNotNull(), cleaned), F.lit("")))
-        .withColumn(
-            "origin",
-            F.when(F.col("_jsonld").isNotNull(), "jsonld")
-            .when(F.col("_selected").isNotNull(), "selector")
-            .when(F.col("_scored").isNotNull(), "score")
-            .otherwise("none"),
-        )
+        pages.withColumn("_jsonld", jsonld_body(source))
+        .withColumn("_tree", page_tree(F.when(F.col("_jsonld").isNull(), source)))
+        .withColumn("_selected", selector_block("_tree.nodes"))
+        .withColumn("_scored", F.when(F.col("_selected").isNull(), by_score))
+        .withColumn("_block", F.expr(block))
+        .withColumns({
+            "content": F.coalesce("_jsonld", F.when(F.col("_block").isNotNull(), cleaned), F.lit("")),
+            "origin": F.expr("""CASE WHEN _jsonld IS NOT NULL THEN 'jsonld' WHEN _selected IS NOT NULL THEN 'selector'
+                                     WHEN _scored IS NOT NULL THEN 'score' ELSE 'none' END"""),
+        })
         .drop("_jsonld", "_tree", "_selected", "_scored", "_block")
     )

@@ -12,26 +12,30 @@ from newsloom.functions.urls import resolve_url, url_basename
 from newsloom.operators.blocks import main_content
 
 
-def extract_pages(pages: DataFrame, keep: tuple[str, ...] = ("url",), **content_options) -> DataFrame:
-    """``keep`` columns plus success, title, content, origin, featured_image, images, metadata, error.
+FIELDS = ("success", "title", "content", "origin", "featured_image", "images", "metadata", "error")
+
+
+def extract_pages(
+    pages: DataFrame, keep: tuple[str, ...] = ("url",), fields: tuple[str, ...] = FIELDS, **content_options
+) -> DataFrame:
+    """``keep`` columns plus the wanted ``fields`` of the page record.
 
     ``pages`` brings (url, html).  A missing or empty page gives ``success=false``.
     """
     html, url = F.col("html"), F.col("url")
     fetched = ~is_blank(html)
     found = main_content(pages.select(*dict.fromkeys((*keep, "url", "html"))), **content_options)
-    no_images = F.array().cast("array<string>")
-    return found.select(
-        *keep,
-        fetched.alias("success"),
-        F.when(fetched, page_title(html, url)).otherwise("").alias("title"),
-        F.when(fetched, F.col("content")).otherwise("").alias("content"),
-        "origin",
-        F.when(fetched, featured_image(html, url)).otherwise("").alias("featured_image"),
-        F.when(fetched, page_images(html, url)).otherwise(no_images).alias("images"),
-        F.when(fetched, page_metadata(html)).otherwise(page_metadata(F.lit(""))).alias("metadata"),
-        F.when(~fetched, fixed.NO_PAGE_ERROR).alias("error"),
-    )
+    makers = {
+        "success": lambda: fetched,
+        "title": lambda: F.when(fetched, page_title(html, url)).otherwise(""),
+        "content": lambda: F.when(fetched, F.col("content")).otherwise(""),
+        "origin": lambda: F.col("origin"),
+        "featured_image": lambda: F.when(fetched, featured_image(html, url)).otherwise(""),
+        "images": lambda: F.when(fetched, page_images(html, url)).otherwise(F.array().cast("array<string>")),
+        "metadata": lambda: page_metadata(F.when(fetched, html)),
+        "error": lambda: F.when(~fetched, fixed.NO_PAGE_ERROR),
+    }
+    return found.select(*keep, *[makers[name]().alias(name) for name in fields])
 
 
 _MIME = {

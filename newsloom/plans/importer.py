@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from newsloom import fixed_values as fixed
 from newsloom.functions.basics import byte_len, is_blank, or_default, strip_all_tags, strip_tags
 from newsloom.functions.dates import moment
+from newsloom.functions.text import escape_html
 from newsloom.operators.logs import log_rows
 from newsloom.operators.selection import imported_urls, newest_per_feed, with_duplicate_flag, with_trust_flag
 from newsloom.plans.extract import extract_pages
@@ -202,8 +204,6 @@ def imported_total(post_meta: DataFrame, options: ImportOptions = ImportOptions(
 
 def credit_block(source_name: Column, url: Column) -> Column:
     """The attribution box that names and links the source."""
-    from newsloom.functions.text import escape_html
-
     style = fixed.CREDIT_STYLES
     return F.concat(
         F.lit(f'<div style="{style["box"]}"><p style="{style["head"]}">{fixed.CREDIT_LABEL}</p>'
@@ -217,13 +217,39 @@ def credit_block(source_name: Column, url: Column) -> Column:
 
 # --- the run ---------------------------------------------------------------
 
-@dataclass(frozen=True)
+@dataclass
 class ImportRun:
-    posts: DataFrame
-    post_meta: DataFrame
-    results: DataFrame
-    summary: DataFrame
-    logs: DataFrame
+    """The tables of a run, each put together when it is first asked for."""
+
+    flagged: DataFrame    # the items looked at, without their texts
+    winners: DataFrame    # the items that are posted, with what is posted
+    now: object
+    options: ImportOptions
+    feeds: DataFrame | None = None
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        return build_posts(self.winners, self.now, self.options)
+
+    @cached_property
+    def post_meta(self) -> DataFrame:
+        return build_post_meta(self.posts, self.options)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        return item_status(self.flagged, self.winners, "run_key", "run_order")
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return import_summary(self.results, self.feeds)
+
+    @cached_property
+    def totals(self) -> DataFrame:
+        return import_totals(self.results)
+
+    @cached_property
+    def logs(self) -> DataFrame:
+        return run_logs(self.results, self.now)
 
 
 _ITEM_TEXTS = ("title", "content", "description")
@@ -253,7 +279,8 @@ def choose_content(flagged: DataFrame, pages: DataFrame, options: ImportOptions)
     candidates = flagged.where(~F.col("is_duplicate") & F.col("is_trusted"))
     wanted = candidates.select(F.col("link").alias("_wanted")).distinct()
     needed = pages.join(wanted, pages["url"] == wanted["_wanted"], "left_semi")
-    extracted = extract_pages(needed, keep=("url",), **options.extraction).select(
+    fields = ("success", "content", "title", "featured_image")
+    extracted = extract_pages(needed, ("url",), fields, **options.extraction).select(
         F.col("url").alias("_url"), F.col("success").alias("_ok"), F.col("content").alias("_content"),
         F.col("title").alias("_title"), F.col("featured_image").alias("_image"),
     )
@@ -322,19 +349,9 @@ def import_run(
         winners = rework(winners)
     if "meta_description" not in winners.columns:
         winners = winners.withColumn("meta_description", F.lit(""))
-    stored = winners
     if posts_table is not None:
-        stored = posts_table(winners)
-    posts = build_posts(stored, now, options)
-    light = flagged.drop("content", "description")
-    results = item_status(light, stored, "run_key", "run_order")
-    return ImportRun(
-        posts=posts,
-        post_meta=build_post_meta(posts, options),
-        results=results,
-        summary=import_summary(results, feeds),
-        logs=run_logs(results, now),
-    )
+        winners = posts_table(winners)
+    return ImportRun(flagged.drop("content", "description"), winners, now, options, feeds)
 
 
 def daily_items(items: DataFrame, feeds: DataFrame) -> DataFrame:
