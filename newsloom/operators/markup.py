@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,17 @@ from newsloom.functions.basics import (
 
 # --- addresses and code blocks --------------------------------------------
 
+def _hash_token(kind: str) -> Callable[[Column], Column]:
+    def token(match: Column) -> Column:
+        return F.concat(F.lit(f"###{kind}_"), F.md5(match), F.lit("###"))
+
+    return token
+
+
+def _token_pairs(matches: Column, token: Callable[[Column], Column]) -> Column:
+    return F.transform(matches, lambda m: F.struct(token(m).alias("token"), m.alias("original")))
+
+
 def protect(df: DataFrame, column: str, text: str = "protected", tokens: str = "tokens") -> DataFrame:
     """Replace URLs, e-mail addresses, code and preformatted blocks by hash tokens.
 
@@ -28,15 +41,11 @@ def protect(df: DataFrame, column: str, text: str = "protected", tokens: str = "
     df = df.withColumn(text, F.col(column))
     found = []
     for step, (kind, pattern) in enumerate(fixed.PROTECTED):
-        def token(match: Column, kind: str = kind) -> Column:
-            return F.concat(F.lit(f"###{kind}_"), F.md5(match), F.lit("###"))
-
+        token = _hash_token(kind)
         name = f"_found{step}"
         df = df.withColumn(name, F.array_distinct(all_matches(F.col(text), pattern)))
         df = df.withColumn(text, replace_matches(F.col(text), pattern, token))
-        found.append(
-            F.transform(F.col(name), lambda m, t=token: F.struct(t(m).alias("token"), m.alias("original")))
-        )
+        found.append(_token_pairs(F.col(name), token))
     df = df.withColumn(tokens, F.concat(*found))
     return df.drop(*[f"_found{i}" for i in range(len(fixed.PROTECTED))])
 
@@ -72,6 +81,13 @@ def tag_tokens(value) -> Column:
 
 # --- media -----------------------------------------------------------------
 
+def _numbered_token(first: Column) -> Callable[[Column, Column], Column]:
+    def token(match: Column, i: Column) -> Column:
+        return F.concat(F.lit(" [[MEDIA_ITEM_"), (first + i).cast("string"), F.lit("]] "))
+
+    return token
+
+
 def media_placeholders(df: DataFrame, column: str, text: str = "media_text", media: str = "media") -> DataFrame:
     """Replace media by numbered placeholders, images first, and strip the other tags.
 
@@ -84,10 +100,7 @@ def media_placeholders(df: DataFrame, column: str, text: str = "media_text", med
         name = f"_media{step}"
         df = df.withColumn(name, all_matches(F.col(text), pattern))
 
-        def token(match: Column, i: Column, base: Column = count) -> Column:
-            return F.concat(F.lit(" [[MEDIA_ITEM_"), (base + i).cast("string"), F.lit("]] "))
-
-        df = df.withColumn(text, replace_matches(F.col(text), pattern, token))
+        df = df.withColumn(text, replace_matches(F.col(text), pattern, _numbered_token(count)))
         names.append(name)
         count = count + F.size(name)
     numbered = F.transform(

@@ -239,10 +239,8 @@ def translate_content(
         for name, kind in (("title", "text"), ("content", "html"), ("excerpt", "text"))
     ])
     base = docs if "excerpt" in docs.columns else docs.withColumn("excerpt", F.lit(""))
-    rows = base.select(
-        key, F.when(wanted, language).otherwise(target).alias("source_lang"), F.lit(target).alias("target_lang"),
-        F.inline(fields),
-    )
+    spoken = base.withColumn("source_lang", F.when(wanted, language).otherwise(target))
+    rows = spoken.select(key, "source_lang", F.lit(target).alias("target_lang"), F.inline(fields))
     result = translate_rows(rows, cache, now, fn)
     wide = result.values.groupBy(key).agg(*[
         F.max(F.when(F.col("field") == name, F.col("value"))).alias(f"_{name}") for name in ("title", "content", "excerpt")

@@ -1,50 +1,48 @@
-"""A translation cache as streaming state: entries go out of state when they expire."""
+"""A translation cache as streaming state: entries leave the state when they expire."""
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from newsloom.fixed_values import CACHE_TTL_DAYS
 
-OUTPUT = "key string, value string, cached_at timestamp_ntz, hit boolean"
+OUTPUT = "key string, value string, cached_at timestamp, hit boolean"
+_STATE = "value string, at timestamp"
+_TTL = pd.Timedelta(days=CACHE_TTL_DAYS)
 
 
-class CacheProcessor(StatefulProcessor):
-    """Per key: store a translation, answer later requests for as long as it is fresh.
+def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows with a ``value`` store it, rows without one ask for it.
 
-    Input rows with a ``value`` store it; rows without one ask for it.  Age is
-    measured between the rows' own times, so a replay gives the same answers.
+    Age is measured between the rows' own times, so a replay gives the same
+    answers; the processing-time timeout only frees the state.
     """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # wall-clock expiry only frees the state; the answer is decided by row time
-        self.entry = handle.getValueState("entry", "value string, at timestamp", CACHE_TTL_DAYS * 86_400_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        stored = self.entry.get() if self.entry.exists() else None
-        for batch in rows:
-            out = []
-            for row in batch.sort_values("at").itertuples(index=False):
-                if row.value is not None:
-                    stored = (row.value, row.at.to_pydatetime())
-                    continue
-                fresh = stored is not None and row.at.to_pydatetime() - stored[1] < dt.timedelta(days=CACHE_TTL_DAYS)
-                out.append((key[0], stored[0] if fresh else None, stored[1] if fresh else None, fresh))
-            yield pd.DataFrame(out, columns=["key", "value", "cached_at", "hit"])
-        if stored is not None:
-            self.entry.update(stored)
-
-    def close(self) -> None:
-        pass
+    if state.hasTimedOut:
+        state.remove()
+        return
+    value, at = state.get if state.exists else (None, None)
+    for batch in batches:
+        found = []
+        for row in batch.sort_values("at", kind="stable").itertuples(index=False):
+            if isinstance(row.value, str):
+                value, at = row.value, row.at
+                continue
+            hit = value is not None and row.at - pd.Timestamp(at) < _TTL
+            found.append((key[0], value if hit else None, pd.Timestamp(at) if hit else pd.NaT, hit))
+        yield pd.DataFrame(found, columns=["key", "value", "cached_at", "hit"]).astype(
+            {"key": object, "value": object, "cached_at": "datetime64[ns]", "hit": bool}
+        )
+    if value is not None:
+        state.update((value, pd.Timestamp(at).to_pydatetime()))
+        state.setTimeoutDuration(CACHE_TTL_DAYS * 86_400_000)
 
 
 def stream_cache(requests: DataFrame) -> DataFrame:
-    """Answers to (key, value, at) rows of a stream."""
-    return requests.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CacheProcessor(), outputStructType=OUTPUT, outputMode="append", timeMode="ProcessingTime"
+    """Answers to the (key, value, at) rows of a stream that have no value."""
+    return requests.groupBy("key").applyInPandasWithState(
+        answer, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
