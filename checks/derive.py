@@ -70,7 +70,7 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plain_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages for expressions only (nothing to deal out)."""
+    """Pages for built-in expressions only; columns are pruned into the scan."""
     return table(spark, folder, "pages")
 
 

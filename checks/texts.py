@@ -12,10 +12,11 @@ from newsloom.functions.basics import replace_tokens
 from newsloom.operators import markup as mk
 from newsloom.plans import rewrite as rw
 from newsloom.plans import translate as tr
+from newsloom.sources.pages import spread
 
 
 def _docs(spark, folder):
-    return d.table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars")
+    return spread(d.table(spark, folder, "documents").select("doc_id", "text", "lang", "n_chars"))
 
 
 def _word_list(words):
@@ -33,9 +34,8 @@ _LANGUAGE = f"""(SELECT *, CASE WHEN pt > en AND pt > 3 THEN 'pt' ELSE 'en' END
 
 @check("language_detect", f"SELECT doc_id, en, pt, language FROM {_LANGUAGE}")
 def language_detect(spark, folder):
-    return _docs(spark, folder).select(
-        "doc_id", tx.language_hits("text", fixed.ENGLISH_WORDS).alias("en"), tx.language_hits("text", fixed.PORTUGUESE_WORDS).alias("pt"),
-        tx.detect_language("text").alias("language"))
+    hits = _docs(spark, folder).select("doc_id", tx.language_hits("text").alias("hits"))
+    return hits.select("doc_id", "hits.en", "hits.pt", tx.language_of(F.col("hits")).alias("language"))
 
 
 @check("translate_needed", f"SELECT doc_id, language FROM {_LANGUAGE} WHERE language <> 'pt'")

@@ -47,7 +47,9 @@ def trimmed(value) -> Column:
 
 def strip_tags(value) -> Column:
     """Text with the tags and comments taken out."""
-    return F.regexp_replace(as_col(value), TAG, "")
+    value = as_col(value)
+    # most texts have no tag at all: looking for the bracket is far cheaper than the pattern
+    return F.when(F.contains(value, F.lit("<")), F.regexp_replace(value, TAG, "")).otherwise(value)
 
 
 def strip_all_tags(value) -> Column:

@@ -51,30 +51,35 @@ def word_count(value) -> Column:
     return F.size(all_matches(text, r"[A-Za-z'\-]+")).cast("long")
 
 
-def language_hits(value, words) -> Column:
-    """How many words of the sample are in the list.
+def language_hits(value) -> Column:
+    """Struct (en, pt): how many words of the sample are in each list.
 
-    Very short words never count, so the list is used without them.
+    Very short words never count, so the lists are used without them.
     """
-    listed = [w for w in words if len(w.encode()) >= fixed.LANGUAGE_MIN_WORD_BYTES]
+
+    def listed(words) -> list[str]:
+        return [w for w in words if len(w.encode()) >= fixed.LANGUAGE_MIN_WORD_BYTES]
+
+    def count(words: Column) -> Column:
+        return F.struct(*[
+            F.size(F.filter(words, lambda w: w.isin(known))).cast("long").alias(name)
+            for name, known in (("en", listed(fixed.ENGLISH_WORDS)), ("pt", listed(fixed.PORTUGUESE_WORDS)))
+        ])
+
     sample = F.substring(strip_tags(value), 1, fixed.LANGUAGE_SAMPLE_CHARS)
     plain = F.lower(F.regexp_replace(sample, r"[0-9\p{P}]", " "))
-    return F.size(F.filter(F.split(plain, r"\s+"), lambda w: w.isin(listed))).cast("long")
+    return let(F.split(plain, r"\s+"), count)
+
+
+def language_of(hits: Column) -> Column:
+    """``pt`` when Portuguese words clearly lead, otherwise ``en``."""
+    leads = (hits["pt"] > hits["en"]) & (hits["pt"] > fixed.LANGUAGE_MIN_HITS)
+    return F.when(leads, F.lit("pt")).otherwise(F.lit("en"))
 
 
 def detect_language(value) -> Column:
-    """``pt`` when Portuguese words clearly lead, otherwise ``en``; null text is ``en``."""
-    counts = F.struct(
-        language_hits(value, fixed.ENGLISH_WORDS).alias("en"),
-        language_hits(value, fixed.PORTUGUESE_WORDS).alias("pt"),
-    )
-    verdict = let(
-        counts,
-        lambda n: F.when(
-            (n["pt"] > n["en"]) & (n["pt"] > fixed.LANGUAGE_MIN_HITS), F.lit("pt")
-        ).otherwise(F.lit("en")),
-    )
-    return F.coalesce(F.when(as_col(value).isNotNull(), verdict), F.lit("en"))
+    """The language of a text; null text is ``en``."""
+    return F.coalesce(let(language_hits(value), language_of), F.lit("en"))
 
 
 def paragraphs_to_html(value) -> Column:

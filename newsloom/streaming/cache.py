@@ -46,3 +46,22 @@ def stream_cache(requests: DataFrame) -> DataFrame:
     return requests.groupBy("key").applyInPandasWithState(
         answer, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
+
+
+def answer_available(requests: DataFrame, path: str, progress: str):
+    """Answer all input there is and stop; answers are appended to ``path``.
+
+    Expiry by clock makes Spark run empty batches for ever, which a query that
+    should stop must not do.
+    """
+    spark = requests.sparkSession
+    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")
+    try:
+        return (
+            stream_cache(requests).writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", progress).trigger(availableNow=True).start()
+        )
+    finally:
+        spark.conf.set(setting, before)
