@@ -317,11 +317,6 @@ def rewrite_apply(spark, folder):
     return rw.apply_rewrite(rows).select("doc_id", "title", F.md5("content").alias("content_md5"), "meta_description")
 
 
-def _offline_rewriter(prompts: list[str]) -> list[str | None]:
-    """A stand-in model: answers with the number of characters of the prompt; none for some."""
-    return [None if len(p) % 5 == 0 else '{"title":"R%d","meta_description":"M","content":"<p>%d</p>"}' % (len(p), len(p)) for p in prompts]
-
-
 @check("rewrite_run", f"""
 SELECT doc_id, CASE WHEN words < 30 THEN '{fixed.REWRITE_SHORT_ERROR}' WHEN n % 5 = 0 THEN '{fixed.REWRITE_EMPTY_ERROR}' ELSE '' END AS rewrite_error,
   CASE WHEN words < 30 OR n % 5 = 0 THEN 'Doc ' || doc_id ELSE 'R' || n END AS title
@@ -329,4 +324,4 @@ FROM (SELECT doc_id, words, length({_prompt_sql().replace("CASE WHEN lang = 'de'
   FROM (SELECT doc_id, text, {d.words('text')} AS words FROM (SELECT doc_id, {d.strip_all('text')} AS text FROM documents)))""")
 def rewrite_run(spark, folder):
     docs = _docs(spark, folder).select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
-    return rw.rewrite_documents(docs, _offline_rewriter, key="doc_id").select("doc_id", "rewrite_error", "title")
+    return rw.rewrite_documents(docs, rw.offline_rewrite, key="doc_id").select("doc_id", "rewrite_error", "title")

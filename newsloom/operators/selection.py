@@ -123,8 +123,9 @@ def with_trust_flag(items: DataFrame, sources: DataFrame, link: str = "link", ma
         pattern = f"(?:{words})" if match == "contains" else rf"(?:^|\.)(?:{words})$"
         return items.withColumn("is_trusted", F.coalesce(host.rlike(pattern), F.lit(False)))
     lengths = domains.agg(F.collect_set(F.length("domain"))).scalar()   # at most one entry per length, 253 in all
-    hosts = items.select(host.alias("_host")).where(F.col("_host").isNotNull()).distinct()
-    parts = hosts.select("_host", F.explode(F.array_distinct(_candidate_parts(F.col("_host"), lengths, match))).alias("_part"))
+    hosts = items.select(host.alias("_host")).where(F.col("_host").isNotNull()).distinct().withColumn("_lengths", lengths)
+    candidates = F.array_distinct(_candidate_parts(F.col("_host"), F.col("_lengths"), match))
+    parts = hosts.select("_host", F.explode(candidates).alias("_part"))
     trusted = parts.join(domains, parts["_part"] == domains["domain"], "left_semi").select("_host").distinct()
     return (
         items.withColumn("_item_host", host)
