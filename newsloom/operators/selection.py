@@ -12,39 +12,32 @@ from newsloom.functions.urls import bare_host
 
 # A source list up to this size is tested inside each row; a longer one is joined.
 INLINE_SOURCES = 500
-# Up to this N the top-N filter is cut down on the map side by the optimizer.
-_GROUP_LIMIT = 1000
 
 
 def newest_per_feed(
-    items: DataFrame, quantity: int | str, feed: str = "feed", date: str = "pub_epoch", seq: str = "seq"
+    items: DataFrame, quantity: int | str, max_quantity: int | None = None,
+    feed: str = "feed", date: str = "pub_epoch", seq: str = "seq",
 ) -> DataFrame:
     """The newest ``quantity`` items of each feed; 0 keeps all of them.
 
     ``quantity`` is a number or the name of a column that is constant per feed.
     Every map task first keeps only its own newest items of each feed (Spark's
     window group limit), so a feed with most of the rows sends few of them on.
+    For a column Spark needs to know a bound for that: ``max_quantity`` says
+    that the column lies in 1..max_quantity, as schedules always do.
     """
     order = Window.partitionBy(feed).orderBy(F.col(date).desc_nulls_last(), F.col(seq).asc())
+    rank = F.row_number().over(order)
     if isinstance(quantity, int):
         if quantity <= 0:
             return items
-        return items.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= quantity).drop("_rank")
+        return items.withColumn("_rank", rank).where(F.col("_rank") <= quantity).drop("_rank")
+    if max_quantity is not None:
+        ranked = items.withColumn("_rank", rank).where(F.col("_rank") <= max_quantity)
+        return ranked.where(F.col("_rank") <= F.col(quantity)).drop("_rank")
     limit = F.coalesce(F.col(quantity), F.lit(0))
-    ranked = (
-        items.where(limit.between(1, _GROUP_LIMIT))
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= _GROUP_LIMIT)      # the constant bound is what Spark pushes to the map side
-        .where(F.col("_rank") <= F.col(quantity))
-        .drop("_rank")
-    )
-    larger = (
-        items.where(limit > _GROUP_LIMIT)
-        .withColumn("_rank", F.row_number().over(order))
-        .where(F.col("_rank") <= F.col(quantity))
-        .drop("_rank")
-    )
-    return ranked.unionByName(larger).unionByName(items.where(limit <= 0))
+    some = items.where(limit > 0).withColumn("_rank", rank).where(F.col("_rank") <= F.col(quantity)).drop("_rank")
+    return some.unionByName(items.where(limit <= 0))
 
 
 def imported_urls(post_meta: DataFrame, url_key: str) -> DataFrame:
@@ -56,6 +49,17 @@ def imported_urls(post_meta: DataFrame, url_key: str) -> DataFrame:
     )
 
 
+def imported_among(post_meta: DataFrame, items: DataFrame, url_key: str, link: str = "link") -> DataFrame:
+    """Those of the items' addresses that are already imported, each once.
+
+    The history only grows while a run looks at few items: their addresses go to
+    the history (broadcast when small), not the whole history through a shuffle.
+    """
+    asked = items.select(F.col(link).alias("_asked")).distinct()
+    history = post_meta.where(F.col("meta_key") == url_key).select(F.col("meta_value").alias("url"))
+    return history.join(asked, F.col("url") == F.col("_asked"), "left_semi").distinct()
+
+
 def new_items(items: DataFrame, seen: DataFrame, link: str = "link") -> DataFrame:
     """Items whose address is not among ``seen(url)``."""
     return items.join(seen, items[link] == seen["url"], "left_anti")

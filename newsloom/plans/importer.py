@@ -26,14 +26,16 @@ from newsloom.functions.basics import byte_len, is_blank, or_default, strip_all_
 from newsloom.functions.dates import moment
 from newsloom.functions.text import escape_html
 from newsloom.operators.logs import log_rows
-from newsloom.operators.selection import imported_urls, newest_per_feed, with_duplicate_flag, with_trust_flag
+from newsloom.operators.selection import imported_among, newest_per_feed, with_duplicate_flag, with_trust_flag
 from newsloom.plans.extract import extract_pages
+from newsloom.session import stage
 
 
 @dataclass(frozen=True)
 class ImportOptions:
     mode: str = "normal"              # "force" imports an address again
     quantity: int | str = 5           # a number, or the item column that holds it
+    max_quantity: int | None = None   # bound of that column, where it has one
     translate: bool = False
     set_featured: bool = True
     post_status: str = "draft"
@@ -48,7 +50,7 @@ class ImportOptions:
         return self.meta_prefix + name
 
 
-DAILY = ImportOptions(post_status="publish", quantity="quantity")
+DAILY = ImportOptions(post_status="publish", quantity="quantity", max_quantity=fixed.QUANTITY_MAX)
 OPTION_DEFAULTS = {
     "mode": "normal", "translate": False, "download_images": True, "set_featured": True,
     "post_status": "draft", "feed_url": "",
@@ -256,29 +258,36 @@ _ITEM_TEXTS = ("title", "content", "description")
 
 
 def flag_items(items: DataFrame, post_meta: DataFrame, sources: DataFrame, options: ImportOptions) -> DataFrame:
-    """The items a run looks at, with duplicate and trust flags, run order and in-run key."""
+    """The items a run looks at, with duplicate and trust flags, run order and in-run key.
+
+    The few items that are left after newest-per-feed are written out, and again
+    with their flags: the item table and the history are each read once, and from
+    here on the planner knows the real sizes when it picks a join.
+    """
     defaults = {"feed_pos": F.lit(1), "feed_title": F.lit(""), "content": F.lit(""), "description": F.lit("")}
     for name, value in defaults.items():
         if name not in items.columns:
             items = items.withColumn(name, value)
     items = items.withColumn("link", F.coalesce("link", F.lit("")))
-    looked_at = newest_per_feed(items, options.quantity)
+    looked_at = stage(newest_per_feed(items, options.quantity, options.max_quantity), "looked-at")
     if options.mode == "normal":
-        seen = imported_urls(post_meta, options.meta_key("original_url"))
+        seen = imported_among(post_meta, looked_at, options.meta_key("original_url"))
         looked_at = with_duplicate_flag(looked_at, seen)
         key = F.col("link")
     else:
         looked_at = looked_at.withColumn("is_duplicate", F.lit(False))
         key = F.concat_ws("|", "feed", F.col("seq").cast("string"), "link")
     flagged = with_trust_flag(looked_at, sources, match=options.trust_match)
-    return flagged.withColumn("run_key", key).withColumn("run_order", run_order())
+    return stage(flagged.withColumn("run_key", key).withColumn("run_order", run_order()), "flagged")
 
 
 def choose_content(flagged: DataFrame, pages: DataFrame, options: ImportOptions) -> DataFrame:
     """Candidates that have content, with the content that will be posted."""
     candidates = flagged.where(~F.col("is_duplicate") & F.col("is_trusted"))
-    wanted = candidates.select(F.col("link").alias("_wanted")).distinct()
-    needed = pages.join(wanted, pages["url"] == wanted["_wanted"], "left_semi")
+    # by 8-byte hash, so that very many addresses still fit a broadcast and no page text
+    # is shuffled to be thrown away; a chance match is dropped by the exact join below
+    wanted = candidates.select(F.xxhash64("link").alias("_wanted")).distinct()
+    needed = pages.join(wanted, F.xxhash64(pages["url"]) == wanted["_wanted"], "left_semi")
     fields = ("success", "content", "title", "featured_image")
     extracted = extract_pages(needed, ("url",), fields, **options.extraction).select(
         F.col("url").alias("_url"), F.col("success").alias("_ok"), F.col("content").alias("_content"),

@@ -18,6 +18,12 @@ SETTINGS = {
     # a hot key's partition is split even where that costs one more shuffle later
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a side is broadcast only when its known or estimated size is below this; larger ones are shuffled
+    "spark.sql.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # files are compressed: judge a table's size by what it unpacks to
+    "spark.sql.sources.fileCompressionFactor": "4.0",
+    # newest-N-per-feed filters are cut down before the shuffle up to this N
+    "spark.sql.optimizer.windowGroupLimitThreshold": "100000",
     # pages are large rows: bound the Arrow batches by bytes as well as by rows
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),

@@ -101,14 +101,22 @@ def test_stored_posts_give_the_same_tables(spark, world):
     assert "ArrowEvalPython" not in stored.results._jdf.queryExecution().executedPlan().toString()
 
 
-def test_plan_order(spark, world):
-    """Duplicates go by an anti or outer join before any page is parsed; top-N is cut on the map side."""
-    out = run(spark, world, im.ImportOptions(quantity=5))
-    plan = out.posts._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("ArrowEvalPython") == 1 and "WindowGroupLimit" in plan and "LeftSemi" in plan
-    parse = plan.index("ArrowEvalPython")
-    assert "LeftSemi" in plan[parse:]            # deeper in the tree, that is, earlier in the run
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plan_shapes(spark, world):
+    """Pages are narrowed to wanted addresses before they are parsed; top-N is cut on the map side."""
+    plan = plan_of(run(spark, world, im.ImportOptions(quantity=5)).posts)
+    assert plan.count("ArrowEvalPython") == 1
+    assert "LeftSemi" in plan[plan.index("ArrowEvalPython"):]     # deeper in the tree, that is, earlier in the run
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    items = make(world["items"], spark)
+    assert plan_of(sel.newest_per_feed(items, 5)).count("WindowGroupLimit") == 2      # partial and final
+    with_column = items.withColumn("quantity", F.lit(3))
+    assert plan_of(sel.newest_per_feed(with_column, "quantity", 20)).count("WindowGroupLimit") == 2
+    seen = sel.imported_urls(spark.createDataFrame(world["meta"], META), "_newsloom_original_url")
+    assert "LeftAnti" in plan_of(sel.new_items(items, seen)) and "LeftSemi" in plan_of(sel.skipped_items(items, seen))
 
 
 def test_top_n(spark):
@@ -118,6 +126,7 @@ def test_top_n(spark):
     assert by_column == [("a", i) for i in range(10)] + [("b", 0), ("b", 1), ("b", 2)] + [("c", i) for i in range(4)]
     assert sorted(r.seq for r in sel.newest_per_feed(rows.where("feed = 'a'"), 3).collect()) == [6, 8, 9]
     assert sel.newest_per_feed(rows, 0).count() == rows.count()
+    assert sorted((r.feed, r.seq) for r in sel.newest_per_feed(rows.where("feed = 'b'"), "quantity", 20).collect()) == [("b", 0), ("b", 1), ("b", 2)]
 
 
 HOSTS = ["https://bbc.com/x", "http://www.bbc.com/y", "https://notBBC.com/", "https://news.bbc.com.evil.example/1", "https://other.example/", "nohost", None]
