@@ -86,7 +86,6 @@ NO_CONTENT_ERROR = "Conteúdo não encontrado"
 UNKNOWN_UPDATE = "Desconhecido"
 UNTITLED_FEED = "Feed sem título"
 SEO_DESCRIPTION_KEYS = ("_yoast_wpseo_metadesc", "rank_math_description", "_seopress_titles_desc")
-AUTO_TAGS = ("Importado", "Feed RSS")
 CREDIT_LABEL = "Artigo Original:"
 CREDIT_STYLES = {
     "box": "border-left: 4px solid #007cba; padding: 15px; background-color: #f5f5f5; margin-bottom: 20px;",

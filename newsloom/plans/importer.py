@@ -257,7 +257,13 @@ class ImportRun:
 _ITEM_TEXTS = ("title", "content", "description")
 
 
-def flag_items(items: DataFrame, post_meta: DataFrame, sources: DataFrame, options: ImportOptions) -> DataFrame:
+# stores a table under a name and returns the stored table
+Store = Callable[[DataFrame, str], DataFrame]
+
+
+def flag_items(
+    items: DataFrame, post_meta: DataFrame, sources: DataFrame, options: ImportOptions, store: Store = stage
+) -> DataFrame:
     """The items a run looks at, with duplicate and trust flags, run order and in-run key.
 
     The few items that are left after newest-per-feed are written out, and again
@@ -269,7 +275,7 @@ def flag_items(items: DataFrame, post_meta: DataFrame, sources: DataFrame, optio
         if name not in items.columns:
             items = items.withColumn(name, value)
     items = items.withColumn("link", F.coalesce("link", F.lit("")))
-    looked_at = stage(newest_per_feed(items, options.quantity, options.max_quantity), "looked-at")
+    looked_at = store(newest_per_feed(items, options.quantity, options.max_quantity), "looked-at")
     if options.mode == "normal":
         seen = imported_among(post_meta, looked_at, options.meta_key("original_url"))
         looked_at = with_duplicate_flag(looked_at, seen)
@@ -278,7 +284,7 @@ def flag_items(items: DataFrame, post_meta: DataFrame, sources: DataFrame, optio
         looked_at = looked_at.withColumn("is_duplicate", F.lit(False))
         key = F.concat_ws("|", "feed", F.col("seq").cast("string"), "link")
     flagged = with_trust_flag(looked_at, sources, match=options.trust_match)
-    return stage(flagged.withColumn("run_key", key).withColumn("run_order", run_order()), "flagged")
+    return store(flagged.withColumn("run_key", key).withColumn("run_order", run_order()), "flagged")
 
 
 def choose_content(flagged: DataFrame, pages: DataFrame, options: ImportOptions) -> DataFrame:
@@ -343,6 +349,7 @@ def import_run(
     feeds: DataFrame | None = None,
     rework: Callable[[DataFrame], DataFrame] | None = None,
     posts_table: Callable[[DataFrame], DataFrame] | None = None,
+    store: Store = stage,
 ) -> ImportRun:
     """The tables of one run.
 
@@ -351,8 +358,9 @@ def import_run(
     translate.  ``rework`` rewrites or translates the rows that will be posted.
     ``posts_table`` stores the posts and returns the stored table; with it the
     other outputs read that table, so pages are parsed only once per run.
+    ``store`` keeps the small tables between the steps.
     """
-    flagged = flag_items(items, post_meta, sources, options)
+    flagged = flag_items(items, post_meta, sources, options, store)
     winners = run_winners(flagged, pages, options)
     if rework is not None:
         winners = rework(winners)

@@ -16,7 +16,7 @@ from newsloom.functions.basics import is_blank, or_default, strip_all_tags, trim
 from newsloom.functions.text import word_count
 from newsloom.operators.markup import media_placeholders, restore_media
 from newsloom.plans.translate import TranslateFn, offline_translate, translate_content
-from newsloom.session import stage
+from newsloom.session import spread_for_calls, stage
 
 # prompts -> raw answers; an exception or None marks a failed call
 RewriteFn = Callable[[list[str]], list[str | None]]
@@ -160,7 +160,8 @@ def call_rewriter(prompts: DataFrame, fn: RewriteFn) -> DataFrame:
                         error.append(str(problem))
             yield pd.DataFrame({"row_key": batch["row_key"].tolist(), "raw": raw, "call_error": error}, dtype=object)
 
-    return prompts.select("row_key", "prompt").mapInPandas(run, "row_key string, raw string, call_error string")
+    calls = spread_for_calls(prompts.select("row_key", "prompt"), "row_key")
+    return calls.mapInPandas(run, "row_key string, raw string, call_error string")
 
 
 def rewrite_documents(

@@ -27,7 +27,7 @@ from newsloom.operators.markup import (
     tags_to_tokens,
     text_chunks,
 )
-from newsloom.session import stage
+from newsloom.session import spread_for_calls, stage
 
 # (texts, source language, target language) -> translations, None where it failed
 TranslateFn = Callable[[list[str], str, str], list[str | None]]
@@ -106,7 +106,8 @@ def call_service(pending: DataFrame, fn: TranslateFn) -> DataFrame:
                 yield part.assign(value=pd.Series(fn(part["text"].tolist(), source, target), index=part.index, dtype=object))
 
     columns = "key string, text string, source_lang string, target_lang string"
-    return pending.select("key", "text", "source_lang", "target_lang").mapInPandas(run, f"{columns}, value string")
+    calls = spread_for_calls(pending.select("key", "text", "source_lang", "target_lang"), "key")
+    return calls.mapInPandas(run, f"{columns}, value string")
 
 
 # --- units -----------------------------------------------------------------

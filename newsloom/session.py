@@ -89,6 +89,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where several outputs hang on one expensive input: the Python work is
     done once, and a lost executor costs a re-read instead of a re-parse.
     """
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    return write_and_read(df, fresh_dir(df.sparkSession, name))
+
+
+def write_and_read(df: DataFrame, path: str) -> DataFrame:
+    """Store ``df`` at ``path``, replacing what was there, and return the stored table."""
+    df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_for_calls(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out over the shuffle partitions for a slow per-row function.
+
+    An explicit number keeps adaptive execution from folding few but costly
+    rows into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.plans.importer import ImportOptions, import_run
+from newsloom.session import write_and_read
 
 POSTS_SCHEMA = (
     "post_id string, post_title string, post_content string, post_status string, post_author long, post_type string, "
@@ -65,12 +66,14 @@ def import_batch(
         spark = items.sparkSession
         before = tables.read(spark, "post_meta").where(F.col("batch_id") < batch_id).drop("batch_id")
 
-        def keep(winners: DataFrame) -> DataFrame:
-            path = f"{tables.path('winners')}/batch_id={batch_id}"
-            winners.write.mode("overwrite").parquet(path)
-            return spark.read.schema(winners.schema).parquet(path)
+        def store(df: DataFrame, name: str) -> DataFrame:
+            # one place per name: a batch starts when the one before it is done with it
+            return write_and_read(df, f"{tables.path('_work')}/{name}")
 
-        out = import_run(items, pages, before, sources, now_of(batch_id), options, rework=rework, posts_table=keep)
+        out = import_run(
+            items, pages, before, sources, now_of(batch_id), options, rework=rework,
+            posts_table=lambda winners: store(winners, "winners"), store=store,
+        )
         _write_batch(out.posts, tables.path("posts"), batch_id)
         _write_batch(out.results.select("feed", "seq", "link", "status", "reason"), tables.path("results"), batch_id)
         # last, because from here on the addresses count as imported
