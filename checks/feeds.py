@@ -10,15 +10,10 @@ from newsloom.functions.dates import feed_date, next_daily_run
 from newsloom.functions.text import escape_html
 from newsloom.functions.urls import url_host
 from newsloom.operators import schedule
-from newsloom.operators.selection import newest_per_feed
 from newsloom.sources import config
 from newsloom.sources import feeds as fd
 
 
-def _text(value) -> F.col:
-    return escape_html(value)
-
-
 def _epoch(df):
     return df.withColumn("at", F.timestamp_seconds(F.lit(1704067200) + (F.col("page_id") * 7919) % 2592000))
 
@@ -26,7 +21,7 @@ def _epoch(df):
 def documents(df):
     """One small feed document per page: RSS for https, Atom for http with a fragment or html name, RDF else."""
     df = _epoch(df).withColumn("t", F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    pid, title, link = F.col("page_id").cast("string"), _text(F.col("t")), _text(F.col("url"))
+    pid, title, link = F.col("page_id").cast("string"), escape_html(F.col("t")), escape_html(F.col("url"))
     kind = F.when(F.col("url").startswith("https://"), "rss").when(F.contains("url", F.lit("/en/")), "atom").otherwise("rdf")
     rss = F.concat(
         F.lit('<?xml version="1.0"?><rss version="2.0" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns:media="http://search.yahoo.com/mrss/" '

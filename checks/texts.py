@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from checks import derive as d
@@ -261,8 +263,6 @@ def rewrite_targets(spark, folder):
 
 
 def _prompt_sql() -> str:
-    import re
-
     rule = fixed.LANGUAGE_RULE.replace("{language}", "inglês")
     slots = {
         "tone": f"CASE WHEN lang = 'de' THEN '{fixed.TONES['institucional']}' ELSE '{fixed.TONES['jornalistico']}' END",

@@ -1,7 +1,6 @@
 """Tree, block choice, cleaning and the page record, on hand-made pages."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from newsloom.functions import page as pg
 from newsloom.functions.html_tree import NODE_FIELDS, encode_page
