@@ -214,15 +214,23 @@ def html_sections(spark, folder):
 
 # --- translation runs -------------------------------------------------------------
 
-@check("translate_text", """
-SELECT doc_id, CASE WHEN lang = 'de' OR text IN ('', '0') THEN md5(text) ELSE md5('[de] ' || text) END AS value_md5 FROM documents WHERE strlen(text) <= 30000
-UNION ALL SELECT doc_id, NULL FROM documents WHERE strlen(text) > 30000""")
+_LONG = "(SELECT doc_id, text FROM documents WHERE strlen(text) > 30000 AND lang <> 'de')"
+
+
+@check("translate_text", f"""
+WITH RECURSIVE parts AS MATERIALIZED (SELECT * FROM {_PARTS.replace('{docs}', _LONG)}),
+packed AS (SELECT doc_id, i, part, CAST(0 AS BIGINT) AS chunk, n AS size FROM parts WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, p.part, CASE WHEN q.size + p.n > 10000 THEN q.chunk + 1 ELSE q.chunk END,
+    CASE WHEN q.size + p.n > 10000 THEN p.n ELSE q.size + 2 + p.n END FROM packed q JOIN parts p ON p.doc_id = q.doc_id AND p.i = q.i + 1),
+chunks AS (SELECT doc_id, chunk, '[de] ' || string_agg(part, chr(10) || chr(10) ORDER BY i) AS done FROM packed GROUP BY doc_id, chunk)
+SELECT doc_id, CASE WHEN lang = 'de' OR text IN ('', '0') THEN md5(text) ELSE md5('[de] ' || text) END AS value_md5
+  FROM documents WHERE strlen(text) <= 30000 OR lang = 'de'
+UNION ALL SELECT doc_id, md5(string_agg(done, chr(10) || chr(10) ORDER BY chunk)) FROM chunks GROUP BY doc_id""")
 def translate_text(spark, folder):
     """Whole documents; German ones are in the target language already, very long ones go in chunks."""
     rows = _docs(spark, folder).select("doc_id", F.lit("text").alias("kind"), "text", F.col("lang").alias("source_lang"), F.lit("de").alias("target_lang"))
     out = tr.translate_rows(rows, d.cache(spark, folder), d.NOW)
-    long = F.octet_length("text") > 30000
-    return out.values.select("doc_id", F.when(~long, F.md5("value")).alias("value_md5"))
+    return out.values.select("doc_id", F.md5("value").alias("value_md5"))
 
 
 _ART = r"""regexp_extract(html, '(?is)<article>(.*?)</article>', 1)"""
