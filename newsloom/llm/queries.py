@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from newsloom.llm import simhash
+from newsloom.llm import quality, simhash
 from newsloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,3 +22,10 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and verdict of every document."""
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *(f"_quality.{c}" for c in quality.COUNTS), "_quality.base_failed", "_quality.kept")
