@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,12 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of words as a long; 0 for null."""
-    pieces = F.split(text, BLANKS)
-    edge = F.when(F.element_at(pieces, 1) == "", 1).otherwise(0) + F.when(F.element_at(pieces, -1) == "", 1).otherwise(0)
-    return F.coalesce(F.when(F.length(F.regexp_replace(text, BLANKS, "")) == 0, 0).otherwise(F.size(pieces) - edge), F.lit(0)).cast("long")
+    return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
