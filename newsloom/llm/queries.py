@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing, quality, shards, simhash
+from newsloom.llm import mixing, packing, pii, quality, shards, simhash
 from newsloom.llm.common import table
 from newsloom.session import stage
 
@@ -47,3 +47,19 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shards.assign(table(spark, sf_dir, "documents"))
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    light = found.select("doc_id", "_pii.base", "_pii.spans")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return light.select("doc_id", *(count(k).alias(f"n_{k}") for k in pii.KINDS), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bin and place of every piece of every document."""
+    return packing.packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
