@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing, packing, pii, quality, shards, simhash
+from newsloom.llm import licenses, mixing, packing, pii, quality, shards, simhash, urlfilter
 from newsloom.llm.common import table
 from newsloom.session import stage
 
@@ -63,3 +63,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bin and place of every piece of every document."""
     return packing.packed(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document: its own, or that of the nearest directory above it.
+
+    Documents have no paths; they are filed by source, language and the leading digits of their id.
+    """
+    docs = table(spark, sf_dir, "documents")
+    place = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.floor(F.col("doc_id") / 1000), F.floor(F.col("doc_id") / 100), "doc_id")
+    return licenses.scan(docs.select("doc_id", place.alias("path"), "text")).select("doc_id", "path", "license", "via", "license_line")
+
+
+@query
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+    return judged.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict")
