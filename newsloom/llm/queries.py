@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import licenses, mixing, packing, pii, quality, shards, simhash, urlfilter
+from newsloom.llm import licenses, linededup, mixing, packing, pii, quality, shards, simhash, urlfilter
 from newsloom.llm.common import table
 from newsloom.session import stage
 
@@ -81,3 +81,11 @@ def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     judged = urlfilter.judge(table(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
     return judged.select("page_id", "_url.host", "_url.path", "_url.rule", "_url.verdict")
+
+
+@query
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines before, lines removed and what is left, for every document."""
+    left = linededup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", F.col("_lines.before").alias("n_lines"), F.col("_lines.removed").alias("n_removed"), F.octet_length("text").cast("long").alias("left_bytes"),
+                       F.crc32(F.col("text").cast("binary")).alias("left_crc32"))
