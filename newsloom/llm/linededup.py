@@ -65,7 +65,7 @@ def ordered(token: Column, classes: Column) -> Column:
     """The token as a number that sorts by rarity class first."""
     bucket = token.bitwiseAND(F.lit(BUCKETS - 1))
     word = F.element_at(classes, (F.shiftright(bucket, 4) + 1).cast("int"))
-    nibble = sum((F.getbit(word, (4 * bucket.bitwiseAND(F.lit(15)) + k).cast("int")).cast("long") * (1 << k) for k in range(4)), F.lit(0).cast("long"))
+    nibble = F.call_function("shiftrightunsigned", word, (4 * bucket.bitwiseAND(F.lit(15))).cast("int")).bitwiseAND(F.lit(15))
     return F.shiftleft(nibble, 59).bitwiseOR(F.shiftrightunsigned(token, 5))
 
 

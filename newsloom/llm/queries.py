@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import licenses, linededup, mixing, packing, pii, quality, shards, simhash, urlfilter
+from newsloom.llm import licenses, linededup, mixing, packing, pii, quality, search, shards, simhash, urlfilter
 from newsloom.llm.common import table
 from newsloom.session import stage
 
@@ -89,3 +89,10 @@ def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = linededup.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", F.col("_lines.before").alias("n_lines"), F.col("_lines.removed").alias("n_removed"), F.octet_length("text").cast("long").alias("left_bytes"),
                        F.crc32(F.col("text").cast("binary")).alias("left_crc32"))
+
+
+@query
+def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 100."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs.filter("doc_id % 100 = 0"), docs).withColumn("score", F.round("score", 6))
