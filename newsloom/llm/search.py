@@ -3,8 +3,9 @@
 Scores use global statistics: number of documents (null and empty texts count), mean length and document
 frequencies of the query terms over all documents, so a document's score does not depend on its shard.  Each
 scan task is a shard: it indexes its documents in pieces, in blocks of ``BLOCK`` documents that use the same
-common words; a query adds up its terms' largest impacts per block, looks at the most promising blocks first,
-and skips every block whose bound is below the k-th best score so far.  Skipping never changes a result.
+common words.  Terms of an eighth of the documents or more are scored for many queries at once, as a matrix
+product; to that a query adds its other terms' largest impacts per block, looks at the most promising blocks
+first, and skips every block whose bound is below the k-th best score so far.  Skipping never changes a result.
 
 Terms are the words as written in lower case (A-Z only); a term counts as often as the query repeats it.  Ties
 go to the smaller document id, documents without an id last.  Queries without words find nothing, and
@@ -13,6 +14,7 @@ documents that share no term with a query are not found by it.  Queries are take
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -28,6 +30,7 @@ from newsloom.session import ship_package, stage
 K1, B = 1.2, 0.75
 BLOCK = 64
 PIECE_DOCS, PIECE_WORDS = 8192, 3_000_000
+GROUP = 256  # queries scored together on the frequent terms
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -46,7 +49,7 @@ class Queries:
     def numbers(self, text: str | None) -> tuple[np.ndarray, int]:
         """The vocabulary numbers of a text's words, and its length in words."""
         found = terms(text)
-        at = np.fromiter((self.vocabulary.get(w, -1) for w in found), np.int64, len(found))
+        at = np.fromiter(map(self.vocabulary.get, found, itertools.repeat(-1)), np.int64, len(found))
         return at[at >= 0], len(found)
 
 
@@ -89,31 +92,43 @@ class Piece:
         which = np.repeat(np.arange(len(chosen)), count)
         return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count), which
 
-    def search(self, chosen: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Documents (places) with a positive score that may be among the k best, and their scores."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """The terms that an eighth of the documents or more have, and their impacts on all documents."""
+        count = np.diff(self.start)
+        frequent = np.flatnonzero((count > 0) & (count * 8 >= self.size))
+        rows = np.zeros((len(frequent), self.size))
+        for row, t in zip(rows, frequent, strict=True):
+            row[self.doc[self.start[t]:self.start[t + 1]]] = self.impact[self.start[t]:self.start[t + 1]]
+        return frequent, rows
+
+    def search(self, base: np.ndarray, chosen: np.ndarray, weights: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """Documents (places) with a positive score that may be among the k best, and their scores.
+
+        ``base``: the scores so far, from terms that are not among ``chosen``.  A block's bound is its best base
+        score and the largest impacts of the other terms; a document's base is a bound from below.
+        """
         at, which = self.gather(self.top_start, chosen)
-        bound = np.bincount(self.top_block[at], weights[which] * self.top[at], self.blocks) * (1 + 1e-9)
-        alive = (bound >= floor) & (bound > 0)
-        if not alive.any():
-            return np.zeros(0, np.int64), np.zeros(0)
-        at, which = self.gather(self.start, chosen)
-        doc, part = self.doc[at], weights[which] * self.impact[at]
-        block = doc // BLOCK
-        scores = np.zeros(self.size)
-        best = np.argsort(-bound)[:max(2, self.blocks // 8)]
-        rounds = [np.isin(np.arange(self.blocks), best) & alive]
-        for wave in range(2):
-            live = rounds[wave]
-            inside = live[block]
-            scores += np.bincount(doc[inside], part[inside], self.size)
-            if wave == 0:
-                if self.size >= k:
-                    floor = max(floor, float(np.partition(scores, -k)[-k]))
-                rounds.append(alive & ~live & (bound >= floor))
-                if not rounds[1].any():
-                    break
-        found = np.flatnonzero((scores > 0) & (scores >= floor * (1 - 1e-12)))
-        return found, scores[found]
+        bound = np.maximum.reduceat(base, np.arange(0, self.size, BLOCK)) + np.bincount(self.top_block[at], weights[which] * self.top[at], self.blocks)
+        bound *= 1 + 1e-9
+        if self.size >= k:
+            floor = max(floor, float(np.partition(base, -k)[-k]))
+        scores, done = base.copy(), np.zeros(self.blocks, bool)
+        for share in (max(2, self.blocks // 16), self.blocks):  # the most promising blocks first, then what is left of the others
+            alive = (bound >= floor * (1 - 1e-9)) & (bound > 0) & ~done
+            todo = np.argsort(-bound)[:share]
+            live = np.zeros(self.blocks, bool)
+            live[todo] = alive[todo]
+            if live.any() and len(chosen):
+                at, which = self.gather(self.start, chosen)
+                doc = self.doc[at]
+                inside = live[doc // BLOCK]
+                doc = doc[inside]
+                scores += np.bincount(doc, weights[which[inside]] * self.impact[at[inside]], self.size)
+            done |= live
+            if self.size >= k:
+                floor = max(floor, float(np.partition(scores, -k)[-k]))
+        found = np.flatnonzero(np.repeat(done, BLOCK)[:self.size] & (scores > 0) & (scores >= floor * (1 - 1e-9)))
+        return found, np.round(scores[found], 9)
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -135,13 +150,24 @@ def shard(batches: Iterator[pd.DataFrame], queries: Queries, idf: np.ndarray, me
 
     def index() -> None:
         piece = Piece(ids, numbers, lengths, mean, len(queries.vocabulary))
-        for q, chosen in enumerate(queries.terms):
-            old_ids, old = held[q]
-            found, scores = piece.search(chosen, weights[q], k, float(old[-1]) if len(old) == k else 0.0)
-            if len(found):
-                all_ids, all_scores = np.r_[old_ids, piece.ids[found]], np.r_[old, scores]
-                keep = best_of(all_ids, all_scores, k)
-                held[q] = all_ids[keep], all_scores[keep]
+        frequent, rows = piece.dense()
+        column = np.full(len(queries.vocabulary) + 1, -1)
+        column[frequent] = np.arange(len(frequent))
+        for at in range(0, len(queries.ids), GROUP):
+            group = range(at, min(at + GROUP, len(queries.ids)))
+            factors = np.zeros((len(group), len(frequent)))
+            for q in group:
+                held_in = column[queries.terms[q]]
+                factors[q - at, held_in[held_in >= 0]] = weights[q][held_in >= 0]
+            bases = factors @ rows
+            for q in group:
+                rare = column[queries.terms[q]] < 0
+                old_ids, old = held[q]
+                found, scores = piece.search(bases[q - at], queries.terms[q][rare], weights[q][rare], k, float(old[-1]) if len(old) == k else 0.0)
+                if len(found):
+                    all_ids, all_scores = np.r_[old_ids, piece.ids[found]], np.r_[old, scores]
+                    keep = best_of(all_ids, all_scores, k)
+                    held[q] = all_ids[keep], all_scores[keep]
         ids.clear(), numbers.clear(), lengths.clear()
 
     words = 0

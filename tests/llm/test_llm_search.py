@@ -35,7 +35,7 @@ def test_blocks_are_skipped():
 
     numbers = [np.array([0] * 5 + [1]) if d < 64 else np.array([2]) for d in range(640)]
     piece = search.Piece(list(range(640)), numbers, [len(x) for x in numbers], 2.0, 3)
-    found, scores = piece.search(np.array([0, 2]), np.array([5.0, 0.1]), 10, 0.0)
+    found, scores = piece.search(np.zeros(640), np.array([0, 2]), np.array([5.0, 0.1]), 10, 0.0)
     assert len(found) == 64 and scores.min() > 5  # the other nine blocks are below the tenth best
 
 
