@@ -60,14 +60,6 @@ def log_export(spark, folder):
     return lg.log_export(d.logs(spark, folder), d.NOW, "1.0")
 
 
-@check("log_export_document", f"""
-SELECT md5('{{"export_date":"{d.NOW}","version":"1.0","total_logs":' || (SELECT count(*) FROM {d.LOGS}) || ',"logs":[' || string_agg(
-  '{{"id":' || id || ',"time":"' || strftime(time, '%Y-%m-%d %H:%M:%S') || '","level":"' || level || '","message":"' || message || '","context":"' || replace(context, '"', '\\"') || '"}}',
-  ',' ORDER BY time DESC, id DESC) || ']}}') AS document_md5 FROM (SELECT * FROM {d.LOGS} ORDER BY time DESC, id DESC LIMIT 9999)""")
-def log_export_document(spark, folder):
-    return lg.log_export_document(d.logs(spark, folder), d.NOW, "1.0").select(F.md5("document").alias("document_md5"))
-
-
 @check("log_clear", f"SELECT CAST(count(*) AS BIGINT) AS removed, CAST(0 AS BIGINT) AS remaining FROM {d.LOGS}")
 def log_clear(spark, folder):
     path = fresh_dir(spark, "logs")

@@ -98,7 +98,6 @@ CREDIT_STYLES = {
 LOG_LEVELS = ("INFO", "WARNING", "ERROR", "SUCCESS")
 LOG_KEEP = 1000
 LOG_PAGE = 50
-LOG_EXPORT_PAGE = 9999
 
 # --- language and translation ---------------------------------------------
 
@@ -116,7 +115,6 @@ PORTUGUESE_WORDS = (
     "está", "ser", "tem", "era", "são", "esta", "este", "isso",
     "ele", "ela", "eles", "elas", "meu", "minha", "teu", "tua",
 )
-LANGUAGE_SAMPLE_CHARS = 1000
 LANGUAGE_MIN_HITS = 3
 LANGUAGE_MIN_WORD_BYTES = 3
 CACHE_TTL_DAYS = 30

@@ -117,24 +117,6 @@ def log_export(logs: DataFrame, now, version: str) -> DataFrame:
     )
 
 
-def log_export_document(logs: DataFrame, now, version: str, per_page: int = fixed.LOG_EXPORT_PAGE) -> DataFrame:
-    """A single JSON document with the newest ``per_page`` rows, the size of one export page."""
-    total = logs.agg(F.count("*").alias("n")).scalar()
-    newest = log_page(logs, 1, per_page)
-    rows = newest.agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct("time", "id", log_json().alias("log"))))).alias("rows")
-    )
-    body = F.array_join(F.transform("rows", lambda r: r["log"]), ",")
-    head = F.to_json(F.struct(
-        F.date_format(moment(now), "yyyy-MM-dd HH:mm:ss").alias("export_date"),
-        F.lit(version).alias("version"),
-        total.alias("total_logs"),
-    ))
-    return rows.select(
-        F.concat(F.regexp_replace(head, r"\}$", ',"logs":['), body, F.lit("]}")).alias("document")
-    )
-
-
 def clear_table(path: str, spark) -> DataFrame:
     """Empty a stored table and return the number of rows it had."""
     table = spark.read.parquet(path)
