@@ -26,7 +26,7 @@ def _word_list(words):
 
 
 def _hits(words):
-    return (f"len(list_filter(regexp_split_to_array(lower(regexp_replace(left({d.strip('text')}, 1000), '[0-9\\p{{P}}]', ' ', 'g')), '\\s+'), "
+    return (f"len(list_filter(regexp_split_to_array(lower(regexp_replace({d.strip('text')}, '[0-9\\p{{P}}]', ' ', 'g')), '\\s+'), "
             f"lambda w: w IN {_word_list(words)}))")
 
 

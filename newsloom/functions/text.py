@@ -51,8 +51,8 @@ def word_count(value) -> Column:
     return F.size(all_matches(text, r"[A-Za-z'\-]+")).cast("long")
 
 
-def language_hits(value) -> Column:
-    """Struct (en, pt): how many words of the sample are in each list.
+def language_hits(value, sample_chars: int | None = None) -> Column:
+    """Struct (en, pt): how many words of the text are in each list, or of its first ``sample_chars`` characters.
 
     Very short words never count, so the lists are used without them.
     """
@@ -66,7 +66,7 @@ def language_hits(value) -> Column:
             for name, known in (("en", listed(fixed.ENGLISH_WORDS)), ("pt", listed(fixed.PORTUGUESE_WORDS)))
         ])
 
-    sample = F.substring(strip_tags(value), 1, fixed.LANGUAGE_SAMPLE_CHARS)
+    sample = strip_tags(value) if sample_chars is None else F.substring(strip_tags(value), 1, sample_chars)
     plain = F.lower(F.regexp_replace(sample, r"[0-9\p{P}]", " "))
     return let(F.split(plain, r"\s+"), count)
 
