@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pathlib
+import re
 import shutil
 import tempfile
 import uuid
@@ -67,11 +68,14 @@ _own_folders: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only a session without that setting (tests, a laptop) gets a local folder.
+    Only a local session without that setting (tests, a laptop) gets a local folder; on a cluster other
+    machines would not see it.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="newsloom-")
