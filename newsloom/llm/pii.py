@@ -235,13 +235,15 @@ def written(spans: list[Span]) -> str:
 
 def zone_texts(docs: DataFrame, text: str, sample: int) -> list[str]:
     """At most ``sample`` zones (and as many documents), those with the smallest hash; at most 400 characters each."""
-    few = docs.filter(F.col(text).rlike("[0-9@]")).select(text).orderBy(F.xxhash64(text), text).limit(sample)
+    body = docs.select(F.col(text).alias("text")).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text"))
+    chosen = body.select("h").distinct().orderBy("h").limit(sample)  # hashes, not texts, meet in one task
+    few = body.join(F.broadcast(chosen), "h").dropDuplicates(["h"])
 
     @F.pandas_udf("array<string>")
     def cut(texts: pd.Series) -> pd.Series:
         return pd.Series([[t[z[0][0]:z[-1][1]][:400] for z in zones(t)] for t in texts])
 
-    found = few.select(F.explode(cut(text)).alias("zone")).distinct().orderBy(F.xxhash64("zone"), "zone").limit(sample)
+    found = few.select(F.explode(cut("text")).alias("zone")).distinct().orderBy(F.xxhash64("zone"), "zone").limit(sample)
     return [r["zone"] for r in found.collect()]
 
 
