@@ -19,8 +19,8 @@ def brute(text, width=4):
     return sum(1 << b for b in range(64) if 2 * sum(c >> b & 1 for c in codes) > len(codes))
 
 
-def brute_classes(rows, distance=4):
-    prints = {i: brute(t) for i, t in rows}
+def brute_classes(rows, distance=4, width=4):
+    prints = {i: brute(t, width) for i, t in rows}
     label = {i: i for i in prints}
     changed = True
     while changed:
