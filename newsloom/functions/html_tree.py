@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from itertools import accumulate
 
 import pyarrow as pa
@@ -48,7 +49,8 @@ TREE_TYPE = T.StructType(
 _MARKUP = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?][^>]*>""", re.S
 )
-_ATTRIBUTE = re.compile(r"""\s(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# one attribute after the other, so that a name inside a quoted value is not taken for one
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _RAW_TEXT = frozenset(("script", "style"))
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -75,14 +77,58 @@ def _byte_size(text: str) -> int:
     return len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
 
 
+class _Runs:
+    """Text pieces in order, with sizes that make the measures of any run of them a subtraction."""
+
+    def __init__(self) -> None:
+        self.size, self.words = [0], [0]        # bytes and word beginnings before each piece
+        self.lead: list[int] = []               # blank bytes at a piece's beginning and end; all of a blank piece
+        self.tail: list[int] = []
+        self.blank: list[bool] = []
+        self.joins: list[bool] = []             # the piece goes on with the word that the one before it ends in
+        self.open = False
+
+    def __len__(self) -> int:
+        return len(self.blank)
+
+    def add(self, text: str) -> None:
+        size = _byte_size(text)
+        left, right = text.lstrip(TRIM_CHARS), text.rstrip(TRIM_CHARS)
+        self.lead.append(len(text) - len(left))  # the trimmed characters are one byte each
+        self.tail.append(len(text) - len(right))
+        self.blank.append(not left)
+        joins = self.open and not text[0].isspace()
+        self.joins.append(joins)
+        self.size.append(self.size[-1] + size)
+        self.words.append(self.words[-1] + len(text.split()) - joins)
+        self.open = not text[-1].isspace()
+
+    def finish(self) -> None:
+        """The blank bytes that follow each border, and those that come before it, over all pieces."""
+        count = len(self)
+        self.after, self.before = [0] * (count + 1), [0] * (count + 1)
+        for k in range(count - 1, -1, -1):
+            self.after[k] = self.lead[k] + (self.after[k + 1] if self.blank[k] else 0)
+        for k in range(count):
+            self.before[k + 1] = self.tail[k] + (self.before[k] if self.blank[k] else 0)
+
+    def trimmed_bytes(self, first: int, last: int) -> int:
+        """Bytes of the pieces from ``first`` up to ``last``, without blanks at both ends."""
+        return max(0, self.size[last] - self.size[first] - self.after[first] - self.before[last])
+
+    def word_count(self, first: int, last: int) -> int:
+        return self.words[last] - self.words[first] + int(first < last and self.joins[first])
+
+
 def encode_page(page: str) -> tuple[str, list[tuple]]:
     """The balanced markup and the element tuples (in ``NODE_FIELDS`` order)."""
     markup: list[str] = []
-    shown: list[str] = []       # all text, entities decoded
-    seen: list[str] = []        # text outside the dropped elements
-    at = text_at = seen_at = 0  # lengths of the three so far
+    shown = _Runs()             # all text, entities decoded
+    seen = _Runs()              # text outside the dropped elements
+    at = 0                      # length of the markup so far
     nodes: list[dict] = []
     stack: list[dict] = []
+    still_open: Counter[str] = Counter()
 
     def put(piece: str) -> None:
         nonlocal at
@@ -90,24 +136,26 @@ def encode_page(page: str) -> tuple[str, list[tuple]]:
         at += len(piece)
 
     def put_text(piece: str, decode: bool = True) -> None:
-        nonlocal text_at, seen_at
         if not piece:
             return
         put(piece)
         text = html.unescape(piece) if decode and "&" in piece else piece
-        shown.append(text)
-        text_at += len(text)
+        if not text:  # character references to nothing
+            return
+        shown.add(text)
         if not (stack and stack[-1]["hidden"]):
-            seen.append(text)
-            seen_at += len(text)
+            seen.add(text)
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
             node = stack.pop()
+            still_open[node["tag"]] -= 1
             put(f"</{node['tag']}>")
-            node.update(post=len(nodes) - 1, stop=at, text_end=text_at, seen_end=seen_at)
+            node.update(post=len(nodes) - 1, stop=at, text_end=len(shown), seen_end=len(seen))
 
     def close_nearest(tags, borders) -> None:
+        if not any(still_open[tag] for tag in tags):
+            return
         for index in range(len(stack) - 1, -1, -1):
             tag = stack[index]["tag"]
             if tag in tags:
@@ -125,19 +173,21 @@ def encode_page(page: str) -> tuple[str, list[tuple]]:
         if attributes:
             for found in _ATTRIBUTE.finditer(attributes):
                 key = found.group(1).lower()
-                named[key] = named[key] or html.unescape(found.group(2) or found.group(3) or found.group(4) or "")
+                if key in named:
+                    named[key] = named[key] or html.unescape(found.group(2) or found.group(3) or found.group(4) or "")
         parent = stack[-1] if stack else None
         node = {
             "pre": len(nodes), "post": len(nodes), "depth": len(stack), "tag": tag,
             "cls": named["class"], "id": named["id"],
             "hidden": tag in SCORE_DROP_TAGS or bool(parent and parent["hidden"]),
-            "start": at, "text_start": text_at, "seen_start": seen_at,
+            "start": at, "text_start": len(shown), "seen_start": len(seen),
         }
         put(raw)
-        node.update(stop=at, text_end=text_at, seen_end=seen_at)
+        node.update(stop=at, text_end=len(shown), seen_end=len(seen))
         nodes.append(node)
         if tag not in _VOID:
             stack.append(node)
+            still_open[tag] += 1
 
     position, size = 0, len(page)
     while position < size:
@@ -152,6 +202,8 @@ def encode_page(page: str) -> tuple[str, list[tuple]]:
             continue
         tag = found.group(2).lower()
         if found.group(1):
+            if not still_open[tag]:
+                continue
             for index in range(len(stack) - 1, -1, -1):
                 if stack[index]["tag"] == tag:
                     close(index)
@@ -165,13 +217,13 @@ def encode_page(page: str) -> tuple[str, list[tuple]]:
             close(len(stack) - 1)
     close(0)
 
-    all_text, visible = "".join(shown), "".join(seen)
+    shown.finish()
+    seen.finish()
     link_sizes = []
     for node in nodes:
-        text = all_text[node["text_start"]:node["text_end"]].strip(TRIM_CHARS)
-        rest = visible[node["seen_start"]:node["seen_end"]].strip(TRIM_CHARS)
-        node["text_bytes"], node["visible_bytes"] = _byte_size(text), _byte_size(rest)
-        node["words"] = len(rest.split()) if node["tag"] in SCORED_TAGS else 0
+        node["text_bytes"] = shown.trimmed_bytes(node["text_start"], node["text_end"])
+        node["visible_bytes"] = seen.trimmed_bytes(node["seen_start"], node["seen_end"])
+        node["words"] = seen.word_count(node["seen_start"], node["seen_end"]) if node["tag"] in SCORED_TAGS else 0
         link_sizes.append(node["visible_bytes"] if node["tag"] == "a" and not node["hidden"] else 0)
 
     def counter(tags) -> accumulate:

@@ -27,6 +27,18 @@ def test_tree_closes_what_is_open():
         assert markup[n["start"]:n["stop"]].startswith("<" + n["tag"])
 
 
+def test_attributes_are_read_in_order():
+    _, nodes = tree("""<div title="a class=evil" class="post-content" CLASS=late><p id=x>y</p></div>""")
+    assert (nodes[0]["cls"], nodes[1]["id"]) == ("post-content", "x")
+
+
+def test_deep_pages_are_measured_once():
+    deep = 4000
+    _, nodes = tree("<div> " * deep + "two w<b>o</b>rds " * 5000 + "</div>" * deep)
+    assert nodes[0]["words"] == nodes[deep - 1]["words"] == 10000
+    assert nodes[0]["text_bytes"] == len("two words " * 5000) - 1
+
+
 def test_tree_text_and_attributes():
     _, nodes = tree("""<div class='a b' ID=x data-class="no"> &eacute;&amp; <script>if (a<b) "</div>"</script></div>""")
     div, script = nodes
