@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fixed
-from newsloom.functions.basics import byte_len, is_blank, replace_tokens, strip_tags, trimmed
+from newsloom.functions.basics import byte_len, is_blank, let, replace_tokens, strip_tags, trimmed
 from newsloom.functions.dates import moment
 from newsloom.functions.text import detect_language
 from newsloom.operators.markup import (
@@ -76,14 +76,25 @@ def cache_lookup(texts: DataFrame, cache: DataFrame, now, key: str = "key") -> D
     return texts.join(fresh, texts[key] == fresh["_key"], "left").drop("_key")
 
 
-def pending_texts(texts: DataFrame, cache: DataFrame, now, *carried: str, key: str = "key") -> DataFrame:
-    """Distinct keys the cache does not know, with their text.
+def entries_among(cache: DataFrame, asked: DataFrame, now, key: str = "key") -> DataFrame:
+    """The unexpired entries of the asked keys: the cache only grows, a run asks for little of it."""
+    keys = asked.select(F.col(key).alias("_asked")).distinct()
+    return fresh_entries(cache.join(keys, F.col("key") == F.col("_asked"), "left_semi"), now)
+
+
+def unknown_texts(texts: DataFrame, known: DataFrame, *carried: str, key: str = "key") -> DataFrame:
+    """Distinct keys that ``known(key)`` lacks, with their text.
 
     Copies are folded together before the join, so a text with very many copies
     is one row by the time anything is shuffled for it.
     """
     distinct = texts.groupBy(key).agg(*[F.any_value(c).alias(c) for c in carried])
-    return distinct.join(fresh_entries(cache, now).select(F.col("key").alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+    return distinct.join(known.select(F.col("key").alias("_key")), F.col(key) == F.col("_key"), "left_anti")
+
+
+def pending_texts(texts: DataFrame, cache: DataFrame, now, *carried: str, key: str = "key") -> DataFrame:
+    """Distinct keys the cache does not know, with their text."""
+    return unknown_texts(texts, entries_among(cache, texts, now, key), *carried, key=key)
 
 
 def merge_cache(cache: DataFrame, translated: DataFrame, now) -> DataFrame:
@@ -98,16 +109,30 @@ def merge_cache(cache: DataFrame, translated: DataFrame, now) -> DataFrame:
 # --- calling the service ---------------------------------------------------
 
 def call_service(pending: DataFrame, fn: TranslateFn) -> DataFrame:
-    """(key, text, source_lang, target_lang) -> the same with ``value``."""
+    """(key, text, source_lang, target_lang) -> the same with ``value`` and ``error``.
+
+    Where the function fails on a batch, its texts are asked one by one; those it still fails on get an error.
+    """
+
+    def ask(texts: list[str], source: str, target: str) -> list[tuple[str | None, str | None]]:
+        try:
+            return [(value, None) for _, value in zip(texts, fn(texts, source, target), strict=True)]
+        except Exception as error:  # the service's own failures are data here
+            if len(texts) == 1:
+                return [(None, str(error) or type(error).__name__)]
+            return [ask([text], source, target)[0] for text in texts]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for (source, target), part in batch.groupby(["source_lang", "target_lang"], sort=False):
-                yield part.assign(value=pd.Series(fn(part["text"].tolist(), source, target), index=part.index, dtype=object))
+                values, errors = zip(*ask(part["text"].tolist(), source, target), strict=True)
+                yield part.assign(
+                    value=pd.Series(values, index=part.index, dtype=object), error=pd.Series(errors, index=part.index, dtype=object)
+                )
 
     columns = "key string, text string, source_lang string, target_lang string"
     calls = spread_for_calls(pending.select("key", "text", "source_lang", "target_lang"), "key")
-    return calls.mapInPandas(run, f"{columns}, value string")
+    return calls.mapInPandas(run, f"{columns}, value string, error string")
 
 
 # --- units -----------------------------------------------------------------
@@ -125,19 +150,31 @@ def text_units(text: Column) -> Column:
 
 
 def html_units(markup: Column) -> Column:
-    """A protected page text in the pieces that are sent, by size of the parts."""
+    """A protected page text in the pieces that are sent, by size of the parts.
+
+    The plain text of a large piece is cut into chunks like any other text; its parts are one paragraph again.
+    """
 
     def by_tags(part: Column) -> Column:
         return _unit("tags", part, tags_to_tokens(part))
 
+    def plain_units(part: Column, plain: Column) -> Column:
+        long = (byte_len(plain) > fixed.LARGE_TEXT_BYTES) & (trimmed(plain) != "")
+        chunks = F.when(long, text_chunks(plain)).otherwise(F.array(plain))
+        kind = lambda i, n: (
+            F.when(n == 1, "plain").when(i == 0, "plain_first").when(i == n - 1, "plain_last").otherwise("plain_middle")
+        )
+        return let(chunks, lambda cs: F.transform(
+            cs, lambda c, i: F.struct(kind(i, F.size(cs)).alias("unit_kind"), part.alias("markup"), c.alias("unit_text"))
+        ))
+
     def piece(part: Column) -> Column:
-        plain = strip_tags(part)
-        return F.when(byte_len(part) > fixed.LARGE_PIECE_BYTES, _unit("plain", part, plain)).otherwise(by_tags(part))
+        return F.when(byte_len(part) > fixed.LARGE_PIECE_BYTES, plain_units(part, strip_tags(part))).otherwise(F.array(by_tags(part)))
 
     def section(part: Column) -> Column:
         return F.when(
             byte_len(part) > fixed.LARGE_SECTION_BYTES,
-            F.transform(F.filter(section_pieces(part), lambda p: p != ""), piece),
+            F.flatten(F.transform(F.filter(section_pieces(part), lambda p: p != ""), piece)),
         ).otherwise(F.array(by_tags(part)))
 
     parts = F.filter(F.transform(html_sections(markup), lambda p: trimmed(p)), lambda p: p != "")
@@ -154,7 +191,11 @@ def unit_result() -> Column:
     )
     return (
         F.when(F.col("unit_kind") == "tags", tagged)
-        .when(F.col("unit_kind") == "plain", F.concat(F.lit("<p>"), value, F.lit("</p>")))
+        .when(F.startswith("unit_kind", F.lit("plain")), F.concat(
+            F.when(F.col("unit_kind").isin("plain", "plain_first"), "<p>").otherwise("\n\n"),
+            value,
+            F.when(F.col("unit_kind").isin("plain", "plain_last"), "</p>").otherwise(""),
+        ))
         .otherwise(value)
     )
 
@@ -165,6 +206,7 @@ def unit_result() -> Column:
 class Translation:
     values: DataFrame    # the input rows with ``value``
     entries: DataFrame   # new cache entries: key, text, value
+    errors: DataFrame    # texts the service failed on: key, text, error
 
 
 def translate_rows(rows: DataFrame, cache: DataFrame, now, fn: TranslateFn = offline_translate) -> Translation:
@@ -175,24 +217,30 @@ def translate_rows(rows: DataFrame, cache: DataFrame, now, fn: TranslateFn = off
     keyed = rows.withColumn("key", cache_key(F.col("text"), F.col("source_lang"), F.col("target_lang"), F.col("kind")))
     wanted = keyed.where(~is_blank("text") & (F.col("source_lang") != F.col("target_lang")))
     carried = ("kind", "text", "source_lang", "target_lang")
-    missing = protect(pending_texts(wanted, cache, now, *carried), "text")
+    # the cache is asked for the run's own keys only, and what is known and what is missing is written once
+    asked = stage(wanted.select("key").distinct(), "asked-keys")
+    cached = stage(entries_among(cache, asked, now), "cached-texts")
+    missing = stage(protect(unknown_texts(wanted, cached, *carried), "text"), "missing-texts")
     is_html = F.col("kind") == "html"
     units = missing.withColumn(
         "_units", F.when(is_html, html_units(F.col("protected"))).otherwise(text_units(F.col("text")))
     ).select("key", "source_lang", "target_lang", F.posexplode("_units").alias("place", "_unit"))
     units = units.select("key", "source_lang", "target_lang", "place", "_unit.*")
     unit_kind = F.when(F.col("unit_kind") == "tags", "tags").otherwise("text")
-    units = units.withColumn("unit_key", cache_key(F.col("unit_text"), F.col("source_lang"), F.col("target_lang"), unit_kind))
+    units = stage(
+        units.withColumn("unit_key", cache_key(F.col("unit_text"), F.col("source_lang"), F.col("target_lang"), unit_kind)), "units"
+    )
+    cached_units = stage(entries_among(cache, units, now, "unit_key"), "cached-units")
 
-    to_send = pending_texts(
+    to_send = unknown_texts(
         units.where(~is_blank(trimmed("unit_text"))).select(
             F.col("unit_key").alias("key"), F.col("unit_text").alias("text"), "source_lang", "target_lang"
         ),
-        cache, now, "text", "source_lang", "target_lang",
+        cached_units, "text", "source_lang", "target_lang",
     )
     answers = stage(call_service(to_send, fn), "translations")
     known = answers.select(F.col("key").alias("_key"), "value").unionByName(
-        fresh_entries(cache, now).select(F.col("key").alias("_key"), "value")
+        cached_units.select(F.col("key").alias("_key"), "value")
     )
     done = units.join(known, units["unit_key"] == known["_key"], "left").select("key", "place", "unit_kind", unit_result().alias("out"))
     joined = done.groupBy("key").agg(
@@ -211,8 +259,7 @@ def translate_rows(rows: DataFrame, cache: DataFrame, now, fn: TranslateFn = off
         .otherwise(F.coalesce("_out", "text")).alias("value"),
     )
     assembled = stage(assembled, "assembled")
-    fresh = fresh_entries(cache, now).select(F.col("key").alias("_key"), "value")
-    all_known = assembled.select(F.col("key").alias("_key"), "value").unionByName(fresh)
+    all_known = assembled.select(F.col("key").alias("_key"), "value").unionByName(cached.select(F.col("key").alias("_key"), "value"))
     values = keyed.join(all_known, (keyed["key"] == all_known["_key"]) & (F.col("source_lang") != F.col("target_lang")), "left")
     values = values.select(*rows.columns, F.coalesce("value", "text").alias("value"))
     entries = (
@@ -220,7 +267,8 @@ def translate_rows(rows: DataFrame, cache: DataFrame, now, fn: TranslateFn = off
         .where(~is_blank("value") & (F.col("value") != F.col("text")))
         .groupBy("key").agg(F.any_value("text").alias("text"), F.any_value("value").alias("value"))
     )
-    return Translation(values, entries)
+    errors = answers.where(F.col("error").isNotNull()).select("key", "text", "error")
+    return Translation(values, entries, errors)
 
 
 def translate_content(

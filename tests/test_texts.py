@@ -165,6 +165,32 @@ def test_translate_html_keeps_markup(spark):
     assert "<p>PLAIN PLAIN" in out[2] and "<i>" not in out[2] and out[2].count("PLAIN") == 3000
 
 
+def test_failing_service_costs_only_its_own_texts(spark):
+    def fails_on_bad(texts, source, target):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no")
+        return [t.upper() for t in texts]
+
+    done = tr.translate_rows(rows_of(spark, ["good", "bad", "fine"]), empty_cache(spark), NOW, fails_on_bad)
+    assert sorted(r.value for r in done.values.collect()) == ["FINE", "GOOD", "bad"]
+    assert [(r.text, r.error) for r in done.errors.collect()] == [("bad", "no")]
+    assert sorted(r.text for r in done.entries.collect()) == ["fine", "good"]
+
+
+def test_large_plain_piece_is_sent_in_chunks(spark):
+    sizes = spark.sparkContext.accumulator(0)
+
+    def measured(texts, source, target):
+        sizes.add(sum(len(t.encode()) > 30000 for t in texts))
+        return [t.upper() for t in texts]
+
+    page = "<p>" + "Some <i>words</i> here. " * 3000 + "</p>"
+    out = tr.translate_rows(rows_of(spark, [page], "html"), empty_cache(spark), NOW, measured).values.first().value
+    assert sizes.value == 0
+    assert out.startswith("<p>SOME") and out.endswith("HERE.</p>") and out.count("<p>") == 1
+    assert out.split() == ("<p>" + "SOME WORDS HERE. " * 3000).strip().split()[:-1] + ["HERE.</p>"]
+
+
 def test_same_language_is_left_alone(spark):
     out = tr.translate_rows(rows_of(spark, ["hello"], source="pt"), empty_cache(spark), NOW, upper).values.first()
     assert out.value == "hello"
