@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import BLANKS, let, words
+from newsloom.llm.common import BLANKS, let
 from newsloom.session import stage
 
 BUCKETS = 1 << 16
@@ -27,11 +27,12 @@ FILTER_WORDS = 1 << 17  # of 64 bits: a fixed megabyte
 
 
 def tokens(line: Column, width: int) -> Column:
+    """Hashes of the shingles of a line without blanks at its ends, in order, repeats included."""
     def shingles(hashed: Column) -> Column:
-        each = F.transform(F.sequence(F.lit(1), F.size(hashed) - (width - 1)), lambda i: F.xxhash64(*[F.element_at(hashed, i + k) for k in range(width)]))
-        return F.when(F.size(hashed) < width, F.array(F.xxhash64(hashed))).otherwise(F.array_distinct(each))
+        each = F.transform(F.slice(hashed, F.lit(1), F.size(hashed) - (width - 1)), lambda _, i: F.xxhash64(F.slice(hashed, i + 1, F.lit(width))))
+        return F.when(F.size(hashed) < width, F.array(F.xxhash64(hashed))).otherwise(each)
 
-    return let(F.transform(words(line), lambda w: F.xxhash64(w)), shingles)
+    return let(F.transform(F.split(line, BLANKS), lambda w: F.xxhash64(w)), shingles)
 
 
 def document(id_col: str, text: str) -> Column:
@@ -39,34 +40,29 @@ def document(id_col: str, text: str) -> Column:
     return F.struct(F.col(id_col).isNull().alias("no_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("content"))
 
 
-def token_lines(docs: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(doc, line, tokens) of the lines with a word."""
+def text_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(doc, line, body) of the lines with a word, without the blanks at their ends."""
     lines = docs.select(document(id_col, text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    return lines.filter(F.regexp_replace("body", BLANKS, "") != "").select("doc", "line", tokens(F.col("body"), width).alias("tokens"))
+    return lines.select("doc", "line", F.btrim("body", F.lit(" \t\n\x0b\f\r")).alias("body")).filter("body <> ''")
 
 
-def rarity(lines: DataFrame) -> Column:
-    """For each hash bucket of tokens one of 16 classes, by its count against the mean, as an array of 4-bit fields.
+def rarity(lines: DataFrame, width: int) -> Column:
+    """For each hash bucket of tokens one of 16 classes, by its count against the mean.
 
-    A table of fixed size (32 kB), so it can be part of the plan.
+    An array of fixed size, so it can be part of the plan.
     """
     bucket = F.col("t").bitwiseAND(F.lit(BUCKETS - 1))
-    counts = stage(lines.select(F.explode("tokens").alias("t")).groupBy(bucket.alias("bucket")).count(), "token-counts")
+    counts = stage(lines.select(F.explode(tokens(F.col("body"), width)).alias("t")).groupBy(bucket.alias("bucket")).count(), "token-counts")
     mean = counts.agg(F.sum("count") / BUCKETS).scalar()
-    fields = counts.select(F.shiftright("bucket", 4).alias("word"), (4 * F.col("bucket").bitwiseAND(F.lit(15))).cast("int").alias("shift"),
-                           F.least(F.lit(15), F.floor(4 * F.log2(1 + F.col("count") / mean) / 2)).cast("long").alias("class"))
-    words_ = fields.groupBy("word").agg(F.bit_or(F.expr("shiftleft(class, shift)")).alias("fields"))
-    held = {r["word"]: r["fields"] for r in words_.collect()}  # at most BUCKETS / 16 longs
-    least = -(1 << 63)
-    return F.expr("array(" + ",".join(f"{held.get(k, 0)}L" if held.get(k, 0) != least else f"({least + 1}L - 1L)" for k in range(BUCKETS >> 4)) + ")")
+    classed = counts.select("bucket", F.least(F.lit(15), F.floor(2 * F.log2(1 + F.col("count") / mean))).cast("long").alias("class"))
+    held = {r["bucket"]: r["class"] for r in classed.collect()}  # at most BUCKETS rows
+    return F.split(F.lit(",".join(str(held.get(k, 0)) for k in range(BUCKETS))), ",").cast("array<long>")
 
 
 def ordered(token: Column, classes: Column) -> Column:
     """The token as a number that sorts by rarity class first."""
-    bucket = token.bitwiseAND(F.lit(BUCKETS - 1))
-    word = F.element_at(classes, (F.shiftright(bucket, 4) + 1).cast("int"))
-    nibble = F.call_function("shiftrightunsigned", word, (4 * bucket.bitwiseAND(F.lit(15))).cast("int")).bitwiseAND(F.lit(15))
-    return F.shiftleft(nibble, 59).bitwiseOR(F.shiftrightunsigned(token, 5))
+    place = (token.bitwiseAND(F.lit(BUCKETS - 1)) + 1).cast("int")
+    return F.shiftleft(F.element_at(classes, place), 59).bitwiseOR(F.shiftrightunsigned(token, 5))
 
 
 def seen_filter(keys: DataFrame, key: str) -> DataFrame:
@@ -100,40 +96,47 @@ def could_match(n: Column, i: Column, m: Column, j: Column) -> Column:
 
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """(doc, line) of every line to remove."""
-    lines = token_lines(docs, id_col, text, width)
-    classes = rarity(lines)
-    coded = lines.select("doc", "line", F.sort_array(F.transform("tokens", lambda t: ordered(t, classes))).alias("codes"))
+    lines = text_lines(docs, id_col, text)
+    classes = rarity(lines, width)
+    codes = F.sort_array(F.array_distinct(F.transform(tokens(F.col("body"), width), lambda t: ordered(t, classes))))
+    coded = lines.select(F.struct("doc", "line").alias("at"), codes.alias("codes"))
     n = F.size("codes")
-    keyed = stage(coded.select(F.struct("doc", "line").alias("at"), n.alias("n"), F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"),
+    keyed = stage(coded.select("at", n.alias("n"), F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"),
                                F.slice("codes", F.lit(1), n - needed(n) + 1).alias("prefix")), "line-keys")
-    sets_of = keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"))
-    joined = keyed.join(sets_of, ["h1", "h2"])
-    first = joined.filter(F.col("at") == F.col("first")).dropDuplicates(["h1", "h2"]).select("at", "n", "prefix")  # equal rows have equal places
-    # numbers that rise with the lines' order
-    first = stage(first.repartitionByRange("at").sortWithinPartitions("at").withColumn("nr", F.monotonically_increasing_id()), "first-lines")
-    keys = first.select("nr", "n", F.posexplode("prefix").alias("i", "key"))
-    shared = stage(keys.groupBy("key").agg(F.min("nr").alias("centre"), F.max("nr").alias("last")).filter("centre < last").select("key", "centre"), "shared-keys")
-    met = stage(keys.filter(maybe_seen(seen_filter(shared, "key"), F.col("key"))).join(shared, "key"), "met")
-    sets = line_sets(docs, id_col, text, width, first.select("nr", "at").join(met.select("nr").distinct(), "nr"))
+    # equal sets: h1 and h2 together name a set
+    sets = stage(keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")), "sets")
+    copied = sets.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")
+    equal = keyed.filter(maybe_seen(seen_filter(copied, "h1"), F.col("h1"))).join(copied, ["h1", "h2"]).filter(F.col("at") != F.col("first")).select("at.doc", "at.line")
+
+    # keys that different sets share; only their rows go on
+    keys = keyed.select("h1", "h2", "n", F.posexplode("prefix").alias("i", "key"))
+    shared = stage(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "shared-keys")
+    common = stage(keys.filter(maybe_seen(seen_filter(shared, "key"), F.col("key"))).join(shared, "key", "left_semi").distinct(), "common")
+    # numbers that rise with the order of the sets' first lines
+    places = sets.join(common.select("h1", "h2").distinct(), ["h1", "h2"]).select("h1", "h2", F.col("first").alias("at"))
+    first = stage(places.repartitionByRange("at").sortWithinPartitions("at").withColumn("nr", F.monotonically_increasing_id()), "first-lines")
+    numbered = stage(common.join(first.select("h1", "h2", "nr"), ["h1", "h2"]).select("key", "nr", "n", "i"), "numbered")
+    met = stage(numbered.join(numbered.groupBy("key").agg(F.min("nr").alias("centre")), "key"), "met")
+    tokens_of = line_sets(docs, id_col, text, width, first.select("nr", "at"))
 
     a, b = met.alias("a"), met.alias("b")
     fits = could_match(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"))
     star = a.filter("nr = centre").join(b.filter("nr > centre"), F.col("a.key") == F.col("b.key")).filter(fits)
-    settled = stage(verified(star.select(F.col("a.nr").alias("x"), F.col("b.nr").alias("y")).distinct(), sets), "settled")
+    settled = stage(verified(star.select(F.col("a.nr").alias("x"), F.col("b.nr").alias("y")).distinct(), tokens_of), "settled")
     open_rows = met.filter("nr > centre").join(settled, met["nr"] == settled["y"], "left_anti").alias("b")
     rest = a.filter("nr > centre").join(open_rows, (F.col("a.key") == F.col("b.key")) & (F.col("a.nr") < F.col("b.nr"))).filter(fits)
-    more = verified(rest.select(F.col("a.nr").alias("x"), F.col("b.nr").alias("y")).distinct(), sets)
+    more = verified(rest.select(F.col("a.nr").alias("x"), F.col("b.nr").alias("y")).distinct(), tokens_of)
     near = first.select("nr", "at").join(settled.union(more), F.col("nr") == F.col("y"), "left_semi").select("at.doc", "at.line")
-    equal = joined.filter(F.col("at") != F.col("first")).select("at.doc", "at.line")
     return stage(equal.union(near), "later-matches")
 
 
 def line_sets(docs: DataFrame, id_col: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
-    """(nr, tokens) of the wanted lines, read from their documents again."""
-    wanted = stage(wanted, "wanted-lines")
-    maybe = docs.filter(maybe_seen(seen_filter(wanted.select(F.xxhash64("at.doc").alias("d")).distinct(), "d"), F.xxhash64(document(id_col, text))))
-    lines = token_lines(maybe, id_col, text, width).select(F.struct("doc", "line").alias("place"), "tokens")
-    return stage(lines.join(wanted, F.col("place") == F.col("at")).select("nr", "tokens"), "line-sets")
+    """(nr, tokens) of the wanted lines, read from their documents again; only those lines are hashed."""
+    seen = seen_filter(wanted.select(F.xxhash64("at").alias("p")), "p")
+    place = F.struct("doc", "line")
+    lines = text_lines(docs, id_col, text).filter(maybe_seen(seen, F.xxhash64(place)))
+    found = lines.select(place.alias("place"), F.array_distinct(tokens(F.col("body"), width)).alias("tokens")).join(wanted, F.col("place") == F.col("at"))
+    return stage(found.dropDuplicates(["nr"]).select("nr", "tokens"), "line-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
