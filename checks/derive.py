@@ -193,12 +193,12 @@ def choices(source: str = ITEMS) -> str:
     return CHOICES.replace("{items}", source)
 
 
-def newest(source: str, n: int) -> str:
+def newest(source: str, n: int | str, keys: str = "feed") -> str:
     return (f"(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER "
-            f"(PARTITION BY feed ORDER BY pub_epoch DESC, seq) AS rn FROM {source}) WHERE rn <= {n})")
+            f"(PARTITION BY {keys} ORDER BY pub_epoch DESC, seq) AS rn FROM {source}) WHERE rn <= {n})")
 
 
-def statuses(source: str, n: int) -> str:
+def statuses(source: str, n: int | str, keys: str = "feed") -> str:
     """Status of every item of a run, first importable item per address wins."""
     return f"""(SELECT *, CASE WHEN dup OR NOT ok THEN 'skipped' WHEN before > 0 THEN 'skipped'
       WHEN choice <> 'none' THEN 'imported' ELSE 'failed' END AS status,
@@ -206,7 +206,7 @@ def statuses(source: str, n: int) -> str:
       WHEN choice = 'none' THEN 'Conteúdo não encontrado' ELSE '' END AS reason
     FROM (SELECT *, coalesce(sum(CASE WHEN NOT dup AND ok AND choice <> 'none' THEN 1 ELSE 0 END) OVER (
         PARTITION BY link ORDER BY feed_pos, feed, pub_epoch, -seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM (SELECT *, link IN {SEEN} AS dup, {trusted('link')} AS ok FROM {choices(newest(source, n))})))"""
+      FROM (SELECT *, link IN {SEEN} AS dup, {trusted('link')} AS ok FROM {choices(newest(source, n, keys))})))"""
 
 
 # --- schedules from events ---------------------------------------------------

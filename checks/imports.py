@@ -58,6 +58,26 @@ def run_dedup(spark, folder):
     return out.results.select("feed", "seq", "link", "status", "reason")
 
 
+_TWICE = f"""(SELECT i.* EXCLUDE (feed_pos), s.* FROM {d.ITEMS} i,
+  (VALUES (0, 2, 3, true, 'publish'), (1, 4, 0, false, 'pending')) s(feed_pos, quantity, category, translate, post_status))"""
+
+
+@check("daily_import", f"""
+SELECT CAST(feed_pos AS BIGINT) AS schedule_row, feed, seq, link, status, reason, CAST(quantity AS BIGINT) AS quantity,
+  translate FROM {d.statuses(_TWICE, 'quantity', 'feed, feed_pos')}""")
+def daily_import(spark, folder):
+    """Every feed is scheduled twice, with different settings."""
+    items = _items(spark, folder)
+    settings = F.array(*[
+        F.struct(F.lit(p).cast("long").alias("feed_pos"), F.lit(q).alias("quantity"), F.lit(c).alias("category"),
+                 F.lit(t).alias("translate"), F.lit(s).alias("post_status"))
+        for p, q, c, t, s in ((0, 2, 3, True, "publish"), (1, 4, 0, False, "pending"))
+    ])
+    feeds = items.select(F.col("feed").alias("feed_url")).distinct().select("feed_url", F.inline(settings))
+    out = _run(spark, folder, im.daily_items(items, feeds), replace(im.DAILY, default_category=7))
+    return out.results.select("schedule_row", "feed", "seq", "link", "status", "reason", F.col("quantity").cast("long").alias("quantity"), "translate")
+
+
 @check("import_force", f"""
 SELECT feed, seq, CASE WHEN NOT {d.trusted('link')} THEN 'skipped' WHEN choice <> 'none' THEN 'imported' ELSE 'failed' END AS status
 FROM {d.choices(d.newest(d.WITH_MIRROR, N))}""")
@@ -74,11 +94,12 @@ _POST = f"""(SELECT md5(link || '|' || feed || '|' || seq || '|{d.NOW}') AS post
 
 @check("posts_out", f"""
 SELECT post_id, post_title, md5(post_content) AS content_md5, 'publish' AS post_status, CAST(1 AS BIGINT) AS post_author,
-  'post' AS post_type, TIMESTAMP '{d.NOW}' AS post_date, CAST(7 AS BIGINT) AS category, link AS url FROM {_POST}""")
+  'post' AS post_type, TIMESTAMP '{d.NOW}' AS post_date, TIMESTAMP '{d.NOW}' + INTERVAL 3 HOUR AS post_date_gmt, CAST(7 AS BIGINT) AS category, link AS url FROM {_POST}""")
 def posts_out(spark, folder):
-    return _run(spark, folder).posts.select(
+    out = _run(spark, folder, options=replace(OPTIONS, time_zone="America/Sao_Paulo"))
+    return out.posts.select(
         "post_id", "post_title", F.md5("post_content").alias("content_md5"), "post_status", "post_author", "post_type",
-        "post_date", "category", "url")
+        "post_date", "post_date_gmt", "category", "url")
 
 
 _META = f"""(SELECT post_id, unnest(['_newsloom_original_url', '_newsloom_imported', '_newsloom_source_title']) AS meta_key,

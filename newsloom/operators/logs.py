@@ -15,10 +15,12 @@ from newsloom.functions.dates import moment
 LOG_FIELDS = ("id", "time", "level", "message", "context")
 
 
-def log_rows(source: DataFrame, now, level, message, context=None, id_seed: str = "") -> DataFrame:
+def log_rows(source: DataFrame, now, level, message, context=None, id_seed: str = "", position: Column | None = None) -> DataFrame:
     """Log rows from any table: level upper-cased, structured context as JSON text.
 
-    Ids are hashes of the row, so writing the same rows twice gives equal ids.
+    Ids are hashes of the row, so writing the same rows twice gives equal ids.  Where equal messages may
+    come more than once in a run, ``position`` (a value of the source that no two rows share) keeps their
+    ids apart; retention counts on ids that differ.
     """
     if context is None:
         text: Column = F.lit(None).cast("string")
@@ -32,10 +34,10 @@ def log_rows(source: DataFrame, now, level, message, context=None, id_seed: str
         F.upper(strip_all_tags(as_col(level))).alias("level"),
         strip_all_tags(as_col(message)).alias("message"),
         text.alias("context"),
+        *([] if position is None else [F.to_json(F.struct(position.alias("p"))).alias("_position")]),
     )
-    return rows.select(
-        hash_id(F.lit(id_seed), "time", "level", "message", "context").alias("id"), *LOG_FIELDS[1:]
-    )
+    parts = [F.lit(id_seed), "time", "level", "message", "context", *([] if position is None else ["_position"])]
+    return rows.select(hash_id(*parts).alias("id"), *LOG_FIELDS[1:])
 
 
 def append_logs(rows: DataFrame, path: str) -> None:

@@ -16,11 +16,12 @@ INLINE_SOURCES = 500
 
 def newest_per_feed(
     items: DataFrame, quantity: int | str, max_quantity: int | None = None,
-    feed: str = "feed", date: str = "pub_epoch", seq: str = "seq",
+    feed: str | list[str] = "feed", date: str = "pub_epoch", seq: str = "seq",
 ) -> DataFrame:
     """The newest ``quantity`` items of each feed; 0 keeps all of them.
 
-    ``quantity`` is a number or the name of a column that is constant per feed.
+    ``quantity`` is a number or the name of a column that is constant per feed.  ``feed`` may name several
+    columns: a feed that is scheduled twice is two feeds here.
     Every map task first keeps only its own newest items of each feed (Spark's
     window group limit), so a feed with most of the rows sends few of them on.
     For a column Spark needs to know a bound for that: ``max_quantity`` says

@@ -50,6 +50,13 @@ def mime_type(file_name: Column) -> Column:
     return F.try_element_at(known, F.lower(F.regexp_extract(file_name, r"\.([A-Za-z0-9]+)$", 1)))
 
 
+# The attributes before src are passed one by one, so neither data-src nor a quoted "src=" is taken for it.
+_SRC_ATTRIBUTE = (
+    r"""(?i)<img(?:\s++(?!src[\s=])[^\s=>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?+)*+"""
+    r"""\s++src\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
+)
+
+
 def image_manifest(posts: DataFrame, post_id: str = "post_id", html: str = "post_content", base: str = "url") -> DataFrame:
     """One row per usable image of a post: address, file, type, title, class mark.
 
@@ -75,7 +82,7 @@ def image_manifest(posts: DataFrame, post_id: str = "post_id", html: str = "post
         return F.when(~is_blank(src), let(resolve_url(src, F.col(base)), named))
 
     images = F.filter(
-        F.transform(all_matches(html, fixed.IMG_SRC_PATTERN, 1), entry),
+        F.transform(all_matches(html, _SRC_ATTRIBUTE, 1), lambda src, k: entry(F.regexp_replace(src, r"""^["']|["']$""", ""), k)),
         lambda i: i["mime_type"].isNotNull() & i["image_url"].rlike(r"^https?://[^/\s?#]+([/?#]\S*)?$"),
     )
     return posts.select(F.col(post_id).alias("post_parent"), F.inline(images))

@@ -43,6 +43,7 @@ class ImportOptions:
     default_category: int = 0
     post_author: int = 1
     trust_match: str = "contains"
+    time_zone: str = "UTC"            # the site's own; "now" is its local time
     meta_prefix: str = "_newsloom_"   # set to the site's own prefix to go on with its tables
     extraction: dict = field(default_factory=dict)
 
@@ -137,13 +138,19 @@ def item_status(items: DataFrame, winners: DataFrame, key: str, order: str) -> D
 
 
 def import_summary(results: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
-    """Counts per feed.  ``feeds(feed, feed_error)`` adds feeds without items and failed fetches."""
-    counts = results.groupBy("feed").agg(*[
+    """Counts per feed, or per schedule row and feed where the results come from a schedule.
+
+    ``feeds(feed, feed_error)`` adds feeds without items and failed fetches; with a ``schedule_row`` it
+    is joined by that too.
+    """
+    keys = [c for c in ("schedule_row", "feed") if c in results.columns]
+    counts = results.groupBy(*keys).agg(*[
         F.count_if(F.col("status") == s).cast("long").alias(s) for s in ("imported", "skipped", "failed")
     ])
     if feeds is None:
         return counts
-    return feeds.select("feed", "feed_error").join(counts, "feed", "left").na.fill(0, ["imported", "skipped", "failed"])
+    on = [c for c in keys if c in feeds.columns]
+    return feeds.select(*on, "feed_error").join(counts, on, "left").na.fill(0, ["imported", "skipped", "failed"])
 
 
 def import_totals(results: DataFrame) -> DataFrame:
@@ -161,15 +168,17 @@ def build_posts(winners: DataFrame, now, options: ImportOptions) -> DataFrame:
         return F.coalesce(F.col(name), F.lit(default)) if name in winners.columns else F.lit(default)
 
     category = choice("category", options.category_id)
+    # with force, two schedule rows of one feed post the same item twice
+    row = [F.col("schedule_row").cast("string")] if "schedule_row" in winners.columns else []
     return winners.select(
-        F.md5(F.concat_ws("|", "link", "feed", F.col("seq").cast("string"), when_run)).alias("post_id"),
+        F.md5(F.concat_ws("|", "link", "feed", F.col("seq").cast("string"), when_run, *row)).alias("post_id"),
         strip_all_tags("title").alias("post_title"),
         F.col("content").alias("post_content"),
         choice("post_status", options.post_status).alias("post_status"),
         F.lit(options.post_author).cast("long").alias("post_author"),
         F.lit("post").alias("post_type"),
         moment(now).alias("post_date"),
-        moment(now).alias("post_date_gmt"),
+        F.convert_timezone(F.lit(options.time_zone), F.lit("UTC"), moment(now)).alias("post_date_gmt"),
         F.when(category > 0, category).otherwise(options.default_category).cast("long").alias("category"),
         (F.col("featured_image") if options.set_featured else F.lit("")).alias("featured_image"),
         F.coalesce("meta_description", F.lit("")).alias("meta_description"),
@@ -270,19 +279,22 @@ def flag_items(
     with their flags: the item table and the history are each read once, and from
     here on the planner knows the real sizes when it picks a join.
     """
-    defaults = {"feed_pos": F.lit(1), "feed_title": F.lit(""), "content": F.lit(""), "description": F.lit("")}
+    defaults = {"feed_pos": F.lit(1), "feed_title": F.lit(""), "content": F.lit(""), "description": F.lit(""),
+                "translate": F.lit(options.translate)}
     for name, value in defaults.items():
         if name not in items.columns:
             items = items.withColumn(name, value)
     items = items.withColumn("link", F.coalesce("link", F.lit("")))
-    looked_at = store(newest_per_feed(items, options.quantity, options.max_quantity), "looked-at")
+    # a feed that is scheduled twice is looked at twice, each time by its own settings
+    scheduled = ["schedule_row"] if "schedule_row" in items.columns else []
+    looked_at = store(newest_per_feed(items, options.quantity, options.max_quantity, ["feed", *scheduled]), "looked-at")
     if options.mode == "normal":
         seen = imported_among(post_meta, looked_at, options.meta_key("original_url"))
         looked_at = with_duplicate_flag(looked_at, seen)
         key = F.col("link")
     else:
         looked_at = looked_at.withColumn("is_duplicate", F.lit(False))
-        key = F.concat_ws("|", "feed", F.col("seq").cast("string"), "link")
+        key = F.concat_ws("|", *scheduled, "feed", F.col("seq").cast("string"), "link")
     flagged = with_trust_flag(looked_at, sources, match=options.trust_match)
     return store(flagged.withColumn("run_key", key).withColumn("run_order", run_order()), "flagged")
 
@@ -329,6 +341,7 @@ def run_logs(results: DataFrame, now) -> DataFrame:
     failed = log_rows(
         results.where(F.col("status") == "failed"), now, F.lit("WARNING"),
         fill(fixed.ITEM_FAILED_MESSAGE, error=F.col("reason"), title=F.col("title")), F.struct("feed", "link"),
+        position=F.struct("run_order"),
     )
     totals = results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("imported", "skipped", "failed")])
     closing = log_rows(
@@ -372,9 +385,12 @@ def import_run(
 
 
 def daily_items(items: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Items of the feeds that run, with each feed's settings beside them."""
+    """Items of the feeds that run, with each schedule row's settings beside them.
+
+    A feed address may be scheduled more than once; its items come once per ``schedule_row``.
+    """
     settings = feeds.select(
-        F.col("feed_url").alias("feed"), "feed_pos", "quantity", "category", "translate", "post_status"
+        F.col("feed_url").alias("feed"), "feed_pos", F.col("feed_pos").alias("schedule_row"), "quantity", "category", "translate", "post_status"
     )
     return items.drop("feed_pos").join(settings, "feed")
 

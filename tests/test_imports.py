@@ -166,6 +166,32 @@ def test_daily_run_takes_settings_from_feeds(spark, world):
     assert {(r.feed, r.category, r.post_status) for r in out.posts.collect()} <= {("feed1", 9, "publish"), ("feed2", 4, "pending")}
 
 
+def test_a_feed_scheduled_twice_is_two_feeds(spark):
+    """Each schedule row looks at its own number of items; what the first imports is a duplicate for the second."""
+    items = [(1, "f", i, f"https://good.example/{i}", f"T{i}", "<p>own</p>", "", i) for i in range(10)]
+    feeds = spark.createDataFrame([(0, "f", 2, 3, True, "publish"), (1, "f", 4, 0, False, "pending")],
+                                  "feed_pos long, feed_url string, quantity int, category int, translate boolean, post_status string")
+
+    def go(mode):
+        return im.import_run(im.daily_items(make(items, spark), feeds), spark.createDataFrame([], "url string, html string"),
+                             spark.createDataFrame([], META), spark.createDataFrame([("good.example", "G")], SOURCE), NOW,
+                             replace(im.DAILY, mode=mode, time_zone="America/Sao_Paulo"))
+
+    out = go("normal")
+    assert {(r.schedule_row, r.imported, r.skipped) for r in out.summary.collect()} == {(0, 2, 0), (1, 2, 2)}
+    assert sorted((r.url[-1], r.category, r.post_status) for r in out.posts.collect()) == [
+        ("6", 0, "pending"), ("7", 0, "pending"), ("8", 3, "publish"), ("9", 3, "publish")]
+    assert {str(r.post_date_gmt) for r in out.posts.collect()} == {"2024-01-15 13:00:00"}
+    forced = go("force")
+    assert {(r.schedule_row, r.imported) for r in forced.summary.collect()} == {(0, 2), (1, 4)}
+    assert len({r.post_id for r in forced.posts.collect()}) == 6
+
+
+def test_manual_run_passes_its_translate_option_on(spark, world):
+    out = run(spark, world, im.manual(im.ImportOptions(translate=True), quantity=3))
+    assert {r.translate for r in out.results.collect()} == {True}
+
+
 def test_feed_errors_in_summary(spark):
     results = spark.createDataFrame([("a", "imported")], "feed string, status string")
     feeds = spark.createDataFrame([("a", None), ("b", "timeout")], "feed string, feed_error string")

@@ -28,6 +28,12 @@ def test_retention_and_expired_split_the_table(spark):
         assert kept == list(range(max(0, n - keep), n)) and gone == list(range(max(0, n - keep)))
 
 
+def test_equal_messages_get_ids_of_their_own(spark):
+    rows = lg.log_rows(spark.range(6), NOW, F.lit("info"), F.lit("same"), position=F.col("id"))
+    assert rows.select("id").distinct().count() == 6
+    assert lg.log_retention(rows, 2).count() == 2 and lg.log_expired(rows, 2).count() == 4
+
+
 def test_pages_and_search(spark):
     table = logs(spark, 25)
     assert [r.id for r in lg.log_page(table, 2, 10).collect()] == list(range(14, 4, -1))

@@ -6,7 +6,7 @@ from newsloom.functions import page as pg
 from newsloom.functions.html_tree import NODE_FIELDS, encode_page
 from newsloom.functions.text import decode_entities, paragraphs_to_html
 from newsloom.operators.blocks import main_content
-from newsloom.plans.extract import extract_pages
+from newsloom.plans.extract import extract_pages, image_manifest
 from newsloom.sources.pages import decode_pages
 
 NAMES = [n for n, _ in NODE_FIELDS]
@@ -131,3 +131,10 @@ def test_charsets(spark):
     out = decode_pages(spark.createDataFrame([(bytearray(r),) for r in raw], "content binary")).collect()
     assert [r.charset for r in out] == ["UTF-8", "ISO-8859-1", "WINDOWS-1252", "NONSENSE"]
     assert all(r["html"].endswith("é") for r in out)
+
+
+def test_images_take_the_src_attribute_itself(spark):
+    html = ("<img src='a.jpg' data-src='b.jpg'><img data-src=\"x.jpg\" alt='say src=\"y.jpg\"' src=c.png>"
+            "<IMG class=wide SRC = \"d.gif\" /><img alt='none'>")
+    rows = image_manifest(spark.createDataFrame([(1, "https://h.example/p/x.html", html)], "post_id long, url string, post_content string"))
+    assert [r.image_url for r in rows.orderBy("position").collect()] == [f"https://h.example/p/{n}" for n in ("a.jpg", "c.png", "d.gif")]
