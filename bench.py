@@ -13,7 +13,7 @@ from checks import QUERIES  # noqa: E402
 from newsloom.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "import_summary", "run_dedup", "posts_out", "page_extract", "best_block", "page_title", "page_images",
+    "import_summary", "daily_import", "run_dedup", "posts_out", "page_extract", "best_block", "page_title", "page_images",
     "feed_items", "feed_top_n", "new_items", "trusted_items", "feed_config", "feeds_due", "feed_analysis",
     "log_counts", "log_page", "log_retention", "language_detect", "text_chunks", "media_placeholders",
     "translate_pending", "rewrite_prompts", "rewrite_parse", "tag_placeholders", "protect_tokens", "protect_roundtrip",

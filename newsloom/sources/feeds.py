@@ -149,6 +149,26 @@ def feed_items(documents: DataFrame, xml: str = "xml", keep: tuple[str, ...] = (
     return out
 
 
+def failed_documents(documents: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ("feed",)) -> DataFrame:
+    """``keep`` and ``feed_error`` of the documents that ``feed_items`` gives no item of because they cannot be read.
+
+    A feed that is well formed but has no items is no failure.  The rows fit ``import_summary``'s ``feeds``.
+    """
+    body = F.col(xml)
+    marked = documents.select(
+        *keep, is_blank(F.trim(body)).alias("_empty"), document_dialect(body).alias("_dialect"),
+        body.rlike(r"<[\w\-]+:(rss|RSS|feed)[\s>]").alias("_prefixed"),
+        F.from_xml(body, "channel string, title string, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("_doc"),
+    )
+    error = (
+        F.when(F.coalesce(F.col("_empty"), F.lit(True)), "empty document")
+        .when(F.col("_dialect").isNull(), "unknown dialect")
+        .when(F.col("_prefixed"), "prefixed elements")
+        .when(F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull(), "malformed XML")
+    )
+    return marked.select(*keep, error.alias("feed_error")).where("feed_error IS NOT NULL")
+
+
 # --- one item's derived fields --------------------------------------------
 
 def item_image() -> Column:

@@ -83,3 +83,15 @@ def test_main_feed_only_without_any_schedule(spark):
 def test_next_run(spark):
     row = spark.range(1).select(next_daily_run("2024-01-15 09:00:00", F.lit("09:00")).alias("a"), next_daily_run("2024-01-15 09:00:00", F.lit("09:01")).alias("b")).first()
     assert (row.a, row.b) == (dt.datetime(2024, 1, 16, 9), dt.datetime(2024, 1, 15, 9, 1))
+
+
+def test_documents_that_cannot_be_read_are_named(spark):
+    rss = "<rss><channel><title>T</title>{}</channel></rss>"
+    docs = spark.createDataFrame([
+        ("good", rss.format("<item><title>a</title><link>https://h.example/1</link></item>")), ("no items", rss.format("")),
+        ("atom", '<feed xmlns="http://www.w3.org/2005/Atom"><title>T</title><entry><title>a</title></entry></feed>'),
+        ("page", "<html><body>moved</body></html>"), ("broken", rss.format("<item><title>a</item>")),
+        ("prefixed", "<atom:feed><atom:title>T</atom:title></atom:feed>"), ("blank", " "), ("none", None)], "feed string, xml string")
+    assert {r.feed: r.feed_error for r in fd.failed_documents(docs).collect()} == {
+        "page": "unknown dialect", "broken": "malformed XML", "prefixed": "prefixed elements", "blank": "empty document", "none": "empty document"}
+    assert {r.feed for r in fd.feed_items(docs.where("feed <> 'broken'")).collect()} == {"good", "atom"}
