@@ -1,0 +1,52 @@
+"""Near copies against the Jaccard similarity of all pairs."""
+
+import random
+
+from newsloom.llm import simhash
+
+
+def shingles(text, width=5):
+    words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i:i + width]) for i in range(max(len(words) - width + 1, min(len(words), 1)))}
+
+
+def kept_by_all_pairs(rows):
+    sets = {i: shingles(t) for i, t in rows}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if sets[a] == sets[b] or sets[a] | sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    return {i for i in sets if label[i] == i}
+
+
+def corpus():
+    deal = random.Random(8)
+    fill = lambda n: [f"w{deal.randrange(5000)}" for _ in range(n)]
+    rows = [fill(deal.choice([3, 5, 30, 120, 400])) for _ in range(60)]
+    for _ in range(150):  # copies with some words replaced, near 0.8 on either side; copies of copies make chains
+        words = list(deal.choice(rows))
+        for _ in range(max(1, round(len(words) * deal.choice([0, 0.01, 0.02, 0.024])))):
+            words[deal.randrange(len(words))] = "x" + str(deal.randrange(10**6))
+        rows.append(words)
+    rows += [["The", "same", "head"] * 40 + fill(90) for _ in range(30)] + [fill(7) for _ in range(3)] + [["one"], ["ONE"], ["one", "two"]]
+    deal.shuffle(rows)
+    return [(i, " ".join(w)) for i, w in enumerate(rows)] + [(900, None), (901, ""), (902, " \n")]
+
+
+def test_every_pair_at_four_fifths_is_found(spark):
+    rows = corpus()
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(kept_by_all_pairs(rows))
+    far = [(a, b) for a, s in rows for b, t in rows if a < b and shingles(s) and len(shingles(s) & shingles(t)) >= 0.8 * len(shingles(s) | shingles(t))
+           and (simhash.fingerprint_of(s, 5) ^ simhash.fingerprint_of(t, 5)).bit_count() > 4]
+    assert len(far) > 10  # the case is there: matches that fingerprints four bits apart miss
+
+
+def test_matches_that_only_others_link(spark):
+    base = [f"t{k}" for k in range(200)]
+    swap = lambda *at: " ".join(f"s{k}" if k in at else w for k, w in enumerate(base))
+    rows = [(5, swap()), (7, swap(20, 60, 100)), (9, swap(30, 70, 110, 150)), (11, swap(20, 60, 100, 140, 180, 10, 50))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["doc_id"] for r in kept.collect()} == kept_by_all_pairs(rows) == {5}
