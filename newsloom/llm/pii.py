@@ -1,10 +1,10 @@
-"""Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
+"""Personal data: fixed patterns, and a semi-Markov segment model, trained as a perceptron, for what they miss.
 
-Candidate segments are runs of up to ``LONGEST`` tokens in zones around digits and at-signs.  Features of the
+Candidate segments are runs of up to ``LONGEST`` tokens in zones around digits, at-signs and spelled-out ones.  Features of the
 whole segment (its shape, number of digits, checksum, neighbours) score it as one of the kinds, and a dynamic
 program over the zone chooses boundaries and kinds together.  The weights are trained here, by structured
 perceptron, on at most ``sample`` zones of the corpus, labelled by the patterns and by variants of what they
-find (no leading plus, at-signs and dots spelled out).  Spans of the patterns always stay; the field adds
+find (no leading plus, at-signs and dots spelled out, addresses without digits).  Spans of the patterns always stay; the field adds
 spans that overlap none of them.  Null and empty texts have no spans.
 """
 
@@ -30,7 +30,9 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]|[\[(]dot[\])]|\bdot\b")
+# The word "at" opens a zone where a dotted name, its dots written or spelled out, comes next
+TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]|[\[(]dot[\])]|\bdot\b"
+                     r"|\bat(?=[\x20\x09-\x0D]+[a-z0-9-]+(?:\.|[\x20\x09-\x0D]*[\[(]dot[\])][\x20\x09-\x0D]*|[\x20\x09-\x0D]+dot[\x20\x09-\x0D]+)[a-z0-9])", re.I)
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 
 Span = tuple[str, int, int]
@@ -98,7 +100,7 @@ def zones(text: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
         at = cursor = token.end()
         for _ in range(around):
             nxt = TOKEN.search(text, cursor, min(len(text), cursor + 300))
-            if nxt is None or TRIGGER.search(nxt[0]):
+            if nxt is None or (hit := TRIGGER.search(text, nxt.start())) and hit.start() < nxt.end():  # what follows "at" is outside its token
                 break
             zone.append(nxt.span())
             at = cursor = nxt.end()
@@ -184,15 +186,29 @@ def variant(text: str, spans: list[Span], deal: random.Random) -> tuple[str, lis
     return text[:start] + piece + text[end:], [*other, (kind, start, start + len(piece))]
 
 
+def plain_address(text: str, spans: list[Span], deal: random.Random) -> tuple[str, list[Span]]:
+    """The text with one address replaced by one without digits, of few or many parts, spelled out."""
+    kind, start, end = deal.choice([s for s in spans if s[0] == "email"])
+    part = lambda: "".join(deal.choice("abcdefghij") for _ in range(deal.randrange(2, 9)))
+    local = deal.choice([".", "-", "_"]).join(part() for _ in range(deal.choice([1, 1, 2])))
+    host = ["-".join(part() for _ in range(deal.choice([1, 1, 1, 2]))) for _ in range(deal.choice([2, 2, 3, 4]))]
+    piece = local + deal.choice([" at ", " at ", " (at) ", " [at] ", "[at]"]) + deal.choice([".", ".", " dot ", " [dot] ", " (dot) ", "[dot]"]).join(host)
+    shift = len(piece) - (end - start)
+    other = [(k, s + shift * (s >= end), e + shift * (s >= end)) for k, s, e in spans if (k, s, e) != (kind, start, end) and (e <= start or s >= end)]
+    return text[:start] + piece + text[end:], [*other, (kind, start, start + len(piece))]
+
+
 def train(texts: list[str], rounds: int = 6, seed: int = 5) -> dict[tuple[str, str], float]:
     """Averaged structured perceptron over zone texts."""
-    deal = random.Random(seed)
+    deal, apart = random.Random(seed), random.Random(seed + 1)
     examples = []
     for text in texts:
         spans = base_spans(text)
         examples.append((text, spans))
         if spans:
             examples += [variant(text, spans, deal) for _ in range(2)]
+        if any(kind == "email" for kind, _, _ in spans):
+            examples += [plain_address(text, spans, apart) for _ in range(2)]
     cases = []
     for text, spans in examples:
         tokens = [m.span() for m in TOKEN.finditer(text)]

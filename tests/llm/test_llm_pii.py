@@ -71,6 +71,28 @@ def test_field_finds_held_out_variants():
     assert right / made > 0.9 and false <= 10
 
 
+def test_addresses_without_digits():
+    fill, names = ["river", "stone", "words", "about", "nothing"], ["john", "mary.ann", "bob-lee", "x_y"]
+    ways = [" at {}.{}", " AT {}.{}", " at {} dot {}", " At {} Dot {}", " [AT] {}.{}", " (AT) {} [DOT] {}", " (at) {} (dot) {}"]
+    weights = pii.train([text[z[0][0]:z[-1][1]] for text in sentences(random.Random(1), 300) for z in pii.zones(text)])
+    made = right = 0
+    for way in ways:
+        for name in names:
+            for host, end in (("example", "com"), ("my-site", "org")):
+                written = name + way.format(host, end)
+                text = " ".join([*fill[:4], written, *fill])
+                start = text.index(written)
+                zone = [t for z in pii.zones(text) for t in z]
+                assert any(i == start for i, _ in zone) and any(j == start + len(written) for _, j in zone), text
+                made += 1
+                right += ("email", start, start + len(written)) in pii.spans_of(text, weights)[1]
+    assert right / made > 0.9
+    far = "5 river stone at example.com then nothing"  # the name behind a word that follows another trigger
+    assert far.index("example") in [i for z in pii.zones(far) for i, _ in z]
+    for text in ("we met at home. Then we left", "look at this, nothing more", "at", "at .com"):
+        assert list(pii.zones(text)) == []
+
+
 def test_rows(spark, tmp_path):
     rows = [(1, "mail x.1@mail2.example.com or +1 (415) 555-2671 é", "p"), (2, None, "p"), (3, "", "p"), (None, "10.0.0.1", "p"), (4, "clean text only", "p")]
     rows += [(i, t, "p") for i, t in enumerate(sentences(random.Random(3), 60), 10)]
