@@ -38,9 +38,9 @@ def terms(text: str | None) -> list[bytes]:
 
 
 class Queries:
-    """A block of queries: its vocabulary, and per query its terms and their weights."""
+    """A block of queries, named by id and hash of the text: its vocabulary, and per query its terms and their weights."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]) -> None:
+    def __init__(self, ids: list[tuple[int, int]], texts: list[str | None]) -> None:
         counts = [Counter(terms(t)) for t in texts]
         self.ids, self.vocabulary = ids, {w: k for k, w in enumerate(sorted(set().union(*counts)))}
         self.terms = [np.array(sorted(self.vocabulary[w] for w in c), np.int64) for c in counts]
@@ -141,7 +141,7 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def shard(batches: Iterator[pd.DataFrame], queries: Queries, idf: np.ndarray, mean: float, k: int) -> Iterator[pd.DataFrame]:
-    """The k best of this task's documents for every query: (query, id, score)."""
+    """The k best of this task's documents for every query: (query, content, id, score)."""
     weights = [idf[t] * n for t, n in zip(queries.terms, queries.times, strict=True)]
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, object), np.zeros(0))] * len(queries.ids)
     ids: list[int | None] = []
@@ -183,30 +183,33 @@ def shard(batches: Iterator[pd.DataFrame], queries: Queries, idf: np.ndarray, me
         index()
     for q, (some, scores) in enumerate(held):
         if len(some):
-            yield pd.DataFrame({"query": queries.ids[q], "id": pd.array([None if x != x else x for x in some], "Int64"), "score": scores})
+            yield pd.DataFrame({"query": queries.ids[q][0], "content": queries.ids[q][1], "id": pd.array([None if x != x else x for x in some], "Int64"), "score": scores})
 
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
-    """(query_id, doc_id, rank, score): the k best documents of each query; query ids must be given and distinct."""
+    """(query_id, doc_id, rank, score): the k best documents of each query row that has an id.
+
+    Rows equal in id and text are one query; several texts under one id are each ranked by themselves.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
+    asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null").distinct().withColumn("content", F.xxhash64("text"))
     total = asked.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-total // block_bytes))
     every = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     found = None
     for part in range(parts):  # a block of queries holds about block_bytes of text
-        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id").toPandas()
-        given = spark.sparkContext.broadcast(Queries(rows["id"].tolist(), rows["text"].tolist()))
+        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id", "content").toPandas()
+        given = spark.sparkContext.broadcast(Queries(list(zip(rows["id"].tolist(), rows["content"].tolist(), strict=True)), rows["text"].tolist()))
         counts = {r["term"]: r["n"] for r in every.select("text").mapInPandas(lambda b, g=given: frequencies(b, g.value), "term long, n long")
                   .groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most the block's vocabulary
         n, length = counts.get(-1, 0), counts.get(-2, 0)
         df = np.array([counts.get(t, 0) for t in range(len(given.value.vocabulary))], float)
         idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), length / max(n, 1)
-        best = every.mapInPandas(lambda b, g=given, i=idf, m=mean: shard(b, g.value, i, m, k), "query long, id long, score double")
+        best = every.mapInPandas(lambda b, g=given, i=idf, m=mean: shard(b, g.value, i, m, k), "query long, content long, id long, score double")
         best = stage(best, "shard-best")
         found = best if found is None else found.union(best)
-    order = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    order = Window.partitionBy("query", "content").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         F.col("query").alias("query_id"), F.col("id").alias("doc_id"), "rank", "score")
 

@@ -30,6 +30,20 @@ def test_best_are_those_of_the_formula(spark, monkeypatch, piece, block):
         assert got == pytest.approx(want) if not want else [g[1:] for g in got] == [w[1:] for w in want] and [g[0] for g in got] == pytest.approx([w[0] for w in want])
 
 
+def test_repeated_query_rows(spark):
+    rows = [(i, f"common word{i % 7} " + "x " * i) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], ROWS)
+    asked = [(0, "common word3"), (0, "common word3"), (5, "common word3"), (5, "word4 x"), (6, None), (6, None)]
+    found = search.top_k(spark.createDataFrame([(i, t, "x", "y") for i, t in asked], ROWS), docs).collect()
+    for query, texts in ((0, ["common word3"]), (5, ["common word3", "word4 x"])):
+        want = []
+        for text in texts:
+            scores = search.bm25(text, [t for _, t in rows])
+            want += [(d, rank) for rank, (_, d) in enumerate(sorted((-round(s, 9), d) for s, (d, _) in zip(scores, rows) if s > 0)[:10], 1)]
+        assert sorted((r["doc_id"], r["rank"]) for r in found if r["query_id"] == query) == sorted(want)
+    assert {r["query_id"] for r in found} == {0, 5}
+
+
 def test_blocks_are_skipped():
     import numpy as np
 
