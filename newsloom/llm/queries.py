@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import licenses, linededup, mixing, packing, pii, quality, search, shards, simhash, urlfilter
+from newsloom.llm import licenses, linededup, manifest, mixing, packing, pii, quality, search, shards, simhash, tokencount, urlfilter
 from newsloom.llm.common import table
 from newsloom.session import stage
 
@@ -96,3 +97,22 @@ def op10_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for every document whose id is divisible by 100."""
     docs = table(spark, sf_dir, "documents")
     return search.top_k(docs.filter("doc_id % 100 = 0"), docs).withColumn("score", F.round("score", 6))
+
+
+@query
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether they are more than 2,048."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a tampered copy still leads to the root."""
+    docs = table(spark, sf_dir, "documents")
+    values = [F.col(c) for c in manifest.COLUMNS]
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = F.when(even, manifest.leaf(*values[:-1], F.replace("text", F.lit("\n"), F.lit(""))))
+    found = manifest.manifest(docs, tampered=tampered)
+    start = F.coalesce("tampered", "leaf")
+    found = found.withColumns({"proof_sha256": manifest.proof_hash(F.col("proof")), "folded_root": manifest.folded(start, F.col("proof"))})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
