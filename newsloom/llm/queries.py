@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.llm import licenses, linededup, manifest, mixing, packing, pii, quality, search, shards, simhash, tokencount, urlfilter
+from newsloom.llm import licenses, linededup, manifest, mixing, packing, pii, quality, search, shards, simhash, spelling, tokencount, urlfilter
 from newsloom.llm.common import table
 from newsloom.session import stage
 
@@ -116,3 +116,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.coalesce("tampered", "leaf")
     found = found.withColumns({"proof_sha256": manifest.proof_hash(F.col("proof")), "folded_root": manifest.folded(start, F.col("proof"))})
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, root and number of near words of every word, letters lost in one of 97 runs."""
+    runs = spelling.runs(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("None")), F.lit(":"), F.col("run")).cast("binary"))
+    lost = F.pmod(F.col("h"), F.length("run")).cast("int")
+    word = F.when(F.col("h") % 97 == 0, F.concat(F.substring("run", F.lit(1), lost), F.substring("run", lost + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling.variants(spelling.counted(runs.withColumn("h", h).select(word.alias("word"))))
