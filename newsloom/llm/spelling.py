@@ -8,8 +8,8 @@ verified on the code points, so anagrams and the like go.
 
 Blocks hold words of one length; an edit also moves the count of each of the letter groups ``GROUPS`` by one at
 most, so a length is split into cells by those counts, and only the eleven kinds of neighbouring cells are
-multiplied.  A cell above ``BLOCK`` words is dealt into blocks by hash and every two blocks meet in a task row of
-their own, so no task holds a whole length.
+multiplied.  A cell above ``BLOCK`` words (or ``PART`` code points) is dealt into blocks by hash and every two blocks
+meet in a group of their own, so no task holds a whole length.
 
 A word's form is the near word that occurs most (ties: the smallest in code-point order), if it occurs at least
 twice as often as the word; following forms always leads to more frequent words, so to a root.  Null and empty
@@ -27,10 +27,10 @@ from newsloom.session import ship_package, stage
 
 RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FIRST, LETTERS = 0x61, 0x100 - 0x61  # code points of words, from a to U+00FF
 GROUPS = ("aeiou", "bcdfghjklm", "npqrs")  # the other letters are a fourth group
-BLOCK = 1024
-PART = 1 << 22  # code points compared at once
+BLOCK = 4096
+PART = 1 << 22  # code points held or compared at once
+STRIP = 512  # words of a block multiplied at once
 
 # how an edit moves (length, count of group 1, 2, 3); one of each pair of opposite moves
 MOVES = ((0, 0, 0, 0),
@@ -60,9 +60,29 @@ def code_points(words: np.ndarray) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.int32)
 
 
-def letter_counts(codes: np.ndarray) -> np.ndarray:
-    rows = np.arange(len(codes))[:, None] * LETTERS
-    return np.bincount((rows + codes - FIRST).ravel(), minlength=len(codes) * LETTERS).reshape(len(codes), LETTERS).astype(np.float64)
+def letter_counts(*codes: np.ndarray) -> list[np.ndarray]:
+    """How often each word has each of the letters that occur; single precision where that is exact."""
+    letters = np.unique(np.concatenate([c.ravel() for c in codes]))
+    exact = np.float32 if max(c.shape[1] for c in codes) <= 1024 else np.float64
+
+    def counts(words: np.ndarray) -> np.ndarray:
+        place = np.arange(len(words))[:, None] * len(letters) + np.searchsorted(letters, words)
+        return np.bincount(place.ravel(), minlength=len(words) * len(letters)).reshape(len(words), -1).astype(exact)
+
+    return [counts(c) for c in codes]
+
+
+def at_distance(x: np.ndarray, y: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``x`` and ``y`` at a squared distance: |x|^2 + |y|^2 - 2xy as one product, strip by strip."""
+    squares, ones = (y * y).sum(axis=1, keepdims=True), np.ones((len(y), 1), y.dtype)
+    other = np.ascontiguousarray(np.concatenate([y, ones, squares], axis=1).T)
+    found = []
+    for k in range(0, len(x), STRIP):
+        strip = x[k:k + STRIP]
+        own = np.concatenate([-2 * strip, (strip * strip).sum(axis=1, keepdims=True), np.ones((len(strip), 1), x.dtype)], axis=1)
+        hit = np.flatnonzero(own @ other == wanted)
+        found.append((k + hit // len(y), hit % len(y)))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -78,9 +98,7 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_pairs(left: np.ndarray, right: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of near words in two blocks of one length each, the second equal or one longer."""
     a, b = code_points(left), code_points(right)
-    x, y = letter_counts(a), letter_counts(b)
-    apart = (x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * (x @ y.T)
-    i, j = np.nonzero(apart == (2 if a.shape[1] == b.shape[1] else 1))
+    i, j = at_distance(*letter_counts(a, b), 2 if a.shape[1] == b.shape[1] else 1)
     if same:
         i, j = i[i < j], j[i < j]
     part = max(1, PART // b.shape[1])
@@ -103,7 +121,7 @@ def _meeting(rows: pd.DataFrame) -> pd.DataFrame:
 def near_words(words: DataFrame) -> DataFrame:
     """(word, near, near_n): all pairs of near words, both ways round, from staged (word, n)."""
     celled = words.select("word", "n", *cell_of(F.col("word")))
-    cells = stage(celled.groupBy(*CELL).agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "cells")
+    cells = stage(celled.groupBy(*CELL).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.count("*") * F.col("length") / PART)).alias("blocks")), "cells")
     dealt = celled.join(cells, list(CELL)).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")))
     there = cells.select(*(F.col(c).alias(f"to_{c}") for c in CELL), F.col("blocks").alias("others"))
     steps = F.array(*(F.struct(F.lit(move).alias("move"), F.lit(side).alias("side"),
