@@ -10,6 +10,7 @@ from newsloom.functions.dates import feed_date, next_daily_run
 from newsloom.functions.text import escape_html
 from newsloom.functions.urls import url_host
 from newsloom.operators import schedule
+from newsloom.session import fresh_dir
 from newsloom.sources import config
 from newsloom.sources import feeds as fd
 
@@ -170,6 +171,42 @@ def feed_analysis(spark, folder):
         "feed_url", F.concat(F.lit("https://"), "feed", F.lit("/rss"))).withColumn("analyzed_at", F.lit(d.NOW).cast("timestamp_ntz"))
 
 
+def failing_documents(df):
+    """The documents, some of them made unreadable by page number, and Atom ones with prefixed elements."""
+    docs = documents(df).join(df.select(F.concat(F.lit("feed"), F.col("page_id").cast("string")).alias("feed"), (F.col("page_id") % 10).alias("kept_as")), "feed")
+    prefixed = F.regexp_replace(F.replace("xml", F.lit("xmlns="), F.lit("xmlns:a=")), r"(</?)(\w)", "$1a:$2")
+    kept_as = F.col("kept_as")
+    xml = (F.when(kept_as == 0, F.replace("xml", F.lit("</title>"), F.lit("</titel>"))).when(kept_as == 1, "")
+           .when(kept_as == 2, "<html><body>moved</body></html>").when((kept_as == 3) & (F.col("kind") == "atom"), prefixed).otherwise(F.col("xml")))
+    return docs.select("feed", F.concat(F.col("feed"), F.lit(".xml")).alias("document"), xml.alias("xml"))
+
+
+READABLE = "(page_id % 10) > 2"
+FEED_ERROR = "CASE page_id % 10 WHEN 0 THEN 'malformed XML' WHEN 1 THEN 'empty document' WHEN 2 THEN 'unknown dialect' END"
+
+
+@check("failed_documents", f"SELECT 'feed' || page_id AS feed, {FEED_ERROR} AS feed_error FROM pages WHERE NOT {READABLE}")
+def failed_documents(spark, folder):
+    return fd.failed_documents(failing_documents(d.plain_pages(spark, folder)))
+
+
+@check("document_analysis", f"""
+SELECT feed, {READABLE} AS valid, coalesce({FEED_ERROR}, '') AS feed_error,
+  CAST(CASE WHEN NOT {READABLE} THEN 0 WHEN dialect = 'rss' THEN 2 ELSE 1 END AS BIGINT) AS item_count,
+  CASE WHEN {READABLE} THEN pub_date END AS last_update, CASE WHEN {READABLE} THEN {_AT} END AS last_update_ts,
+  CASE WHEN {READABLE} THEN feed_title END AS feed_title, 'h' || page_id || '.example' AS domain, TIMESTAMP '2024-01-15 10:00:00' AS analyzed_at FROM {_MAIN}""")
+def document_analysis(spark, folder):
+    """Analyses of readable and unreadable documents, kept and read back; the newer of two stays."""
+    docs = failing_documents(d.plain_pages(spark, folder))
+    docs = docs.withColumn("address", F.concat(F.lit("https://h"), F.substring("feed", 5, 20), F.lit(".example/rss")))
+    rows = fd.analyze_documents(fd.parse_documents(docs, keep=("feed", "address")), ("feed",), "address")
+    path = fresh_dir(spark, "analyses")
+    fd.save_analysis(rows.withColumn("item_count", F.lit(-1).cast("long")), path, "2024-01-14 10:00:00")
+    fd.save_analysis(rows, path, d.NOW)
+    kept = fd.last_analysis(spark.read.parquet(path))
+    return kept.withColumn("last_update_ts", F.col("last_update_ts").cast("timestamp_ntz"))
+
+
 @check("feed_preview", f"""
 SELECT feed, CAST(any_value(n) AS BIGINT) AS item_count, string_agg(url || ' ' || title || ' ' || pub_date, chr(10) ORDER BY rn) AS sample
 FROM (SELECT *, count(*) OVER (PARTITION BY feed) AS n, row_number() OVER (PARTITION BY feed ORDER BY pub_epoch DESC, seq) AS rn FROM {_BY_HOST})

@@ -16,7 +16,7 @@ from newsloom.operators.selection import (
     new_items,
     newest_per_feed,
     skipped_items,
-    trusted_items,
+    with_trust_flag,
 )
 from newsloom.plans import importer as im
 
@@ -133,6 +133,24 @@ def import_logs(spark, folder):
     return _run(spark, folder).logs.select("level", "message")
 
 
+@check("daily_logs", f"""
+SELECT 'INFO' AS level, '{fixed.RUN_STARTED_MESSAGE}' AS message
+UNION ALL SELECT 'INFO', 'Processando feed agendado: ' || feed || ' (qtd: 2, traduzir: sim, categoria: 3)' FROM (SELECT DISTINCT feed FROM {d.ITEMS})
+UNION ALL SELECT 'ERROR', 'Erro ao buscar feed: page ' || page_id FROM pages WHERE url LIKE '%/es/%'
+UNION ALL SELECT 'WARNING', {d.strip_all("'Falha ao importar: ' || title || ' — " + fixed.NO_CONTENT_ERROR + "'")} FROM {d.statuses(d.ITEMS, N)} WHERE status = 'failed'
+UNION ALL SELECT 'INFO', 'Importação diária concluída: ' || count(*) FILTER (status = 'imported') || ' importados, ' ||
+  count(*) FILTER (status = 'skipped') || ' pulados, ' || count(*) FILTER (status = 'failed') || ' falhas' FROM {d.statuses(d.ITEMS, N)}""")
+def daily_logs(spark, folder):
+    """All lines of a run, with its schedule and the feeds that could not be read."""
+    run = _run(spark, folder)
+    feeds = _items(spark, folder).select(F.col("feed").alias("feed_url")).distinct().select(
+        "feed_url", F.col("feed_url").alias("feed_pos"), F.lit(2).alias("quantity"), F.lit(True).alias("translate"), F.lit(3).alias("category"))
+    run.scheduled = feeds
+    run.failed_feeds = d.plain_pages(spark, folder).where(F.contains("url", F.lit("/es/"))).select(
+        F.col("url").alias("feed"), F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("feed_error"))
+    return run.daily_logs.select("level", "message")
+
+
 @check("feed_top_n", f"SELECT feed, seq, link, pub_epoch FROM {d.newest(d.WITH_MIRROR, N)}")
 def feed_top_n(spark, folder):
     items = d.with_mirror(_items(spark, folder)).select("feed", "seq", "link", "pub_epoch")
@@ -151,9 +169,23 @@ def skipped(spark, folder):
     return skipped_items(_items(spark, folder), seen).select("feed", "seq", "link")
 
 
-@check("trusted_items", f"SELECT feed, seq, link FROM {d.ITEMS} WHERE {d.trusted('link')}")
+_LISTED = f"(SELECT DISTINCT lower(replace(substr({d.host('url')}, 2), 'www.', '')) AS domain FROM pages WHERE page_id % 3 = 0 AND length({d.host('url')}) > 1)"
+
+
+@check("trusted_items", f"""
+SELECT feed, seq, link, contains(host, domain) AS by_part, host = domain OR ends_with(host, '.' || domain) AS by_suffix
+FROM (SELECT feed, seq, link, lower(replace({d.host('link')}, 'www.', '')) AS host, NULL AS domain FROM {d.ITEMS}) WHERE false
+UNION ALL SELECT feed, seq, link, EXISTS (SELECT 1 FROM {_LISTED} l WHERE contains(host, l.domain)),
+  EXISTS (SELECT 1 FROM {_LISTED} l WHERE host = l.domain OR ends_with(host, '.' || l.domain))
+FROM (SELECT feed, seq, link, lower(replace({d.host('link')}, 'www.', '')) AS host FROM {d.ITEMS})""")
 def trusted(spark, folder):
-    return trusted_items(_items(spark, folder), d.sources(spark)).select("feed", "seq", "link")
+    """Every third page's host, without its first letter, is a source: a list that grows with the pages."""
+    listed = d.plain_pages(spark, folder).where("page_id % 3 = 0").select(F.expr("substr(parse_url(url, 'HOST'), 2)").alias("domain"))
+    listed = listed.where("domain <> ''")
+    items = _items(spark, folder).select("feed", "seq", "link")
+    for match, name in (("contains", "by_part"), ("suffix", "by_suffix")):
+        items = with_trust_flag(items, listed, match=match).withColumnRenamed("is_trusted", name)
+    return items
 
 
 @check("item_pages", f"""

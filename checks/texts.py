@@ -10,10 +10,11 @@ from checks import derive as d
 from checks.registry import check
 from newsloom import fixed_values as fixed
 from newsloom.functions import text as tx
-from newsloom.functions.basics import replace_tokens
 from newsloom.operators import markup as mk
 from newsloom.plans import rewrite as rw
 from newsloom.plans import translate as tr
+from newsloom.session import fresh_dir
+from newsloom.sources.committed import CommittedTables, Keyed
 from newsloom.sources.pages import spread
 
 
@@ -88,8 +89,12 @@ def translate_cache_merge(spark, folder):
     """Everything pending goes through the (offline) service once and into the cache."""
     pending = _pending(spark, folder).withColumns({"source_lang": F.lit("en"), "target_lang": F.lit("pt")})
     done = tr.call_service(pending, tr.offline_translate)
-    merged = tr.merge_cache(d.cache(spark, folder), done, d.NOW)
-    return merged.select("key", F.md5("value").alias("value_md5"), "cached_at")
+    # the stored entries and the run's own are parts of a bucketed table; merging leaves the newest of each key
+    tables = CommittedTables(fresh_dir(spark, "cache"), {"cache": tr.CACHE_SCHEMA}, {"cache": Keyed("key", tr.newest_entries, 16)})
+    tables.append(d.cache(spark, folder), "cache")
+    tables.append(tr.new_entries(done, d.NOW), "cache")
+    tables.compact(spark, "cache", most=1)
+    return tables.read(spark, "cache").select("key", F.md5("value").alias("value_md5"), "cached_at")
 
 
 # --- markup set aside --------------------------------------------------------
@@ -139,7 +144,7 @@ SELECT page_id, md5({_interleave('html', '<[^>]+>', "' ###TAG_' || (i - 1) || '#
   md5({_interleave('html', '<[^>]+>', "' ' || m || ' '")}) AS restored_md5 FROM pages""")
 def tag_placeholders(spark, folder):
     p = d.plain_pages(spark, folder).withColumn("tokens", mk.tags_to_tokens("html"))
-    return p.select("page_id", F.md5("tokens").alias("tokens_md5"), F.md5(replace_tokens("tokens", mk.tag_tokens("html"))).alias("restored_md5"))
+    return p.select("page_id", F.md5("tokens").alias("tokens_md5"), F.md5(mk.restore_tags("tokens", "html")).alias("restored_md5"))
 
 
 _MEDIA = ('<video src="v"></video><img src="1"><iframe src="f"></iframe><blockquote class="quote">q</blockquote>'
@@ -236,9 +241,15 @@ def translate_text(spark, folder):
 _ART = r"""regexp_extract(html, '(?is)<article>(.*?)</article>', 1)"""
 
 
+# pages above 20,000 bytes go section by section
+_SECTIONS = r"string_split(regexp_replace(content, '(?i)(<(?:h[1-6]|p|div|section|article)[^>]*>)', chr(1) || '\1', 'g'), chr(1))"
+_BY_SECTION = (f"array_to_string(list_transform(list_filter(list_transform({_SECTIONS}, lambda p: {d.trim('p')}), lambda p: p <> ''), "
+               f"lambda p: '[pt] ' || {_interleave('p', '<[^>]+>', "' ' || m || ' '")}), '')")
+
+
 @check("content_translation", f"""
 SELECT page_id, language = 'en' AS translated, CASE WHEN language = 'en' AND title <> '' THEN '[pt] ' || title ELSE title END AS title,
-  CASE WHEN strlen(content) > 20000 THEN 'long' WHEN language = 'en' THEN md5('[pt] ' || {_interleave('content', '<[^>]+>', "' ' || m || ' '")}) ELSE md5(content) END AS content_md5
+  CASE WHEN language = 'en' AND strlen(content) > 20000 THEN md5({_BY_SECTION}) WHEN language = 'en' THEN md5('[pt] ' || {_interleave('content', '<[^>]+>', "' ' || m || ' '")}) ELSE md5(content) END AS content_md5
 FROM (SELECT *, CASE WHEN pt > en AND pt > 3 THEN 'pt' ELSE 'en' END AS language FROM (SELECT *, {_hits(fixed.ENGLISH_WORDS)} AS en, {_hits(fixed.PORTUGUESE_WORDS)} AS pt
   FROM (SELECT page_id, title, content, title || ' ' || {d.strip('content')} AS text FROM (SELECT page_id, {d.RAW_TITLE} AS title, '<p>' || {_ART} || '</p>' AS content FROM pages))))""")
 def content_translation(spark, folder):
@@ -247,8 +258,7 @@ def content_translation(spark, folder):
     article = F.concat(F.lit("<p>"), F.regexp_extract("html", "(?is)<article>(.*?)</article>", 1), F.lit("</p>"))
     docs = p.select("page_id", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), article.alias("content"))
     out, _ = tr.translate_content(docs, d.cache(spark, folder), d.NOW, key="page_id")
-    kept = out.join(docs.select("page_id", (F.octet_length("content") > 20000).alias("long")), "page_id")
-    return kept.select("page_id", "translated", "title", F.when(F.col("long"), "long").otherwise(F.md5("content")).alias("content_md5"))
+    return out.select("page_id", "translated", "title", F.md5("content").alias("content_md5"))
 
 
 # --- rewriting ---------------------------------------------------------------------
@@ -332,4 +342,4 @@ FROM (SELECT doc_id, words, length({_prompt_sql().replace("CASE WHEN lang = 'de'
   FROM (SELECT doc_id, text, {d.words('text')} AS words FROM (SELECT doc_id, {d.strip_all('text')} AS text FROM documents)))""")
 def rewrite_run(spark, folder):
     docs = _docs(spark, folder).select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"))
-    return rw.rewrite_documents(docs, rw.offline_rewrite, key="doc_id").select("doc_id", "rewrite_error", "title")
+    return rw.rewrite_documents(docs, rw.offline_rewrite).select("doc_id", "rewrite_error", "title")

@@ -130,6 +130,14 @@ EMAIL_PATTERN = r"(?i)([a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,})"
 CODE_PATTERN = r"(?is)<code[^>]*>.*?</code>"
 PRE_PATTERN = r"(?is)<pre[^>]*>.*?</pre>"
 PROTECTED = (("URL", URL_PATTERN), ("EMAIL", EMAIL_PATTERN), ("CODE", CODE_PATTERN), ("PRE", PRE_PATTERN))
+PROTECTED_TOKEN = r"###(?:URL|EMAIL|CODE|PRE)_[0-9a-f]{32}###"
+ANY_TAG = r"<[^>]+>"
+TAG_TOKEN = r"###TAG_\d+###"
+MEDIA_TOKEN = r"\[\[MEDIA_ITEM_\d+\]\]"
+SECTION_START = r"(?i)(?=<(?:h[1-6]|p|div|section|article)[^>]*>)"
+PARAGRAPH_START = r"(?i)(?=<p[^>]*>)"
+PARAGRAPH_END = r"\n\s*\n"
+SENTENCE_END = r"(?<=[.!?])\s+"
 
 # --- rewriting -------------------------------------------------------------
 
@@ -211,5 +219,10 @@ FORMATO DE RESPOSTA:
 
 # --- log messages of a run -------------------------------------------------
 
+RUN_STARTED_MESSAGE = "Iniciando importação diária automática"
+FEED_SCHEDULED_MESSAGE = "Processando feed agendado: {feed} (qtd: {quantity}, traduzir: {translate}, categoria: {category})"
+YES, NO = "sim", "não"
+FEED_ERROR_MESSAGE = "Erro ao buscar feed: {error}"
+REWRITE_FAILED_MESSAGE = "Agente IA falhou, usando tradutor simples: {error}"
 RUN_DONE_MESSAGE = "Importação diária concluída: {imported} importados, {skipped} pulados, {failed} falhas"
 ITEM_FAILED_MESSAGE = "Falha ao importar: {title} — {error}"

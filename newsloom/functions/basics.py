@@ -91,13 +91,46 @@ def replace_matches(value, pattern: str, token: Callable[..., Column]) -> Column
     return let(value, body)
 
 
-def replace_tokens(value, tokens) -> Column:
-    """Put ``map<token, text>`` entries back into the text."""
-    return F.aggregate(
-        F.map_entries(as_col(tokens)),
-        as_col(value),
-        lambda text, entry: F.replace(text, entry["key"], entry["value"]),
+def replace_found(text, pattern: str, found, token: Callable[..., Column]) -> Column:
+    """``replace_matches`` where the matches are known already: ``found`` is ``all_matches(text, pattern)``."""
+    text, found = as_col(text), as_col(found)
+    laid = F.zip_with(
+        F.split(text, pattern, -1), F.transform(found, token),
+        lambda between, tok: F.concat(between, F.coalesce(tok, F.lit(""))),
     )
+    return F.when(F.size(found) > 0, F.array_join(laid, "")).otherwise(text)
+
+
+def restore_numbered(value, pattern: str, originals, around: str = "") -> Column:
+    """Numbered tokens back into what they stand for: the number is the place in ``originals``.
+
+    The text is cut at the tokens once, so the work grows with the text and not with text times tokens.  A token
+    without an original stays.
+    """
+
+    def one(token: Column) -> Column:
+        original = F.get(as_col(originals), F.regexp_extract(token, r"\d+", 0).try_cast("int"))
+        return F.coalesce(F.concat(F.lit(around), original, F.lit(around)), token)
+
+    return replace_matches(value, pattern, one)
+
+
+_HALVES = [1 << k for k in reversed(range(24))]
+
+
+def lookup_sorted(entries: Column, key: Column, name: str, value: str) -> Column:
+    """``value`` of the entry (an array of structs, sorted by ``name``) whose ``name`` is ``key``; else null.
+
+    By halving, as a map would be searched from end to end.
+    """
+
+    def step(at: Column, half: Column) -> Column:
+        below = F.coalesce(F.get(entries, at + half - 1)[name] <= key, F.lit(False))
+        return F.when(below, at + half).otherwise(at)
+
+    steps = F.filter(F.array(*map(F.lit, _HALVES)), lambda half: half <= F.size(entries))
+    found = F.get(entries, F.aggregate(steps, F.lit(0), step) - 1)
+    return F.when(found[name] == key, found[value])
 
 
 def hash_id(*parts) -> Column:

@@ -79,23 +79,31 @@ def log_counts(logs: DataFrame) -> DataFrame:
     return counted.unionByName(zeros).groupBy("level").agg(F.sum("n").alias("total"))
 
 
-def _oldest_kept(logs: DataFrame, keep: int) -> Column:
-    """(time, id) of the last row that is kept, as a scalar subquery.
+def _boundary(logs: DataFrame, keep: int) -> tuple[Column, Column, int]:
+    """Conditions of the rows that are newer than the last kept one and equal to it in time and id, and how many of the latter stay.
 
-    Each task keeps its own newest ``keep`` keys and only those are merged.
+    Each task keeps its own newest ``keep`` keys and only those are merged.  Rows that share an id are equal rows
+    (ids are hashes of the row), so it does not matter which of them stay.
     """
     newest = logs.select("time", "id").orderBy(F.col("time").desc(), F.col("id").desc()).limit(keep)
-    return newest.agg(F.min(F.struct("time", "id"))).scalar()
+    last = newest.agg(F.min(F.struct("time", "id")).alias("last")).first()["last"]
+    if last is None:
+        return F.lit(False), F.lit(False), 0
+    key, edge = F.struct("time", "id"), F.struct(F.lit(last["time"]).cast(logs.schema["time"].dataType).alias("time"), F.lit(last["id"]).alias("id"))
+    newer = newest.where(key > edge).count()
+    return key > edge, key == edge, keep - newer
 
 
 def log_retention(logs: DataFrame, keep: int = fixed.LOG_KEEP) -> DataFrame:
-    """The newest ``keep`` rows: a filter against one boundary, not a sort of the table."""
-    return logs.where(F.struct("time", "id") >= _oldest_kept(logs, keep))
+    """The newest ``keep`` rows exactly: a filter against one boundary, not a sort of the table."""
+    newer, equal, places = _boundary(logs, keep)
+    return logs.where(newer).union(logs.where(equal).limit(places))
 
 
 def log_expired(logs: DataFrame, keep: int = fixed.LOG_KEEP) -> DataFrame:
     """The rows that ``log_retention`` leaves out."""
-    return logs.where(F.struct("time", "id") < _oldest_kept(logs, keep))
+    newer, equal, places = _boundary(logs, keep)
+    return logs.where(~newer & ~equal).union(logs.where(equal).offset(places))
 
 
 def log_json(row_fields=LOG_FIELDS) -> Column:

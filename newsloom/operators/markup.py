@@ -13,7 +13,10 @@ from newsloom.functions.basics import (
     as_col,
     byte_len,
     let,
+    lookup_sorted,
+    replace_found,
     replace_matches,
+    restore_numbered,
     strip_all_tags,
     trimmed,
 )
@@ -32,51 +35,73 @@ def _token_pairs(matches: Column, token: Callable[[Column], Column]) -> Column:
     return F.transform(matches, lambda m: F.struct(token(m).alias("token"), m.alias("original")))
 
 
+# what a text has to hold for a pattern to match at all; looking for it is far cheaper than the pattern
+_SIGNS = {"URL": "://", "EMAIL": "@", "CODE": "<code", "PRE": "<pre"}
+
+
+def _matches_if(text: Column, sign: str, pattern: str) -> Column:
+    none = F.array().cast("array<string>")
+    return F.when(F.contains(F.lower(text), F.lit(sign)), all_matches(text, pattern)).otherwise(none)
+
+
 def protect(df: DataFrame, column: str, text: str = "protected", tokens: str = "tokens") -> DataFrame:
     """Replace URLs, e-mail addresses, code and preformatted blocks by hash tokens.
 
-    ``tokens`` is an array of (token, original), in the order they were made; a
-    code block may hold tokens of addresses, so restoring goes backwards.
+    ``tokens`` is an array of (token, original), in the order they were made; the original of a code block may
+    hold tokens of addresses, and that of a preformatted block those of code.
     """
     df = df.withColumn(text, F.col(column))
     found = []
     for step, (kind, pattern) in enumerate(fixed.PROTECTED):
         token = _hash_token(kind)
         name = f"_found{step}"
-        df = df.withColumn(name, F.array_distinct(all_matches(F.col(text), pattern)))
-        df = df.withColumn(text, replace_matches(F.col(text), pattern, token))
-        found.append(_token_pairs(F.col(name), token))
+        df = df.withColumn(name, _matches_if(F.col(text), _SIGNS[kind], pattern))
+        df = df.withColumn(text, replace_found(text, pattern, name, token))
+        found.append(_token_pairs(F.array_distinct(name), token))
     df = df.withColumn(tokens, F.concat(*found))
     return df.drop(*[f"_found{i}" for i in range(len(fixed.PROTECTED))])
 
 
 def restore_protected(value, tokens) -> Column:
-    """Each token becomes its own original, wherever it ended up in the text."""
-    return F.aggregate(
-        F.reverse(as_col(tokens)), as_col(value), lambda text, t: F.replace(text, t["token"], t["original"])
-    )
+    """Each token becomes its own original, wherever it ended up in the text.
 
+    Originals that hold tokens themselves (code, preformatted blocks) are made whole first; then the text is cut at
+    its tokens once.
+    """
 
-# --- tags ------------------------------------------------------------------
+    def restored(text: Column, entries: Column) -> Column:
+        return replace_matches(
+            text, fixed.PROTECTED_TOKEN, lambda m: F.coalesce(lookup_sorted(entries, m, "token", "original"), m)
+        )
+
+    def whole(entries: Column) -> Column:
+        return F.transform(entries, lambda t: F.struct(
+            t["token"].alias("token"),
+            F.when(F.contains(t["original"], F.lit("###")), restored(t["original"], entries)).otherwise(t["original"]).alias("original"),
+        ))
+
+    nested = lambda entries: F.exists(entries, lambda t: F.contains(t["original"], F.lit("###")))
+
+    def by(entries: Column) -> Column:
+        # a preformatted block may hold code that holds an address: two rounds
+        done = F.when(nested(entries), let(whole(entries), whole)).otherwise(entries)
+        return let(done, lambda e: restored(as_col(value), e))
 
-ANY_TAG = r"<[^>]+>"
+    return F.when(F.size(as_col(tokens)) > 0, let(F.sort_array(as_col(tokens)), by)).otherwise(as_col(value))
 
 
+# --- tags ------------------------------------------------------------------
+
 def tags_to_tokens(value) -> Column:
     """Tags as numbered tokens with a space on both sides."""
     return replace_matches(
-        value, ANY_TAG, lambda m, i: F.concat(F.lit(" ###TAG_"), i.cast("string"), F.lit("### "))
+        value, fixed.ANY_TAG, lambda m, i: F.concat(F.lit(" ###TAG_"), i.cast("string"), F.lit("### "))
     )
 
 
-def tag_tokens(value) -> Column:
-    """map<token, tag> of a text."""
-    return F.map_from_entries(
-        F.transform(
-            all_matches(value, ANY_TAG),
-            lambda m, i: F.struct(F.concat(F.lit("###TAG_"), i.cast("string"), F.lit("###")), m),
-        )
-    )
+def restore_tags(value, markup) -> Column:
+    """Tag tokens back into the tags of the text they were made from."""
+    return let(all_matches(markup, fixed.ANY_TAG), lambda tags: restore_numbered(value, fixed.TAG_TOKEN, tags))
 
 
 # --- media -----------------------------------------------------------------
@@ -88,6 +113,9 @@ def _numbered_token(first: Column) -> Callable[[Column, Column], Column]:
     return token
 
 
+_MEDIA_SIGNS = ("<img", "<iframe", "<video", "<blockquote")
+
+
 def media_placeholders(df: DataFrame, column: str, text: str = "media_text", media: str = "media") -> DataFrame:
     """Replace media by numbered placeholders, images first, and strip the other tags.
 
@@ -96,11 +124,10 @@ def media_placeholders(df: DataFrame, column: str, text: str = "media_text", med
     df = df.withColumn(text, F.col(column))
     count: Column = F.lit(0)
     names = []
-    for step, pattern in enumerate(fixed.MEDIA_PATTERNS):
+    for step, (pattern, sign) in enumerate(zip(fixed.MEDIA_PATTERNS, _MEDIA_SIGNS, strict=True)):
         name = f"_media{step}"
-        df = df.withColumn(name, all_matches(F.col(text), pattern))
-
-        df = df.withColumn(text, replace_matches(F.col(text), pattern, _numbered_token(count)))
+        df = df.withColumn(name, _matches_if(F.col(text), sign, pattern))
+        df = df.withColumn(text, replace_found(text, pattern, name, _numbered_token(count)))
         names.append(name)
         count = count + F.size(name)
     numbered = F.transform(
@@ -114,11 +141,8 @@ def media_placeholders(df: DataFrame, column: str, text: str = "media_text", med
 
 def restore_media(value, media) -> Column:
     """Each placeholder becomes its media element on lines of its own."""
-    return F.aggregate(
-        as_col(media),
-        as_col(value),
-        lambda text, m: F.replace(text, m["token"], F.concat(F.lit("\n\n"), m["original"], F.lit("\n\n"))),
-    )
+    originals = F.transform(as_col(media), lambda m: m["original"])
+    return let(originals, lambda found: restore_numbered(value, fixed.MEDIA_TOKEN, found, "\n\n"))
 
 
 def media_counts(value) -> dict[str, Column]:
@@ -132,10 +156,6 @@ def media_counts(value) -> dict[str, Column]:
 
 # --- long texts ------------------------------------------------------------
 
-SECTION_START = r"(?i)(?=<(?:h[1-6]|p|div|section|article)[^>]*>)"
-PARAGRAPH_START = r"(?i)(?=<p[^>]*>)"
-
-
 def text_parts(value) -> Column:
     """Paragraphs, or sentences when there is one paragraph only; trimmed, blanks dropped."""
 
@@ -144,9 +164,9 @@ def text_parts(value) -> Column:
             return F.filter(F.transform(parts, lambda p: trimmed(p)), lambda p: ~p.isin("", "0"))
 
         return let(
-            F.split(text, r"\n\s*\n", -1),
+            F.split(text, fixed.PARAGRAPH_END, -1),
             lambda paragraphs: F.when(F.size(paragraphs) > 1, usable(paragraphs)).otherwise(
-                usable(F.split(text, r"(?<=[.!?])\s+", -1))
+                usable(F.split(text, fixed.SENTENCE_END, -1))
             ),
         )
 
@@ -188,8 +208,8 @@ def text_chunks(value) -> Column:
 
 def html_sections(value) -> Column:
     """Pieces cut before headings, paragraphs, divisions, sections and articles."""
-    return F.split(as_col(value), SECTION_START, -1)
+    return F.split(as_col(value), fixed.SECTION_START, -1)
 
 
 def section_pieces(value) -> Column:
-    return F.split(as_col(value), PARAGRAPH_START, -1)
+    return F.split(as_col(value), fixed.PARAGRAPH_START, -1)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.basics import as_col
 from newsloom.functions.urls import bare_host
 
-# A source list up to this size is tested inside each row; a longer one is joined.
-INLINE_SOURCES = 500
+# characters of the pieces by which hosts and domains meet
+GRAM = 6
 
 
 def newest_per_feed(
@@ -89,53 +87,48 @@ def _source_domains(sources: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _candidate_parts(host: Column, lengths: Column, match: str) -> Column:
-    """Every part of the host that could equal a domain."""
-    if match == "suffix":
-        labels = F.split(host, r"\.")
-        return F.transform(
-            F.sequence(F.lit(1), F.size(labels)),
-            lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
-        )
-    # all substrings of the lengths that occur in the source list
-    return F.flatten(
-        F.transform(
-            F.filter(lengths, lambda n: n <= F.length(host)),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(host) - n + 1), lambda i: F.substr(host, i, n)
-            ),
-        )
-    )
+def _grams(text: Column, length: Column) -> Column:
+    """The distinct pieces of so many characters; empty where the text is shorter."""
+    starts = F.when(F.length(text) >= length, F.sequence(F.lit(1), F.length(text) - length + 1))
+    return F.array_distinct(F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substr(text, i, length)))
 
 
-def with_trust_flag(items: DataFrame, sources: DataFrame, link: str = "link", match: str = "contains") -> DataFrame:
-    """Add ``is_trusted``: the host contains a source domain (``match="suffix"``: ends in it).
+def _rarest_grams(domains: DataFrame) -> DataFrame:
+    """(domain, gram): of each domain the piece of GRAM characters that fewest domains have; short ones are their own."""
+    own = F.least(F.lit(GRAM), F.length("domain"))
+    grams = domains.where("domain <> ''").select("domain", F.explode(_grams(F.col("domain"), own)).alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct("n", "gram"))
+    return grams.join(counts, "gram").groupBy("domain").agg(rarest.alias("_r")).select("domain", "_r.gram")
+
+
+def trusted_hosts(hosts: DataFrame, sources: DataFrame, match: str = "contains") -> DataFrame:
+    """Those of the distinct ``hosts(host)`` that contain a source domain (``match="suffix"``: end in it).
 
-    An empty list trusts everything; no host trusts nothing.  The list is
-    measured first.  A short one is tested within each row, without any join.
-    A long one is joined by equality: distinct hosts are cut into the parts that
-    could be a domain, and the trusted hosts are joined back to the items.
+    A host that contains a domain contains the domain's rarest piece: hosts and domains meet by equal pieces, and
+    what meets is verified.  This is one plan for lists of any length, and neither side comes to the driver.
     """
     if match not in ("contains", "suffix"):
         raise ValueError(f"unknown match: {match}")
-    domains = _source_domains(sources)
-    short = [row.domain for row in domains.limit(INLINE_SOURCES + 1).collect()]
+    pieces = F.flatten(F.array(*[_grams(F.col("host"), F.lit(n)) for n in range(1, GRAM + 1)]))
+    met = hosts.select("host", F.explode(pieces).alias("gram")).join(_rarest_grams(_source_domains(sources)), "gram")
+    ends = (F.col("host") == F.col("domain")) | F.endswith("host", F.concat(F.lit("."), F.col("domain")))
+    return met.where(F.contains("host", F.col("domain")) if match == "contains" else ends).select("host").distinct()
+
+
+def with_trust_flag(items: DataFrame, sources: DataFrame, link: str = "link", match: str = "contains") -> DataFrame:
+    """Add ``is_trusted``: the host contains a source domain (``match="suffix"``: ends in it).
+
+    An empty list trusts everything; no host trusts nothing.  Hosts are tested once each and joined back.
+    """
+    no_list = _source_domains(sources).limit(1).agg(F.count("*")).scalar() == 0
     host = F.lower(bare_host(F.col(link)))
-    if not short:
-        return items.withColumn("is_trusted", F.lit(True))
-    if len(short) <= INLINE_SOURCES:
-        words = "|".join(re.escape(domain) for domain in short)
-        pattern = f"(?:{words})" if match == "contains" else rf"(?:^|\.)(?:{words})$"
-        return items.withColumn("is_trusted", F.coalesce(host.rlike(pattern), F.lit(False)))
-    lengths = domains.agg(F.collect_set(F.length("domain"))).scalar()   # at most one entry per length, 253 in all
-    hosts = items.select(host.alias("_host")).where(F.col("_host").isNotNull()).distinct().withColumn("_lengths", lengths)
-    candidates = F.array_distinct(_candidate_parts(F.col("_host"), F.col("_lengths"), match))
-    parts = hosts.select("_host", F.explode(candidates).alias("_part"))
-    trusted = parts.join(domains, parts["_part"] == domains["domain"], "left_semi").select("_host").distinct()
+    hosts = items.select(host.alias("host")).where("host IS NOT NULL").distinct()
+    trusted = trusted_hosts(hosts, sources, match).select(F.col("host").alias("_host"))
     return (
         items.withColumn("_item_host", host)
         .join(trusted, F.col("_item_host") == F.col("_host"), "left")
-        .withColumn("is_trusted", F.col("_host").isNotNull())
+        .withColumn("is_trusted", F.col("_host").isNotNull() | no_list)
         .drop("_item_host", "_host")
     )
 

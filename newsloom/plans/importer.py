@@ -237,6 +237,8 @@ class ImportRun:
     now: object
     options: ImportOptions
     feeds: DataFrame | None = None
+    scheduled: DataFrame | None = None      # the schedule rows that ran
+    failed_feeds: DataFrame | None = None   # feed, feed_error
 
     @cached_property
     def posts(self) -> DataFrame:
@@ -262,6 +264,10 @@ class ImportRun:
     def logs(self) -> DataFrame:
         return run_logs(self.results, self.now)
 
+    @cached_property
+    def daily_logs(self) -> DataFrame:
+        return daily_logs(self.results, self.now, self.scheduled, self.failed_feeds, self.winners)
+
 
 _ITEM_TEXTS = ("title", "content", "description")
 
@@ -271,10 +277,13 @@ Store = Callable[[DataFrame, str], DataFrame]
 
 
 def flag_items(
-    items: DataFrame, post_meta: DataFrame, sources: DataFrame, options: ImportOptions, store: Store = stage
+    items: DataFrame, post_meta: DataFrame | None, sources: DataFrame, options: ImportOptions, store: Store = stage,
+    seen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """The items a run looks at, with duplicate and trust flags, run order and in-run key.
 
+    Known addresses come from ``post_meta``, or from ``seen(items)``, which gives those of the items' own.
+
     The few items that are left after newest-per-feed are written out, and again
     with their flags: the item table and the history are each read once, and from
     here on the planner knows the real sizes when it picks a join.
@@ -289,8 +298,8 @@ def flag_items(
     scheduled = ["schedule_row"] if "schedule_row" in items.columns else []
     looked_at = store(newest_per_feed(items, options.quantity, options.max_quantity, ["feed", *scheduled]), "looked-at")
     if options.mode == "normal":
-        seen = imported_among(post_meta, looked_at, options.meta_key("original_url"))
-        looked_at = with_duplicate_flag(looked_at, seen)
+        known = seen(looked_at) if seen else imported_among(post_meta, looked_at, options.meta_key("original_url"))
+        looked_at = with_duplicate_flag(looked_at, known)
         key = F.col("link")
     else:
         looked_at = looked_at.withColumn("is_duplicate", F.lit(False))
@@ -329,33 +338,59 @@ def run_winners(flagged: DataFrame, pages: DataFrame, options: ImportOptions) ->
     return first_importable(chosen, "run_key", "run_order", *fields)
 
 
-def run_logs(results: DataFrame, now) -> DataFrame:
-    """A warning per failed item and one closing line for the run."""
+def _fill(template: str, **values: Column) -> Column:
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
 
-    def fill(template: str, **values: Column) -> Column:
-        out = F.lit(template)
-        for name, value in values.items():
-            out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
-        return out
 
+def run_logs(results: DataFrame, now) -> DataFrame:
+    """A warning per failed item and one closing line for the run."""
     failed = log_rows(
         results.where(F.col("status") == "failed"), now, F.lit("WARNING"),
-        fill(fixed.ITEM_FAILED_MESSAGE, error=F.col("reason"), title=F.col("title")), F.struct("feed", "link"),
+        _fill(fixed.ITEM_FAILED_MESSAGE, error=F.col("reason"), title=F.col("title")), F.struct("feed", "link"),
         position=F.struct("run_order"),
     )
     totals = results.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("imported", "skipped", "failed")])
     closing = log_rows(
         totals, now, F.lit("INFO"),
-        fill(fixed.RUN_DONE_MESSAGE, **{s: F.col(s) for s in ("imported", "skipped", "failed")}),
+        _fill(fixed.RUN_DONE_MESSAGE, **{s: F.col(s) for s in ("imported", "skipped", "failed")}),
         F.struct("imported", "skipped", "failed"),
     )
     return failed.unionByName(closing)
 
 
+def daily_logs(
+    results: DataFrame, now, scheduled: DataFrame | None = None, failed_feeds: DataFrame | None = None,
+    winners: DataFrame | None = None,
+) -> DataFrame:
+    """All lines of a run: its start, every scheduled feed, feeds that could not be read, posts the rewriter failed on,
+    and those of ``run_logs``."""
+    one = results.sparkSession.range(1)
+    lines = [log_rows(one, now, F.lit("INFO"), F.lit(fixed.RUN_STARTED_MESSAGE))]
+    if scheduled is not None:
+        asked = _fill(
+            fixed.FEED_SCHEDULED_MESSAGE, feed=F.col("feed_url"), quantity=F.col("quantity"),
+            translate=F.when(F.col("translate"), fixed.YES).otherwise(fixed.NO), category=F.col("category"))
+        lines.append(log_rows(scheduled, now, F.lit("INFO"), asked, position=F.col("feed_pos")))
+    if failed_feeds is not None:
+        error = _fill(fixed.FEED_ERROR_MESSAGE, error=F.col("feed_error"))
+        lines.append(log_rows(failed_feeds, now, F.lit("ERROR"), error, F.struct("feed"), position=F.struct(*failed_feeds.columns)))
+    if winners is not None and "rewrite_error" in winners.columns:
+        rejected = winners.where(~is_blank("rewrite_error"))
+        failure = _fill(fixed.REWRITE_FAILED_MESSAGE, error=F.col("rewrite_error"))
+        lines.append(log_rows(rejected, now, F.lit("WARNING"), failure, F.struct("feed", "link"), position=F.struct("run_order")))
+    out = run_logs(results, now)
+    for rows in lines:
+        out = out.unionByName(rows)
+    return out
+
+
 def import_run(
     items: DataFrame,
     pages: DataFrame,
-    post_meta: DataFrame,
+    post_meta: DataFrame | None,
     sources: DataFrame,
     now,
     options: ImportOptions = ImportOptions(),
@@ -363,6 +398,7 @@ def import_run(
     rework: Callable[[DataFrame], DataFrame] | None = None,
     posts_table: Callable[[DataFrame], DataFrame] | None = None,
     store: Store = stage,
+    seen: Callable[[DataFrame], DataFrame] | None = None,
 ) -> ImportRun:
     """The tables of one run.
 
@@ -371,9 +407,9 @@ def import_run(
     translate.  ``rework`` rewrites or translates the rows that will be posted.
     ``posts_table`` stores the posts and returns the stored table; with it the
     other outputs read that table, so pages are parsed only once per run.
-    ``store`` keeps the small tables between the steps.
+    ``store`` keeps the small tables between the steps.  ``seen`` looks known addresses up in place of ``post_meta``.
     """
-    flagged = flag_items(items, post_meta, sources, options, store)
+    flagged = flag_items(items, post_meta, sources, options, store, seen)
     winners = run_winners(flagged, pages, options)
     if rework is not None:
         winners = rework(winners)

@@ -15,7 +15,7 @@ from newsloom import fixed_values as fixed
 from newsloom.functions.basics import is_blank, or_default, strip_all_tags, trimmed
 from newsloom.functions.text import word_count
 from newsloom.operators.markup import media_placeholders, restore_media
-from newsloom.plans.translate import TranslateFn, offline_translate, translate_content
+from newsloom.plans.translate import Cache, TranslateFn, new_entries, offline_translate, translate_content
 from newsloom.session import spread_for_calls, stage
 
 # prompts -> raw answers; an exception or None marks a failed call
@@ -165,9 +165,9 @@ def call_rewriter(prompts: DataFrame, fn: RewriteFn) -> DataFrame:
 
 
 def rewrite_documents(
-    docs: DataFrame, fn: RewriteFn, options: RewriteOptions = RewriteOptions(), key: str = "run_key"
+    docs: DataFrame, fn: RewriteFn, options: RewriteOptions = RewriteOptions()
 ) -> DataFrame:
-    """Add ``rewritten``, ``rewrite_error`` and ``meta_description``; title and content changed where it worked."""
+    """Every distinct prompt is asked once.  Add ``rewritten``, ``rewrite_error`` and ``meta_description``; title and content changed where it worked."""
     translate = F.coalesce(F.col("translate"), F.lit(False)) if "translate" in docs.columns else F.lit(False)
     ready = prepare(docs, "content", options.preserve_media)
     ready = ready.withColumn(
@@ -177,43 +177,56 @@ def rewrite_documents(
         F.col("title"), F.col("plain"), F.col("words"), F.size("media"), translate,
         options.tone, options.target_language, options.min_words, options.max_words,
     )
-    asked = ready.where(F.col("_refused").isNull()).select(F.col(key).cast("string").alias("row_key"), prompt.alias("prompt"))
+    # prepared once; a prompt is known by its hash, and rows with the same one share an answer
+    known = F.when(F.col("_refused").isNull(), F.md5(prompt))
+    ready = stage(ready.withColumns({"_prompt": known, "_row": F.monotonically_increasing_id()}), "prepared")
+    askers = ready.where("_prompt IS NOT NULL").groupBy("_prompt").agg(F.min("_row").alias("_asker")).select("_asker")
+    asked = ready.join(stage(askers, "askers"), F.col("_row") == F.col("_asker"), "left_semi")
+    asked = asked.select(F.col("_prompt").alias("row_key"), prompt.alias("prompt"))
     answers = stage(call_rewriter(asked, fn), "rewrites")
-    joined = ready.join(answers, F.col(key).cast("string") == F.col("row_key"), "left")
+    joined = ready.join(answers, F.col("_prompt") == F.col("row_key"), "left")
     joined = joined.withColumn("parsed", parse_response("raw"))
     error = F.coalesce(F.col("_refused"), F.col("call_error"), F.col("parsed.error"))
     out = apply_rewrite(joined).withColumn("rewrite_error", or_default(error, F.lit("")))
     return out.withColumn("rewritten", F.col("rewrite_error") == "").drop(
-        "plain", "media", "words", "_refused", "row_key", "raw", "call_error", "parsed"
+        "plain", "media", "words", "_prompt", "_row", "_refused", "row_key", "raw", "call_error", "parsed"
     )
 
 
-def rework(
-    rewrite_fn: RewriteFn | None = None,
-    options: RewriteOptions = RewriteOptions(),
-    translate_fn: TranslateFn = offline_translate,
-    cache: DataFrame | None = None,
-    now=None,
-    source: str = "en",
-    target: str = "pt",
-) -> Callable[[DataFrame], DataFrame]:
-    """The step of an import run that rewrites posts, and translates where that is off or failed."""
+@dataclass
+class Rework:
+    """The step of an import run that rewrites posts, and translates where that is off or failed.
 
-    def step(winners: DataFrame) -> DataFrame:
+    After the step ``entries`` holds the cache entries that the run has made, for the cache's keeper.
+    """
+
+    rewrite_fn: RewriteFn | None = None
+    options: RewriteOptions = RewriteOptions()
+    translate_fn: TranslateFn = offline_translate
+    cache: Cache | None = None
+    now: object = None
+    source: str = "en"
+    target: str = "pt"
+    entries: DataFrame | None = None
+
+    def __call__(self, winners: DataFrame) -> DataFrame:
         rows = winners
         for name, default in (("translate", False), ("meta_description", "")):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(default))
-        if rewrite_fn is not None and options.usable:
-            rows = rewrite_documents(rows.drop("meta_description"), rewrite_fn, options)
+        if self.rewrite_fn is not None and self.options.usable:
+            rows = rewrite_documents(rows.drop("meta_description"), self.rewrite_fn, self.options)
         else:
             rows = rows.withColumn("rewritten", F.lit(False))
-        if cache is None:
+        if self.cache is None:
             return rows
         asked = rows.withColumn("_wished", F.col("translate")).withColumn(
             "translate", F.col("translate") & ~F.col("rewritten")
         )
-        out, _ = translate_content(asked, cache, now, translate_fn, target, source, key="run_key")
+        out, made = translate_content(asked, self.cache, self.now, self.translate_fn, self.target, self.source, key="run_key")
+        self.entries = new_entries(made, self.now)
         return out.withColumn("translate", F.col("_wished")).drop("_wished", "translated", "excerpt")
 
-    return step
+
+def rework(rewrite_fn: RewriteFn | None = None, options: RewriteOptions = RewriteOptions(), **how) -> Rework:
+    return Rework(rewrite_fn, options, **how)

@@ -15,15 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom import fixed_values as fixed
-from newsloom.functions.basics import byte_len, is_blank, let, replace_tokens, strip_tags, trimmed
+from newsloom.functions.basics import byte_len, is_blank, let, strip_tags, trimmed
 from newsloom.functions.dates import moment
 from newsloom.functions.text import detect_language
 from newsloom.operators.markup import (
     html_sections,
     protect,
     restore_protected,
+    restore_tags,
     section_pieces,
-    tag_tokens,
     tags_to_tokens,
     text_chunks,
 )
@@ -60,26 +60,39 @@ def service_chain(*services: TranslateFn) -> TranslateFn:
 
 # --- cache -----------------------------------------------------------------
 
+CACHE_SCHEMA = "key string, value string, cached_at timestamp_ntz"
+# a table of entries, or what gives the entries of the asked keys (a table with the column ``key``)
+Cache = DataFrame | Callable[[DataFrame], DataFrame]
+
+
 def cache_key(text, source, target, kind) -> Column:
     return F.md5(F.concat(text, source, target, kind))
 
 
-def fresh_entries(cache: DataFrame, now, days: int = fixed.CACHE_TTL_DAYS) -> DataFrame:
-    """Entries that have not expired; the newest one where a key occurs twice."""
-    alive = cache.where(F.col("cached_at") > moment(now) - F.make_dt_interval(F.lit(days)))
-    return alive.groupBy("key").agg(F.max_by("value", "cached_at").alias("value"))
+def newest_entries(cache: DataFrame) -> DataFrame:
+    """One entry per key, the newest; of equally old ones the largest value."""
+    newest = F.max(F.struct("cached_at", "value"))
+    return cache.groupBy("key").agg(newest.alias("_e")).select("key", "_e.value", "_e.cached_at")
 
 
-def cache_lookup(texts: DataFrame, cache: DataFrame, now, key: str = "key") -> DataFrame:
-    """Add ``cached``, the stored translation or null."""
-    fresh = fresh_entries(cache, now).select(F.col("key").alias("_key"), F.col("value").alias("cached"))
-    return texts.join(fresh, texts[key] == fresh["_key"], "left").drop("_key")
+def _alive(now, days: int = fixed.CACHE_TTL_DAYS) -> Column:
+    return F.col("cached_at") > moment(now) - F.make_dt_interval(F.lit(days))
 
 
-def entries_among(cache: DataFrame, asked: DataFrame, now, key: str = "key") -> DataFrame:
-    """The unexpired entries of the asked keys: the cache only grows, a run asks for little of it."""
-    keys = asked.select(F.col(key).alias("_asked")).distinct()
-    return fresh_entries(cache.join(keys, F.col("key") == F.col("_asked"), "left_semi"), now)
+def entries_among(cache: Cache, asked: DataFrame, now, key: str = "key") -> DataFrame:
+    """(key, value) of the unexpired entries of the asked keys: the cache only grows, a run asks for little of it."""
+    keys = asked.select(F.col(key).alias("key")).distinct()
+    if callable(cache):
+        entries = cache(keys)
+    else:
+        entries = cache.join(keys.select(F.col("key").alias("_asked")), F.col("key") == F.col("_asked"), "left_semi")
+    return newest_entries(entries.where(_alive(now))).select("key", "value")
+
+
+def cache_lookup(texts: DataFrame, cache: Cache, now, key: str = "key") -> DataFrame:
+    """Add ``cached``, the stored translation or null."""
+    found = entries_among(cache, texts, now, key).select(F.col("key").alias("_key"), F.col("value").alias("cached"))
+    return texts.join(found, texts[key] == found["_key"], "left").drop("_key")
 
 
 def unknown_texts(texts: DataFrame, known: DataFrame, *carried: str, key: str = "key") -> DataFrame:
@@ -92,18 +105,15 @@ def unknown_texts(texts: DataFrame, known: DataFrame, *carried: str, key: str =
     return distinct.join(known.select(F.col("key").alias("_key")), F.col(key) == F.col("_key"), "left_anti")
 
 
-def pending_texts(texts: DataFrame, cache: DataFrame, now, *carried: str, key: str = "key") -> DataFrame:
+def pending_texts(texts: DataFrame, cache: Cache, now, *carried: str, key: str = "key") -> DataFrame:
     """Distinct keys the cache does not know, with their text."""
     return unknown_texts(texts, entries_among(cache, texts, now, key), *carried, key=key)
 
 
-def merge_cache(cache: DataFrame, translated: DataFrame, now) -> DataFrame:
-    """The cache with new (key, text, value) entries that differ from their text."""
-    new = translated.where(~is_blank("value") & (F.col("value") != F.col("text"))).select(
-        "key", "value", moment(now).alias("cached_at")
-    )
-    both = cache.select("key", "value", "cached_at").unionByName(new)
-    return both.groupBy("key").agg(F.max_by("value", "cached_at").alias("value"), F.max("cached_at").alias("cached_at"))
+def new_entries(translated: DataFrame, now) -> DataFrame:
+    """The cache entries of (key, text, value) rows whose value is worth keeping: not blank, not the text itself."""
+    worth = translated.where(~is_blank("value") & (F.col("value") != F.col("text")))
+    return worth.select("key", "value", moment(now).alias("cached_at"))
 
 
 # --- calling the service ---------------------------------------------------
@@ -187,7 +197,7 @@ def unit_result() -> Column:
     """A unit's translation in its place: tags back in, plain pieces as paragraphs."""
     value = F.coalesce(F.when(~is_blank("value"), F.col("value")), F.col("unit_text"))
     tagged = F.when(is_blank("value"), F.col("markup")).otherwise(
-        replace_tokens(value, tag_tokens(F.col("markup")))
+        restore_tags(value, "markup")
     )
     return (
         F.when(F.col("unit_kind") == "tags", tagged)
@@ -209,7 +219,7 @@ class Translation:
     errors: DataFrame    # texts the service failed on: key, text, error
 
 
-def translate_rows(rows: DataFrame, cache: DataFrame, now, fn: TranslateFn = offline_translate) -> Translation:
+def translate_rows(rows: DataFrame, cache: Cache, now, fn: TranslateFn = offline_translate) -> Translation:
     """Translate (kind, text, source_lang, target_lang) rows; ``kind`` is ``text`` or ``html``.
 
     Blank texts and texts in the target language already come back as they are.
@@ -272,7 +282,7 @@ def translate_rows(rows: DataFrame, cache: DataFrame, now, fn: TranslateFn = off
 
 
 def translate_content(
-    docs: DataFrame, cache: DataFrame, now, fn: TranslateFn = offline_translate,
+    docs: DataFrame, cache: Cache, now, fn: TranslateFn = offline_translate,
     target: str = "pt", source: str | None = None, key: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:
     """Title, content (HTML) and excerpt of documents; ``translated`` tells if title or content changed.

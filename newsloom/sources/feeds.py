@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom import fixed_values as fixed
-from newsloom.functions.basics import first_match, is_blank, or_default
-from newsloom.functions.dates import feed_date
+from newsloom.functions.basics import as_col, first_match, is_blank, or_default
+from newsloom.functions.dates import feed_date, moment
 from newsloom.functions.urls import url_host
 
 DIALECTS = ("rss", "atom", "rdf")
@@ -32,11 +34,11 @@ ITEM_SCHEMAS = {"rss": _RSS_ITEM, "atom": _ATOM_ENTRY, "rdf": _RSS_ITEM}
 ROW_TAGS = {"rss": "item", "atom": "entry", "rdf": "item"}
 
 
-_DOCUMENT_SCHEMAS = {
-    "rss": "channel struct<title:string, item:array<struct<{item}>>>",
-    "atom": "title struct<_VALUE:string,_type:string>, entry array<struct<{item}>>",
-    "rdf": "channel struct<title:string>, item array<struct<{item}>>",
-}
+# a whole document of any dialect: RSS has its items in the channel, RDF beside it, Atom has entries
+_DOCUMENT_SCHEMA = (
+    "channel struct<title:string, item:array<struct<{item}>>>, item array<struct<{item}>>, "
+    "title struct<_VALUE:string,_type:string>, entry array<struct<{entry}>>, _corrupt_record string"
+)
 
 
 def _texts(value: Column) -> Column:
@@ -44,56 +46,62 @@ def _texts(value: Column) -> Column:
     return F.filter(F.coalesce(value, F.array().cast("array<string>")), lambda v: v.isNotNull())
 
 
-def normalize_items(raw: DataFrame, dialect: str, *keep: str) -> DataFrame:
-    """The columns of one dialect brought into the common item shape."""
-    col = F.col
-    if dialect == "atom":
-        links = col("link")
+def _item_fields(get: Callable[[str], Column], atom: bool, rdf: Column) -> dict[str, Column]:
+    """The common fields of an item; ``get`` gives a field of the dialect by name."""
+    if atom:
+        links = get("link")
         page_link = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
         enclosed = F.transform(
             F.filter(links, lambda x: x["_rel"] == "enclosure"),
             lambda x: F.struct(x["_href"].alias("url"), x["_type"].alias("type")),
         )
+        content, summary = get("content")["_VALUE"], get("summary")["_VALUE"]
         fields = dict(
             link=F.coalesce(F.get(page_link, F.lit(0))["_href"], F.get(links, F.lit(0))["_href"]),
-            title=col("title._VALUE"),
-            content=F.coalesce(col("content._VALUE"), col("summary._VALUE")),
-            description=F.coalesce(col("summary._VALUE"), col("content._VALUE")),
-            pub_date=F.coalesce(col("updated"), col("published")),
+            title=get("title")["_VALUE"],
+            content=F.coalesce(content, summary),
+            description=F.coalesce(summary, content),
+            pub_date=F.coalesce(get("updated"), get("published")),
             enclosures=enclosed,
-            author=F.get(col("author"), F.lit(0))["name"],
-            categories=_texts(F.transform(col("category"), lambda c: F.coalesce(c["_label"], c["_term"]))),
+            author=F.get(get("author"), F.lit(0))["name"],
+            categories=_texts(F.transform(get("category"), lambda c: F.coalesce(c["_label"], c["_term"]))),
         )
     else:
-        permalink = F.when(F.coalesce(col("guid._isPermaLink"), F.lit("true")) != "false", col("guid._VALUE"))
+        guid = get("guid")
+        permalink = F.when(F.coalesce(guid["_isPermaLink"], F.lit("true")) != "false", guid["_VALUE"])
         fields = dict(
-            link=F.coalesce(col("link"), permalink),
-            title=col("title"),
-            content=F.coalesce(col("content:encoded"), col("description")),
-            description=F.coalesce(col("description"), col("content:encoded")),
-            pub_date=F.coalesce(col("dc:date"), col("pubDate")) if dialect == "rdf"
-            else F.coalesce(col("pubDate"), col("dc:date")),
+            link=F.coalesce(get("link"), permalink),
+            title=get("title"),
+            content=F.coalesce(get("content:encoded"), get("description")),
+            description=F.coalesce(get("description"), get("content:encoded")),
+            pub_date=F.coalesce(F.when(rdf, get("dc:date")), get("pubDate"), get("dc:date")),
             enclosures=F.transform(
-                col("enclosure"), lambda e: F.struct(e["_url"].alias("url"), e["_type"].alias("type"))
+                get("enclosure"), lambda e: F.struct(e["_url"].alias("url"), e["_type"].alias("type"))
             ),
-            author=col("author"),
-            categories=_texts(F.transform(col("category"), lambda c: c["_VALUE"])),
+            author=get("author"),
+            categories=_texts(F.transform(get("category"), lambda c: c["_VALUE"])),
         )
-    no_enclosures = F.array().cast("array<struct<url:string,type:string>>")
-    fields["enclosures"] = F.coalesce(fields["enclosures"], no_enclosures)
-    return raw.select(
-        *keep,
-        *[
-            (F.trim(value) if name in ("link", "title", "pub_date") else value).alias(name)
-            for name, value in fields.items()
-        ],
-        F.get(col("dc:creator"), F.lit(0)).alias("dc_creator"),
-        F.get(col("media:content"), F.lit(0))["_url"].alias("media_content_url"),
-        F.get(col("media:thumbnail"), F.lit(0))["_url"].alias("media_thumbnail_url"),
-        F.lit(dialect).alias("dialect"),
+    fields["enclosures"] = F.coalesce(fields["enclosures"], F.array().cast("array<struct<url:string,type:string>>"))
+    for name in ("link", "title", "pub_date"):
+        fields[name] = F.trim(fields[name])
+    return fields | dict(
+        dc_creator=F.get(get("dc:creator"), F.lit(0)),
+        media_content_url=F.get(get("media:content"), F.lit(0))["_url"],
+        media_thumbnail_url=F.get(get("media:thumbnail"), F.lit(0))["_url"],
     )
 
 
+def _with_time(items: DataFrame) -> DataFrame:
+    """Add ``pub_epoch``, the seconds of a readable date."""
+    return items.withColumn("pub_epoch", feed_date("pub_date").cast("long"))
+
+
+def normalize_items(raw: DataFrame, dialect: str, *keep: str) -> DataFrame:
+    """The columns of one dialect brought into the common item shape."""
+    fields = _item_fields(lambda name: F.col(f"`{name}`"), dialect == "atom", F.lit(dialect == "rdf"))
+    return _with_time(raw.select(*keep, *[value.alias(name) for name, value in fields.items()], F.lit(dialect).alias("dialect")))
+
+
 def read_feed_items(spark: SparkSession, path: str, dialect: str, streaming: bool = False) -> DataFrame:
     """Items straight from feed files, split inside the files by row tag.
 
@@ -106,26 +114,73 @@ def read_feed_items(spark: SparkSession, path: str, dialect: str, streaming: boo
     return normalize_items(raw.withColumn("feed", F.input_file_name()), dialect, "feed")
 
 
+# --- whole documents ---------------------------------------------------------
+
+_ROOT = r"(?s)<(?:[\w\-]+:)?(rss|RSS|feed|RDF|rdf)[\s>]"
+_ROOT_PREFIX = r"(?s)<([\w\-]+):(?:rss|RSS|feed)[\s>]"
+_RDF_PREFIX = r"""(?s)xmlns:([\w\-]+)\s*=\s*["']http://purl\.org/rss/1\.0/["']"""
+_FILE_NAME = r"([^/]+?)(?:\.(?:xml|rss|atom|rdf))?$"
+
+
 def document_dialect(xml) -> Column:
     """``rss``, ``atom`` or ``rdf`` by the document's outermost element."""
-    root = F.lower(first_match(xml, r"(?s)<(?:[\w\-]+:)?(rss|RSS|feed|RDF|rdf)[\s>]"))
+    root = F.lower(first_match(xml, _ROOT))
     return F.when(root == "feed", "atom").when(root == "rdf", "rdf").when(root == "rss", "rss")
 
 
+def without_own_prefix(xml, dialect: Column) -> Column:
+    """The document with the prefix of its own vocabulary taken off its elements.
+
+    That is the root's prefix (``<a:feed>``), or in RDF the prefix that stands for RSS 1.0.  Prefixes of other
+    vocabularies stay.
+    """
+    prefix = F.when(dialect == "rdf", first_match(xml, _RDF_PREFIX)).otherwise(first_match(xml, _ROOT_PREFIX))
+    return F.when(prefix.isNull(), xml).otherwise(
+        F.regexp_replace(xml, F.concat(F.lit("(</?)"), prefix, F.lit(r":(?=[\w\-])")), F.lit("$1")))
+
+
+def parse_documents(documents: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ("feed",)) -> DataFrame:
+    """Every document parsed once: ``keep``, dialect, feed_title, ``items`` (array) and ``feed_error``.
+
+    A document that cannot be read is a row with an error and no items; one without items is no error.
+    """
+    marked = documents.select(*keep, F.col(xml).alias("_xml"), document_dialect(F.col(xml)).alias("dialect"))
+    schema = _DOCUMENT_SCHEMA.format(item=_colons(ITEM_SCHEMAS["rss"]), entry=_colons(ITEM_SCHEMAS["atom"]))
+    parsed = marked.select(*keep, "dialect", "_xml", F.when(F.col("dialect").isNotNull(), F.from_xml(
+        without_own_prefix(F.col("_xml"), F.col("dialect")), schema, {"ignoreNamespace": "false", "mode": "PERMISSIVE"}
+    )).alias("_doc"))
+    doc, dialect = F.col("_doc"), F.col("dialect")
+
+    def items(value: Column, atom: bool) -> Column:
+        return F.transform(value, lambda x: F.struct(
+            *[field.alias(name) for name, field in _item_fields(lambda name: x[name], atom, dialect == "rdf").items()]
+        ))
+
+    rss = F.when(dialect == "rss", doc["channel"]["item"]).otherwise(doc["item"])
+    error = (
+        F.when(is_blank(F.trim("_xml")), "empty document")
+        .when(dialect.isNull(), "unknown dialect")
+        .when(doc.isNull() | doc["_corrupt_record"].isNotNull(), "malformed XML")
+    )
+    return parsed.select(
+        *keep, "dialect", F.when(dialect == "atom", doc["title"]["_VALUE"]).otherwise(doc["channel"]["title"]).alias("feed_title"),
+        F.when(error.isNull(), F.when(dialect == "atom", items(doc["entry"], True)).otherwise(items(rss, False))).alias("items"),
+        error.alias("feed_error"),
+    )
+
+
+def parsed_items(parsed: DataFrame, keep: tuple[str, ...] = ("feed",)) -> DataFrame:
+    """One row per item of parsed documents; ``seq`` is the place in the feed."""
+    # the outer form, for Spark would filter by the array's size before a plain one and so parse every document again
+    rows = parsed.select(*keep, "feed_title", "dialect", F.posexplode_outer("items").alias("seq", "item")).where("seq IS NOT NULL")
+    return _with_time(rows.select(*keep, "feed_title", F.col("seq").cast("long").alias("seq"), "item.*", "dialect"))
+
+
 def parse_feed_documents(
     documents: DataFrame, dialect: str, xml: str = "xml", keep: tuple[str, ...] = ("feed",)
 ) -> DataFrame:
-    """Explode whole feed documents into items; ``seq`` is the place in the feed."""
-    item = _colons(ITEM_SCHEMAS[dialect])
-    schema = _DOCUMENT_SCHEMAS[dialect].replace("{item}", item)
-    parsed = documents.select(
-        *keep, F.from_xml(F.col(xml), schema, {"ignoreNamespace": "false", "mode": "PERMISSIVE"}).alias("doc")
-    )
-    title = {"rss": "doc.channel.title", "rdf": "doc.channel.title", "atom": "doc.title._VALUE"}[dialect]
-    items = {"rss": "doc.channel.item", "rdf": "doc.item", "atom": "doc.entry"}[dialect]
-    rows = parsed.select(*keep, F.col(title).alias("feed_title"), F.posexplode(items).alias("seq", "item"))
-    flat = rows.select(*keep, "feed_title", F.col("seq").cast("long").alias("seq"), "item.*")
-    return normalize_items(flat, dialect, *keep, "feed_title", "seq")
+    """The items of the documents of one dialect."""
+    return parsed_items(parse_documents(documents, xml, keep).where(F.col("dialect") == dialect), keep)
 
 
 def _colons(ddl: str) -> str:
@@ -134,39 +189,33 @@ def _colons(ddl: str) -> str:
     return ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
 
 
-def read_feed_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per feed file: ``feed`` (its path) and the whole document."""
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("feed"), F.col("value").alias("xml"))
+def file_feed(path) -> Column:
+    """The feed a file was fetched from: its name if that is a percent-encoded address, else its path."""
+    decoded = F.try_url_decode(F.replace(as_col(path), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(decoded, _FILE_NAME, 1)
+    address = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    return F.when(name.rlike(r"(?i)^https?%3A"), address).otherwise(as_col(path))
+
+
+def read_feed_documents(spark: SparkSession, path: str, streaming: bool = False, **options) -> DataFrame:
+    """One row per feed file: ``feed`` (see ``file_feed``), ``document`` (its path) and the whole ``xml``.
+
+    ``streaming``: files that arrive in the folder come as a stream; ``options`` are the reader's, such as
+    ``maxFilesPerTrigger``.
+    """
+    reader = (spark.readStream if streaming else spark.read).format("text").options(wholetext=True, **options)
+    files = reader.load(path).select(F.input_file_name().alias("document"), F.col("value").alias("xml"))
+    return files.select(file_feed("document").alias("feed"), "document", "xml")
 
 
 def feed_items(documents: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ("feed",)) -> DataFrame:
     """Items of documents in any mix of dialects."""
-    marked = documents.withColumn("_dialect", document_dialect(F.col(xml)))
-    parts = [parse_feed_documents(marked.where(F.col("_dialect") == d), d, xml, keep) for d in DIALECTS]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part, allowMissingColumns=True)
-    return out
+    return parsed_items(parse_documents(documents, xml, keep), keep)
 
 
 def failed_documents(documents: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ("feed",)) -> DataFrame:
-    """``keep`` and ``feed_error`` of the documents that ``feed_items`` gives no item of because they cannot be read.
-
-    A feed that is well formed but has no items is no failure.  The rows fit ``import_summary``'s ``feeds``.
-    """
-    body = F.col(xml)
-    marked = documents.select(
-        *keep, is_blank(F.trim(body)).alias("_empty"), document_dialect(body).alias("_dialect"),
-        body.rlike(r"<[\w\-]+:(rss|RSS|feed)[\s>]").alias("_prefixed"),
-        F.from_xml(body, "channel string, title string, _corrupt_record string", {"mode": "PERMISSIVE"}).alias("_doc"),
-    )
-    error = (
-        F.when(F.coalesce(F.col("_empty"), F.lit(True)), "empty document")
-        .when(F.col("_dialect").isNull(), "unknown dialect")
-        .when(F.col("_prefixed"), "prefixed elements")
-        .when(F.col("_doc").isNull() | F.col("_doc._corrupt_record").isNotNull(), "malformed XML")
-    )
-    return marked.select(*keep, error.alias("feed_error")).where("feed_error IS NOT NULL")
+    """``keep`` and ``feed_error`` of the documents that cannot be read.  The rows fit ``import_summary``'s ``feeds``."""
+    return parse_documents(documents, xml, keep).where("feed_error IS NOT NULL").select(*keep, "feed_error")
 
 
 # --- one item's derived fields --------------------------------------------
@@ -230,6 +279,36 @@ def analyze_feeds(items: DataFrame, feeds: DataFrame | None = None) -> DataFrame
     )
 
 
+def analyze_documents(parsed: DataFrame, keep: tuple[str, ...] = ("feed",), feed_url: str = "feed") -> DataFrame:
+    """One row per parsed document: valid or not and why, item count, date text of the first item, host and title.
+
+    Nothing is shuffled: a document's items are in its row.
+    """
+    first_date = F.get(F.col("items"), F.lit(0))["pub_date"]
+    valid = F.col("feed_error").isNull()
+    return parsed.select(
+        *keep,
+        valid.alias("valid"),
+        F.coalesce(F.col("feed_error"), F.lit("")).alias("feed_error"),
+        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("item_count"),
+        F.when(valid, or_default(first_date, fixed.UNKNOWN_UPDATE)).alias("last_update"),
+        feed_date(first_date).alias("last_update_ts"),
+        url_host(F.col(feed_url)).alias("domain"),
+        F.when(valid, or_default("feed_title", fixed.UNTITLED_FEED)).alias("feed_title"),
+    )
+
+
+def save_analysis(rows: DataFrame, path: str, now) -> None:
+    """Append an analysis to the kept ones, with its time."""
+    rows.withColumn("analyzed_at", moment(now)).write.mode("append").parquet(path)
+
+
+def last_analysis(analyses: DataFrame, feed: str = "feed") -> DataFrame:
+    """The newest kept analysis of every feed."""
+    row = F.struct(*[c for c in analyses.columns if c != feed])
+    return analyses.groupBy(feed).agg(F.max_by(row, "analyzed_at").alias("_row")).select(feed, "_row.*")
+
+
 def preview_feeds(items: DataFrame, samples: int = 5, date: str = "pub_epoch") -> DataFrame:
     """Per feed: item count and the newest few items as an array of (url, title, date).
 

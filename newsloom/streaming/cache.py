@@ -1,4 +1,10 @@
-"""A translation cache as streaming state: entries leave the state when they expire."""
+"""A translation cache as streaming state, by event time.
+
+Rows (key, value, at) with a ``value`` store it, rows without one ask for it.  Rows wait in the state until the
+watermark has passed them and are then taken in order of time, a store before a request of the same moment (of
+stores at one moment the largest value counts).  So the answers depend on the rows' own times only, not on files,
+batches or their order, as long as rows are not later than ``delay``.  A value leaves the state when it expires.
+"""
 
 from __future__ import annotations
 
@@ -6,61 +12,88 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from newsloom.fixed_values import CACHE_TTL_DAYS
 
-OUTPUT = "key string, value string, cached_at timestamp, hit boolean"
-_STATE = "value string, at timestamp"
-_TTL = pd.Timedelta(days=CACHE_TTL_DAYS)
+OUTPUT = "key string, value string, cached_at timestamp, asked_at timestamp, hit boolean"
+_ROW = "value string, at long"
+_TTL = CACHE_TTL_DAYS * 86_400_000_000   # microseconds
+ROWS_OUT = 4096
+# timers need a state store that keeps them apart from the values
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _moment(micros: int | None) -> pd.Timestamp:
+    return pd.NaT if micros is None else pd.Timestamp(micros, unit="us")
+
 
+class CacheKeeper(StatefulProcessor):
+    """Per key: the rows that wait for the watermark, and the newest value among those it has passed."""
 
-def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Rows with a ``value`` store it, rows without one ask for it.
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._waiting = handle.getListState("waiting", _ROW)
+        self._held = handle.getValueState("held", _ROW)
 
-    Age is measured between the rows' own times, so a replay gives the same
-    answers; the processing-time timeout only frees the state.
-    """
-    if state.hasTimedOut:
-        state.remove()
-        return
-    value, at = state.get if state.exists else (None, None)
-    for batch in batches:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for batch in rows:
+            at = batch["at"].astype("datetime64[us]").astype("int64")
+            self._waiting.appendList([(v if isinstance(v, str) else None, int(t)) for v, t in zip(batch["value"], at, strict=True)])
+            first = int(at.min()) if first is None else min(first, int(at.min()))
+        if first is not None:
+            self._handle.registerTimer(first // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = list(self._waiting.get())
+        due = sorted((at, value is None, value or "") for value, at in waiting if at <= passed)
+        if due:
+            later = [(value, at) for value, at in waiting if at > passed]
+            self._waiting.clear()
+            if later:
+                self._waiting.put(later)
+                self._handle.registerTimer(min(at for _, at in later) // 1000 + 1)
+        value, since = self._held.get() if self._held.exists() else (None, None)
         found = []
-        for row in batch.sort_values("at", kind="stable").itertuples(index=False):
-            if isinstance(row.value, str):
-                value, at = row.value, row.at
+        for at, asks, text in due:
+            if not asks:
+                value, since = text, at
                 continue
-            hit = value is not None and row.at - pd.Timestamp(at) < _TTL
-            found.append((key[0], value if hit else None, pd.Timestamp(at) if hit else pd.NaT, hit))
-        yield pd.DataFrame(found, columns=["key", "value", "cached_at", "hit"]).astype(
-            {"key": object, "value": object, "cached_at": "datetime64[ns]", "hit": bool}
-        )
-    if value is not None:
-        state.update((value, pd.Timestamp(at).to_pydatetime()))
-        state.setTimeoutDuration(CACHE_TTL_DAYS * 86_400_000)
+            hit = value is not None and at - since < _TTL
+            found.append((key[0], value if hit else None, _moment(since if hit else None), _moment(at), hit))
+        if value is not None and passed - since < _TTL:
+            self._held.update((value, since))
+            self._handle.registerTimer((since + _TTL) // 1000 + 1)
+        else:
+            self._held.clear()
+        for k in range(0, len(found), ROWS_OUT):
+            yield pd.DataFrame(found[k:k + ROWS_OUT], columns=["key", "value", "cached_at", "asked_at", "hit"]).astype(
+                {"key": object, "value": object, "cached_at": "datetime64[ns]", "asked_at": "datetime64[ns]", "hit": bool}
+            )
 
+    def close(self) -> None:
+        pass
 
-def stream_cache(requests: DataFrame) -> DataFrame:
-    """Answers to the (key, value, at) rows of a stream that have no value."""
-    return requests.groupBy("key").applyInPandasWithState(
-        answer, OUTPUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
 
+def stream_cache(requests: DataFrame, delay: str = "0 seconds") -> DataFrame:
+    """Answers to the (key, value, at) rows of a stream that have no value; rows later than ``delay`` are not read."""
+    return requests.withWatermark("at", delay).groupBy("key").transformWithStateInPandas(
+        CacheKeeper(), OUTPUT, "Append", "EventTime"
+    )
 
-def answer_available(requests: DataFrame, path: str, progress: str):
-    """Answer all input there is and stop; answers are appended to ``path``.
 
-    Expiry by clock makes Spark run empty batches for ever, which a query that
-    should stop must not do.
-    """
+def answer_available(requests: DataFrame, path: str, progress: str, delay: str = "0 seconds"):
+    """Answer all input that the watermark passes and stop; answers are appended to ``path``."""
     spark = requests.sparkSession
-    setting = "spark.sql.streaming.noDataMicroBatches.enabled"
+    setting = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)
-    spark.conf.set(setting, "false")
+    spark.conf.set(setting, STORE)
     try:
         return (
-            stream_cache(requests).writeStream.format("parquet").option("path", path)
+            stream_cache(requests, delay).writeStream.format("parquet").option("path", path)
             .option("checkpointLocation", progress).trigger(availableNow=True).start()
         )
     finally:

@@ -91,7 +91,32 @@ def test_documents_that_cannot_be_read_are_named(spark):
         ("good", rss.format("<item><title>a</title><link>https://h.example/1</link></item>")), ("no items", rss.format("")),
         ("atom", '<feed xmlns="http://www.w3.org/2005/Atom"><title>T</title><entry><title>a</title></entry></feed>'),
         ("page", "<html><body>moved</body></html>"), ("broken", rss.format("<item><title>a</item>")),
-        ("prefixed", "<atom:feed><atom:title>T</atom:title></atom:feed>"), ("blank", " "), ("none", None)], "feed string, xml string")
+        ("prefixed", '<a:feed xmlns:a="http://www.w3.org/2005/Atom"><a:title>T</a:title><a:entry><a:title>p</a:title>'
+                     '<a:link href="https://h.example/2"/></a:entry></a:feed>'),
+        ("old", '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:r="http://purl.org/rss/1.0/" xmlns:dc="d">'
+                "<r:channel><r:title>O</r:title></r:channel><r:item><r:title>o</r:title><dc:date>2024-01-01T00:00:00Z</dc:date></r:item></rdf:RDF>"),
+        ("blank", " "), ("none", None)], "feed string, xml string")
     assert {r.feed: r.feed_error for r in fd.failed_documents(docs).collect()} == {
-        "page": "unknown dialect", "broken": "malformed XML", "prefixed": "prefixed elements", "blank": "empty document", "none": "empty document"}
-    assert {r.feed for r in fd.feed_items(docs.where("feed <> 'broken'")).collect()} == {"good", "atom"}
+        "page": "unknown dialect", "broken": "malformed XML", "blank": "empty document", "none": "empty document"}
+    items = {r.feed: r for r in fd.feed_items(docs).collect()}
+    assert set(items) == {"good", "atom", "prefixed", "old"}
+    assert (items["prefixed"].link, items["prefixed"].title, items["prefixed"].feed_title) == ("https://h.example/2", "p", "T")
+    assert (items["old"].title, items["old"].feed_title, items["old"].pub_epoch) == ("o", "O", 1704067200)
+    analysis = {r.feed: r for r in fd.analyze_documents(fd.parse_documents(docs)).collect()}
+    assert not analysis["broken"].valid and analysis["broken"].feed_error == "malformed XML" and analysis["broken"].item_count == 0
+    assert analysis["no items"].valid and (analysis["no items"].item_count, analysis["good"].item_count) == (0, 1)
+
+
+def test_files_name_their_feed(spark, tmp_path):
+    for name in ("https%3A%2F%2Fh.example%2Frss%3Fa%3D1%2B2.xml", "plain name.xml"):
+        (tmp_path / name).write_text("<rss><channel><title>T</title></channel></rss>")
+    docs = {r.feed for r in fd.read_feed_documents(spark, str(tmp_path)).collect()}
+    assert "https://h.example/rss?a=1+2" in docs and any(f.endswith("plain%20name.xml") or f.endswith("plain name.xml") for f in docs)
+
+
+def test_kept_analyses(spark, tmp_path):
+    path = f"{tmp_path}/analyses"
+    for now, count in (("2024-01-01 00:00:00", 1), ("2024-01-03 00:00:00", 3), ("2024-01-02 00:00:00", 2)):
+        fd.save_analysis(spark.createDataFrame([("f", count)], "feed string, item_count int"), path, now)
+    kept = fd.last_analysis(spark.read.parquet(path)).first()
+    assert spark.read.parquet(path).count() == 3 and kept.item_count == 3

@@ -139,10 +139,9 @@ def test_trust(spark, monkeypatch):
     def trusted(**kw):
         return sorted(r.seq for r in sel.trusted_items(items, sources, **kw).collect())
 
-    short = {m: trusted(match=m) for m in ("contains", "suffix")}
-    assert short == {"contains": [0, 1, 2, 3], "suffix": [0, 1]}
-    monkeypatch.setattr(sel, "INLINE_SOURCES", 1)      # the way for long lists
-    assert {m: trusted(match=m) for m in ("contains", "suffix")} == short
+    for gram in (6, 3, 20):
+        monkeypatch.setattr(sel, "GRAM", gram)
+        assert {m: trusted(match=m) for m in ("contains", "suffix")} == {"contains": [0, 1, 2, 3], "suffix": [0, 1]}
     plan = sel.with_trust_flag(items, sources)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
     assert sel.trusted_items(items, sources.where("false")).count() == len(HOSTS)

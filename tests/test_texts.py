@@ -2,6 +2,8 @@
 
 import re
 import sys
+import time
+import uuid
 
 import pytest
 from hypothesis import given, settings
@@ -10,7 +12,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as tx
-from newsloom.functions.basics import replace_tokens, strip_all_tags, strip_tags
+from newsloom.functions.basics import strip_all_tags, strip_tags
 from newsloom.functions.urls import absolute_url, resolve_url
 from newsloom.operators import markup as mk
 from newsloom.plans import rewrite as rw
@@ -45,7 +47,7 @@ def test_protected_parts_come_back(spark):
 @given(st.lists(st.text(alphabet="ab<>/ p!-\n.é", max_size=40), min_size=1, max_size=30))
 def test_tag_tokens_come_back(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    for r in df.select("t", replace_tokens(mk.tags_to_tokens("t"), mk.tag_tokens("t")).alias("back")).collect():
+    for r in df.select("t", mk.restore_tags(mk.tags_to_tokens("t"), F.col("t")).alias("back")).collect():
         assert r.back == re.sub(r"(<[^>]+>)", r" \1 ", r.t)
 
 
@@ -70,6 +72,25 @@ def test_chunk_cases(spark):
     assert one(spark, " \n\n ", mk.text_chunks) == []
 
 
+def test_restoring_grows_with_the_text_only(spark):
+    n = 20_000
+    tags = "".join(f"<b i={k}>{'x' * 220}" for k in range(n))
+    links = " ".join(f"http://h.example/{k}/{'y' * 200}" for k in range(n))
+    df = spark.createDataFrame([(tags, links)], "tags string, links string").cache()
+    made = mk.protect(df.withColumn("tagged", mk.tags_to_tokens("tags")), "links").cache()
+    made.count()
+    start = time.perf_counter()
+    row = made.select((mk.restore_tags("tagged", "tags") == F.regexp_replace("tags", "(<[^>]+>)", " $1 ")).alias("t"),
+                      (mk.restore_protected("protected", "tokens") == F.col("links")).alias("l")).first()
+    assert row.t and row.l and time.perf_counter() - start < 10   # token by token it takes minutes
+
+
+def test_nested_protected_parts(spark):
+    text = "<pre>a <code>http://u.example/1 b</code> me@x.example</pre> <code>http://u.example/1</code> ###URL_" + "0" * 32 + "###"
+    out = mk.protect(spark.createDataFrame([(text,)], "t string"), "t").select("protected", mk.restore_protected("protected", "tokens").alias("back")).first()
+    assert out.back == text and "example" not in out.protected
+
+
 def test_sections(spark):
     html = "a<H2 x>b</H2><p>c</p><span>d</span><article>e"
     assert one(spark, html, mk.html_sections) == ["a", "<H2 x>b</H2>", "<p>c</p><span>d</span>", "<article>e"]
@@ -143,7 +164,7 @@ def test_translate_texts_once_and_from_cache(spark, tmp_path):
     assert out[6] == "\n\n".join(f"PART {i} " + "Z" * 5000 for i in range(10))
     sent = log.read_text().splitlines()
     assert sent.count("hello") == 1 and len(sent) == 2 + 10      # one text, one failing, ten chunks of one part each
-    cache = tr.merge_cache(empty_cache(spark), first.entries, NOW)
+    cache = tr.new_entries(first.entries, NOW)
     assert cache.where("value like '%FAIL%'").count() == 0
     log.unlink()
     again = tr.translate_rows(rows_of(spark, texts), cache, "2024-02-14 09:59:59", counted)
@@ -237,6 +258,18 @@ def test_rewrite_with_media_and_failures(spark):
     assert "inválido" in out["d"].rewrite_error
 
 
+def test_equal_prompts_are_asked_once(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "T", ARTICLE if k % 2 else ARTICLE.replace("some", "other")) for k in range(40)], "run_key long, title string, content string")
+
+    def model(prompts):
+        (tmp_path / uuid.uuid4().hex).write_text(str(len(prompts)))
+        return ['{"title":"R","content":"<p>c</p>"}'] * len(prompts)
+
+    out = rw.rewrite_documents(docs, model).collect()
+    assert len(out) == 40 and all(r.rewritten and r.title == "R" for r in out)
+    assert sum(int(f.read_text()) for f in tmp_path.iterdir()) == 2
+
+
 def test_rework_falls_back_to_translation(spark):
     rows = spark.createDataFrame([("a", "title", ARTICLE, True), ("b", "title", "<p>short text</p>", True), ("c", "title", "<p>short text</p>", False)],
                                  "run_key string, title string, content string, translate boolean")
