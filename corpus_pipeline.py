@@ -26,7 +26,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles."""
+    """One document of each near-duplicate group stays: fingerprints of four-word shingles at most four bits apart."""
     return simhash.keep_one(docs)
 
 

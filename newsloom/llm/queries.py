@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from newsloom.llm import licenses, linededup, manifest, mixing, packing, pii, quality, search, shards, simhash, spelling, tokencount, urlfilter
 from newsloom.llm.common import table
+from newsloom.llm.oracles import MANIFEST, SPELLING
 from newsloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_manifest": MANIFEST, "op13_spelling": SPELLING}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

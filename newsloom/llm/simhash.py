@@ -14,10 +14,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm import setjoin
 from newsloom.llm.common import components
 from newsloom.session import ship_package, stage
 
@@ -163,16 +162,14 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
-    """The documents without later near copies: of each class of ``setjoin`` the row with the smallest id stays.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """The documents without later near copies: of each component the row with the smallest id stays.
 
-    Rows without an id come last; of rows equal in id and text one stays.  Fingerprints are not used: texts at a
-    Jaccard similarity of 4/5 may differ in too many bits to be met by blocks of 64.
+    Rows without an id come last; of rows equal in id and text one stays.  All columns are kept, whatever their names.
     """
-    labelled = stage(setjoin.similar(docs, id_col, text, width), "labelled")
+    labelled = stage(near_duplicates(docs, id_col, text, width, distance), "labelled")
     first = labelled.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "content")).alias("first"))
     keep = first.select(F.col("first.id").alias("keep_id"), F.col("first.content").alias("keep_content"))
-    hashed = docs.withColumn("_content", F.xxhash64(text))
-    met = hashed.join(keep, hashed[id_col].eqNullSafe(keep["keep_id"]) & (hashed["_content"] == keep["keep_content"]), "left_semi")
-    equal = Window.partitionBy(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull(), "_content").orderBy("_content")
-    return met.withColumn("_copy", F.row_number().over(equal)).filter("_copy = 1").drop("_copy", "_content")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("content"), F.struct(*docs.columns).alias("row"))
+    met = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("content") == F.col("keep_content")), "left_semi")
+    return met.dropDuplicates(["id", "content"]).select("row.*")

@@ -36,7 +36,7 @@ def test_stages(spark, tmp_path):
         elif k == 1:
             now = {i: t for i, t in brute_lines(list(now.items())) if t.split()}
         elif k == 2:
-            now = {i: now[i] for i, _, label in brute_classes(list(now.items()), width=5) if i == label}
+            now = {i: now[i] for i, _, label in brute_classes(list(now.items())) if i == label}
         if k < 3:
             assert dict(got) == now and len(got) == len(now)
         else:

@@ -77,7 +77,7 @@ def test_links_connect_all_close_pairs(spark, blocks, limit):
 
 
 def test_one_of_each_stays(spark):
-    long = " ".join("t%d" % i for i in range(300))
+    long = " ".join("t%d" % i for i in range(6000))
     rows = [(2, long, "a", "x"), (2, long, "a", "x"), (1, long.replace("t7 ", "q "), "b", "x"), (None, long, "c", "x"),
             (3, "something else altogether here now", "d", "x"), (None, "an unlike text without any id", "e", "x")]
     kept = simhash.keep_one(spark.createDataFrame(rows, ROWS))
@@ -85,6 +85,15 @@ def test_one_of_each_stays(spark):
     assert sorted(r["extra"] for r in kept.collect()) == ["b", "d", "e"]
 
 
+def test_what_stays_matches_brute_force_whatever_the_columns(spark):
+    rows = corpus()
+    clash = "doc_id long, text string, _content string, _copy string, content string, id string, row string, label string, keep_id string, fp string"
+    docs = spark.createDataFrame([(i, t, *"abcdefgh") for i, t in rows], clash)
+    kept = simhash.keep_one(docs.union(docs))
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _, label in brute_classes(rows) if i == label)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], ROWS)
     assert simhash.duplicate_classes(docs).count() == 0 and simhash.keep_one(docs).count() == 0
