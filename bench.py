@@ -17,7 +17,8 @@ HEADLINE = (
     "feed_items", "feed_top_n", "new_items", "trusted_items", "feed_config", "feeds_due", "feed_analysis",
     "log_counts", "log_page", "log_retention", "language_detect", "text_chunks", "media_placeholders",
     "translate_pending", "rewrite_prompts", "rewrite_parse", "tag_placeholders", "protect_tokens", "protect_roundtrip",
-    "translate_text", "content_translation", "rewrite_run", "stream_import",
+    "translate_text", "content_translation", "rewrite_run", "stream_import", "feed_newest_half", "post_images_html",
+    "failed_documents",
 )
 
 

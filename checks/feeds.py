@@ -263,9 +263,14 @@ def feeds_marked(spark, folder):
 
 
 @check("feeds_effective", f"""
-SELECT id, feed_url, quantity, post_status, category FROM {d.DUE}
-UNION ALL SELECT 'main', 'https://main.example/rss', 1, 'publish', 4 WHERE NOT EXISTS (SELECT 1 FROM {d.FEEDS})""")
+SELECT 'configured' AS schedule, id, feed_url, quantity, post_status, category FROM {d.DUE}
+UNION ALL SELECT 'none', 'main', 'https://main' || page_id || '.example/rss', 1, 'publish', 4 FROM pages""")
 def feeds_effective(spark, folder):
-    main = spark.createDataFrame([("https://main.example/rss", 1, False, 4)], "feed_url string, quantity int, translate boolean, category int")
-    out = schedule.feeds_effective(_feeds(spark, folder).drop("event_id"), main, d.NOW)
-    return out.select("id", "feed_url", "quantity", "post_status", "category")
+    """The main feed stands in only where nothing is configured; here one per page shows that."""
+    main = d.plain_pages(spark, folder).select(
+        F.concat(F.lit("https://main"), F.col("page_id").cast("string"), F.lit(".example/rss")).alias("feed_url"),
+        F.lit(1).alias("quantity"), F.lit(False).alias("translate"), F.lit(4).alias("category"))
+    feeds = _feeds(spark, folder).drop("event_id")
+    found = [schedule.feeds_effective(some, main, d.NOW).withColumn("schedule", F.lit(name))
+             for name, some in (("configured", feeds), ("none", feeds.where("feed_url = ''")))]
+    return found[0].union(found[1]).select("schedule", "id", "feed_url", "quantity", "post_status", "category")

@@ -157,6 +157,16 @@ def feed_top_n(spark, folder):
     return newest_per_feed(items, N)
 
 
+@check("feed_newest_half", f"""
+SELECT feed, seq, link, pub_epoch FROM (SELECT *, row_number() OVER (PARTITION BY feed ORDER BY pub_epoch DESC, seq) AS rn,
+  count(*) OVER (PARTITION BY feed) AS n FROM {d.WITH_MIRROR}) WHERE rn <= n // 2 OR n < 2""")
+def feed_newest_half(spark, folder):
+    """The newest half of every feed; one feed holds half of all rows."""
+    items = d.with_mirror(_items(spark, folder)).select("feed", "seq", "link", "pub_epoch")
+    half = items.groupBy("feed").agg(F.floor(F.count("*") / 2).alias("quantity"))   # a feed of one item: 0, which keeps all
+    return newest_per_feed(items.join(half, "feed"), "quantity").select("feed", "seq", "link", "pub_epoch")
+
+
 @check("new_items", f"SELECT feed, seq, link FROM {d.ITEMS} WHERE link NOT IN {d.SEEN}")
 def new(spark, folder):
     seen = imported_urls(d.post_meta(d.plain_pages(spark, folder)), URL_KEY)

@@ -13,7 +13,7 @@ from newsloom.functions.html_tree import page_tree
 from newsloom.functions.text import decode_entities
 from newsloom.functions.urls import absolute_url, bare_host, resolve_url, url_host
 from newsloom.operators import blocks
-from newsloom.plans.extract import extract_pages, image_manifest
+from newsloom.plans.extract import extract_pages, image_manifest, with_local_images
 
 def headed(df):
     """Pages with the title taken out or moved to an og: tag, so every branch is met."""
@@ -121,6 +121,23 @@ def image_manifest_query(spark, folder):
     return out.select("post_parent", "position", "image_url", "file_name", "mime_type", "post_title")
 
 
+_LOCAL = "'https://media.example/' || md5(page_id || '|{k}') || '-{file}'"
+
+
+@check("post_images_html", f"""
+SELECT page_id, md5('<img data-src="/lazy.jpg" class="wide wp-image-' || md5(page_id || '|0') || '" src="' || {_LOCAL.format(k=0, file='a.jpg')} || '">'
+  || '<IMG class="wp-image-' || md5(page_id || '|1') || '" alt="src=x" src="' || {_LOCAL.format(k=1, file='b.png')} || '" class2=y/>'
+  || '<img src="/c.unknown" class="k"><img alt="no address">' || html
+  || '<img src="' || {_LOCAL.format(k=3, file="' || 'p' || page_id || '.gif")} || '" class="x y wp-image-' || md5(page_id || '|3') || '">') AS html_md5 FROM pages""")
+def post_images_html(spark, folder):
+    """Quoted, unquoted and lazy addresses, with and without a class; what is no attachment stays."""
+    head = ('<img data-src="/lazy.jpg" class="wide" src="/i/a.jpg"><IMG alt="src=x" src=b.png class2=y/>'
+            '<img src="/c.unknown" class="k"><img alt="no address">')
+    html = F.concat(F.lit(head), F.col("html"), F.lit("<img src='/p"), F.col("page_id").cast("string"), F.lit(".gif' class=\"x y\">"))
+    pages = d.plain_pages(spark, folder).withColumn("html", html)
+    return with_local_images(pages, "https://media.example/", "page_id", "html", "url").select("page_id", F.md5("html").alias("html_md5"))
+
+
 @check("page_meta", """
 SELECT page_id, CASE WHEN url LIKE 'http://%' THEN 'About ' || page_id END AS description, CAST(CASE WHEN url LIKE 'http://%' THEN 1 ELSE 0 END AS BIGINT) AS entries FROM pages""")
 def page_meta(spark, folder):

@@ -179,10 +179,12 @@ def media_roundtrip(spark, folder):
 
 
 @check("media_stats", """
-SELECT page_id, CAST(2 AS BIGINT) AS images, CAST(1 AS BIGINT) AS iframes, CAST(1 AS BIGINT) AS videos, CAST(1 AS BIGINT) AS embeds FROM pages""")
+SELECT page_id, 2 + page_id % 4 AS images, 1 + page_id % 3 AS iframes, CAST(1 AS BIGINT) AS videos, 1 + page_id % 2 AS embeds FROM pages""")
 def media_stats(spark, folder):
-    counts = mk.media_counts("html")
-    return _with_media(spark, folder).select("page_id", *[c.alias(n) for n, c in counts.items()])
+    more = F.concat(*[F.repeat(F.lit(tag), (F.col("page_id") % n).cast("int")) for tag, n in (
+        ("<img src=3>", 4), ('<iframe src="g"></iframe>', 3), ('<blockquote class="tiktok-embed">t</blockquote>', 2))])
+    pages = _with_media(spark, folder).withColumn("html", F.concat("html", more))
+    return pages.select("page_id", *[c.alias(n) for n, c in mk.media_counts("html").items()])
 
 
 # --- long texts ----------------------------------------------------------------

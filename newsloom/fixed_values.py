@@ -67,6 +67,7 @@ OG_TITLE_PATTERN = r"""(?i)<meta[^>]+property=["']og:title["'][^>]+content=["'](
 OG_IMAGE_PATTERN = r"""(?i)<meta[^>]+property=["']og:image["'][^>]+content=["']([^"']+)["']"""
 DESCRIPTION_PATTERN = r"""(?i)<meta[^>]+name=["']description["'][^>]+content=["']([^"']+)["']"""
 IMG_SRC_PATTERN = r"""(?i)<img[^>]+src=["']([^"']+)["']"""
+IMAGE_CLASS = "wp-image-"
 JSONLD_PATTERN = r"""(?is)<script type=["']application/ld\+json["']>(.*?)</script>"""
 IMAGE_PATH_PATTERN = r"(?i)\.(jpg|jpeg|png|gif|webp|svg)$"
 STYLE_ATTR_PATTERN = r"""(?i)\s+style=["'][^"']*["']"""

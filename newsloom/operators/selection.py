@@ -23,7 +23,8 @@ def newest_per_feed(
     Every map task first keeps only its own newest items of each feed (Spark's
     window group limit), so a feed with most of the rows sends few of them on.
     For a column Spark needs to know a bound for that: ``max_quantity`` says
-    that the column lies in 1..max_quantity, as schedules always do.
+    that the column lies in 1..max_quantity, as schedules always do.  Without a bound whole spans of time are kept
+    or dropped by their counts (``_newest_by_span``).
     """
     order = Window.partitionBy(feed).orderBy(F.col(date).desc_nulls_last(), F.col(seq).asc())
     rank = F.row_number().over(order)
@@ -34,9 +35,34 @@ def newest_per_feed(
     if max_quantity is not None:
         ranked = items.withColumn("_rank", rank).where(F.col("_rank") <= max_quantity)
         return ranked.where(F.col("_rank") <= F.col(quantity)).drop("_rank")
-    limit = F.coalesce(F.col(quantity), F.lit(0))
-    some = items.where(limit > 0).withColumn("_rank", rank).where(F.col("_rank") <= F.col(quantity)).drop("_rank")
-    return some.unionByName(items.where(limit <= 0))
+    keys = [feed] if isinstance(feed, str) else list(feed)
+    return _newest_by_span(items, quantity, keys, date, seq)
+
+
+# items of a feed are counted by spans of so many seconds
+SPAN = 3600
+_NO_SPAN = -(1 << 62)
+
+
+def _newest_by_span(items: DataFrame, quantity: str, feed: list[str], date: str, seq: str) -> DataFrame:
+    """The newest ``quantity`` items of each feed, whatever the quantity; 0 and less keep all.
+
+    Items are counted per feed and span of time.  Whole spans are kept or dropped by these counts, and only the one
+    span in which a feed's quantity ends is ranked, so no task holds a feed.
+    """
+    span = F.coalesce(F.floor(F.col(date) / SPAN), F.lit(_NO_SPAN)).cast("long")   # items without a date come last
+    wanted = F.coalesce(F.col(quantity), F.lit(0)).cast("long")
+    counted = items.groupBy(*[F.col(c).alias(f"_{c}") for c in feed], span.alias("_span")).agg(F.count("*").alias("_n"), F.max(wanted).alias("_wanted"))
+    newer = Window.partitionBy(*[f"_{c}" for c in feed]).orderBy(F.col("_span").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    counted = counted.withColumn("_room", F.when(F.col("_wanted") <= 0, F.col("_n")).otherwise(F.col("_wanted") - F.coalesce(F.sum("_n").over(newer), F.lit(0))))
+    spans = counted.where("_room > 0")
+    same = span == F.col("_span")
+    for c in feed:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    met = items.join(spans, same)
+    rank = F.row_number().over(Window.partitionBy(*feed, "_span").orderBy(F.col(date).desc_nulls_last(), F.col(seq).asc()))
+    cut = met.where("_room < _n").withColumn("_rank", rank).where("_rank <= _room").select(*items.columns)
+    return met.where("_room >= _n").select(*items.columns).unionByName(cut)
 
 
 def imported_urls(post_meta: DataFrame, url_key: str) -> DataFrame:

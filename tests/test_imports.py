@@ -129,6 +129,20 @@ def test_top_n(spark):
     assert sorted((r.feed, r.seq) for r in sel.newest_per_feed(rows.where("feed = 'b'"), "quantity", 20).collect()) == [("b", 0), ("b", 1), ("b", 2)]
 
 
+def test_top_n_of_any_quantity(spark):
+    deal = random.Random(3)
+    rows = [(deal.choice(["big"] * 5 + ["a", None]), i, deal.choice([None, deal.randrange(40) * 1800]), 0) for i in range(400)]
+    quantity = {"big": 150, "a": 10**7, None: 3}
+    rows = [(f, i, at, quantity[f]) for f, i, at, _ in rows] + [("all", i, i, q) for i, q in ((0, 0), (1, 0))] + [("none", 0, 5, None)]
+    frame = spark.createDataFrame(rows, "feed string, seq long, pub_epoch long, quantity int")
+    want = []
+    for f in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == f), key=lambda r: (r[2] is None, -(r[2] or 0), r[1]))
+        want += [(f, r[1]) for r in (own[:own[0][3]] if own[0][3] else own)]
+    got = sel.newest_per_feed(frame, "quantity")
+    assert sorted(((r.feed, r.seq) for r in got.collect()), key=str) == sorted(want, key=str) and got.columns == frame.columns
+
+
 HOSTS = ["https://bbc.com/x", "http://www.bbc.com/y", "https://notBBC.com/", "https://news.bbc.com.evil.example/1", "https://other.example/", "nohost", None]
 
 

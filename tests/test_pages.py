@@ -6,7 +6,7 @@ from newsloom.functions import page as pg
 from newsloom.functions.html_tree import NODE_FIELDS, encode_page
 from newsloom.functions.text import decode_entities, paragraphs_to_html
 from newsloom.operators.blocks import main_content
-from newsloom.plans.extract import extract_pages, image_manifest
+from newsloom.plans.extract import extract_pages, image_manifest, with_local_images
 from newsloom.sources.pages import decode_pages
 
 NAMES = [n for n, _ in NODE_FIELDS]
@@ -138,3 +138,17 @@ def test_images_take_the_src_attribute_itself(spark):
             "<IMG class=wide SRC = \"d.gif\" /><img alt='none'>")
     rows = image_manifest(spark.createDataFrame([(1, "https://h.example/p/x.html", html)], "post_id long, url string, post_content string"))
     assert [r.image_url for r in rows.orderBy("position").collect()] == [f"https://h.example/p/{n}" for n in ("a.jpg", "c.png", "d.gif")]
+
+
+def test_images_in_the_post_point_to_their_attachments(spark):
+    html = ("<p>a</p><img src='a.jpg' data-src='b.jpg'><img data-src=\"x.jpg\" alt='say src=\"y.jpg\" class=no' src=c.png class=big>"
+            "<IMG class=\"wide 2\" SRC = \"d.gif\" /><img alt='none'><img src=e.unknown><img src=cut.png")
+    posts = spark.createDataFrame([(1, "https://h.example/p/x.html", html), (2, "https://h.example/", None), (3, "https://h.example/", "no image")],
+                                  "post_id long, url string, post_content string")
+    ids = {r.file_name: r.attachment_id for r in image_manifest(posts).collect()}
+    out = {r.post_id: r.post_content for r in with_local_images(posts, "https://m.example/u").collect()}
+    at = lambda n: f'"https://m.example/u/{ids[n]}-{n}"'
+    assert out[1] == (f"<p>a</p><img class=\"wp-image-{ids['a.jpg']}\" src={at('a.jpg')} data-src='b.jpg'>"
+                      f"<img data-src=\"x.jpg\" alt='say src=\"y.jpg\" class=no' src={at('c.png')} class=\"big wp-image-{ids['c.png']}\">"
+                      f"<IMG class=\"wide 2 wp-image-{ids['d.gif']}\" SRC = {at('d.gif')} /><img alt='none'><img src=e.unknown><img src=cut.png")
+    assert out[2] is None and out[3] == "no image"
