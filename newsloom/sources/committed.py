@@ -41,7 +41,7 @@ class Keyed:
 @dataclass(frozen=True)
 class Part:
     name: str
-    rows: int
+    rows: int   # counted for keyed tables, where it decides what is merged; else 1
 
 
 @dataclass(frozen=True)
@@ -134,7 +134,7 @@ class CommittedTables:
         else:
             bucketed = rows.withColumn("bucket", layout.bucket(layout.key)).hint("rebalance", "bucket")
             bucketed.write.partitionBy("bucket").parquet(path)
-        return Part(part, self._read(spark, name, [part]).count())
+        return Part(part, 1 if layout is None else self._read(spark, name, [part]).count())
 
     def append(self, df: DataFrame, name: str, **by) -> None:
         """Write one part and commit it."""
