@@ -59,43 +59,66 @@ def targets(light: DataFrame, cycle: Sequence[float], cap: float) -> DataFrame:
         "src", "nr", "source_size", F.least(F.col("most"), F.col("weight") * F.col("unit")).alias("target"))
 
 
-def cuts(light: DataFrame, goals: DataFrame, top_up: int) -> DataFrame:
-    """(src, ..., passes, cut_block, cut_place, extra): where the last, partial pass over a source ends.
+def fill(rows: DataFrame, rooms: DataFrame) -> DataFrame:
+    """(src, room, cut_block, cut_place): each source's rows (src, place, words) taken in order while its room lasts.
 
-    Blocks are summed per source (at most BLOCKS rows each), the block in which the rest ends is entered
-    document by document, and what then lacks is topped up with the documents whose sizes come nearest to it.
+    Rows up to ``cut_place`` are taken; ``room`` is what they leave.  Blocks are summed per source (at most BLOCKS
+    rows each), and only the block in which the room ends is entered row by row.  Rows of one place go together.
+    """
+    blocks = rows.groupBy("src", block(F.col("place")).alias("block")).agg(F.sum("words").alias("words"))
+    room_of = rooms.select(F.col("src").alias("s"), "room")
+    upto = Window.partitionBy("src").orderBy("block")
+    summed = blocks.join(room_of, F.col("src").eqNullSafe(F.col("s"))).withColumn("upto", F.sum("words").over(upto))
+    over = F.when(F.col("upto") > F.col("room"), F.struct("block", (F.col("room") - F.col("upto") + F.col("words")).alias("left")))
+    ends = summed.groupBy(F.col("src").alias("s")).agg(F.min(over).alias("end"), F.sum("words").alias("all"))
+    ends = stage(ends.select("s", "all", F.col("end.block").alias("cut_block"), F.col("end.left").alias("left")), "ends")
+    entered = rows.join(ends.filter("cut_block is not null"), F.col("src").eqNullSafe(F.col("s")) & (block(F.col("place")) == F.col("cut_block")))
+    entered = entered.withColumn("upto", F.sum("words").over(Window.partitionBy("src").orderBy("place")))
+    inside = entered.filter("upto <= left").groupBy(F.col("src").alias("t")).agg(F.max("place").alias("last"), F.max("upto").alias("used"))
+    met = rooms.join(ends, F.col("src").eqNullSafe(F.col("s")), "left").join(inside, F.col("src").eqNullSafe(F.col("t")), "left")
+    whole, none = F.col("cut_block").isNull(), F.lit(0)
+    before = F.shiftleft(F.col("cut_block").cast("long"), 63 - BLOCK_BITS) - 1
+    return met.select("src", F.when(whole, F.col("room") - F.coalesce("all", none)).otherwise(F.col("left") - F.coalesce("used", none)).alias("room"),
+                      F.coalesce("cut_block", F.lit(BLOCKS - 1)).alias("cut_block"),
+                      F.when(whole, F.lit((1 << 63) - 1)).otherwise(F.coalesce("last", before)).alias("cut_place"))
+
+
+def cuts(light: DataFrame, goals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, ..., passes, cut_block, cut_place) and (extra_src, extra): where the last, partial pass over a source ends.
+
+    The pass goes on behind documents that do not fit, with those that do, round by round until what lacks is
+    less than the smallest document left; that one is taken too if it brings the source nearer to its target.
+    Each round's candidates are among those of the round before and no larger than what lacks, which falls
+    below a document that did not fit.  ``extra`` are the places of documents taken behind the cut; their words
+    are fewer than those of one document per source.
     """
     goals = goals.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
     goals = stage(goals.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size")), "goals")
-    blocks = light.groupBy("src", block(F.col("place")).alias("block")).agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("src").orderBy("block")
-    blocks = blocks.join(goals.select(F.col("src").alias("s"), "rest"), F.col("src").eqNullSafe(F.col("s"))).withColumn("upto", F.sum("words").over(upto))
-    ends = blocks.filter("upto > rest").groupBy("src").agg(F.min(F.struct("block", (F.col("rest") - F.col("upto") + F.col("words")).alias("left"))).alias("end"))
-    ends = stage(ends.select(F.col("src").alias("s"), F.col("end.block").alias("cut_block"), F.col("end.left").alias("left")), "ends")
-    entered = light.join(ends, F.col("src").eqNullSafe(F.col("s")) & (block(F.col("place")) == F.col("cut_block")))
-    entered = entered.withColumn("upto", F.sum("size").over(Window.partitionBy("src").orderBy("place")))
-    inside = entered.filter("upto <= left").groupBy(F.col("src").alias("s")).agg(F.max("place").alias("cut_place"), F.max("upto").alias("used"))
-    full = ends.withColumnsRenamed({"s": "src"}).join(inside, F.col("src").eqNullSafe(F.col("s")), "left").select(
-        "src", "cut_block", F.coalesce("cut_place", F.lit(-1)).alias("cut_place"),
-        (F.col("left") - F.coalesce("used", F.lit(0))).alias("lack"), F.array().cast("array<bigint>").alias("extra"))
-    for _ in range(top_up):
-        full = stage(full, "cuts")
-        need = full.select(F.col("src").alias("s"), *(c for c in full.columns if c != "src"))
-        spare = light.join(need, F.col("src").eqNullSafe(F.col("s"))).filter(
-            ~taken_in_rest(F.col("place")) & (F.col("size") < 2 * F.col("lack")) & (F.col("size") > 0))
-        alike = spare.groupBy("src", "place", "lack").agg(F.sum("size").alias("words")).filter("words < 2 * lack")
-        best = alike.groupBy(F.col("src").alias("s")).agg(F.min(F.struct(F.abs(F.col("lack") - F.col("words")), "place", "words")).alias("best"))
-        full = full.join(best, F.col("src").eqNullSafe(F.col("s")), "left").select(
-            "src", "cut_block", "cut_place", (F.col("lack") - F.coalesce("best.words", F.lit(0))).alias("lack"),
-            F.when(F.col("best").isNull(), F.col("extra")).otherwise(F.array_append("extra", F.col("best.place"))).alias("extra"))
-    return goals.select(F.col("src").alias("s"), "nr", "source_size", "target", "passes").join(full, F.col("src").eqNullSafe(F.col("s")), "left").select(
-        F.col("s").alias("src"), "nr", "source_size", "target", "passes", F.coalesce("cut_block", F.lit(0)).alias("cut_block"),
-        F.coalesce("cut_place", F.lit(-1)).alias("cut_place"), F.coalesce("extra", F.array().cast("array<bigint>")).alias("extra"))
-
-
-def taken_in_rest(place: Column) -> Column:
-    return ((block(place) < F.col("cut_block")) | ((block(place) == F.col("cut_block")) & (place <= F.col("cut_place")))
-            | F.array_contains("extra", place))
+    rooms = goals.filter("rest > 0").select("src", F.col("rest").alias("room"))
+    first = stage(fill(light.select("src", "place", F.col("size").alias("words")), rooms), "first-cut")
+
+    def spare(rows: DataFrame, state: DataFrame, most: Column) -> DataFrame:
+        need = state.select(F.col("src").alias("s"), "room", "cut_place")
+        return rows.join(need, F.col("src").eqNullSafe(F.col("s"))).filter((F.col("place") > F.col("cut_place")) & (F.col("words") <= most) & (F.col("words") > 0))
+
+    behind = spare(light.withColumnRenamed("size", "words"), first, 2 * F.col("room")).groupBy("src", "place").agg(F.sum("words").alias("words"))
+    behind = stage(behind, "behind")  # documents of one place are taken together
+    extra, state = behind.select(F.col("src").alias("extra_src"), F.col("place").alias("extra")).limit(0), first.select("src", "room")
+    open_rows = stage(spare(behind, first, F.col("room")).select("src", "place", "words"), "open")
+    while not open_rows.isEmpty():
+        now = stage(fill(open_rows, state), "next-cut")
+        bound = now.select(F.col("src").alias("s"), "room", "cut_place")
+        met = open_rows.join(bound, F.col("src").eqNullSafe(F.col("s")))
+        extra = extra.union(stage(met.filter("place <= cut_place").select(F.col("src").alias("extra_src"), F.col("place").alias("extra")), "extra"))
+        open_rows = stage(met.filter("place > cut_place and words <= room").select("src", "place", "words"), "open")
+        state = now.select("src", "room")
+    left = behind.join(extra, F.col("src").eqNullSafe(F.col("extra_src")) & (F.col("place") == F.col("extra")), "left_anti")
+    nearest = left.join(state.select(F.col("src").alias("s"), "room"), F.col("src").eqNullSafe(F.col("s"))).filter("words < 2 * room")
+    nearest = nearest.groupBy("src").agg(F.min(F.struct("words", "place")).alias("best")).select(F.col("src").alias("extra_src"), F.col("best.place").alias("extra"))
+    cut = first.select(F.col("src").alias("s"), "cut_block", "cut_place")
+    plans = goals.join(cut, F.col("src").eqNullSafe(F.col("s")), "left").select(
+        "src", "nr", "source_size", "target", "passes", F.coalesce("cut_block", F.lit(-1)).alias("cut_block"), F.coalesce("cut_place", F.lit(-1)).alias("cut_place"))
+    return plans, stage(extra.union(nearest), "extras")
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, even: Column) -> Column:
@@ -152,36 +175,47 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return sums.groupBy("nr").agg(F.transform(F.sort_array(F.collect_list(F.struct("node", "end"))), lambda x: x["end"]).alias("ends"))
 
 
-def plan(light: DataFrame, cycle: Sequence[float] = (5, 2, 1), cap: float = 3.0, top_up: int = 3) -> DataFrame:
-    """One row per source: target, passes and where the partial pass ends."""
-    return stage(cuts(light, targets(light, cycle, cap), top_up), "mix-plan")
+def plan(light: DataFrame, shards: int, seed: int, cycle: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> tuple[DataFrame, DataFrame]:
+    """One row per source (target, passes, where the partial pass ends, its block quotas' running sums), and the extras."""
+    plans, extras = cuts(light, targets(light, cycle, cap))
+    plans = stage(plans, "mix-plan")
+    ends = split_quotas(plans.select("nr", (F.col("passes") * BLOCKS + F.col("cut_block") + 1).cast("long").alias("quota")), shards, seed)
+    return stage(plans.join(ends, "nr"), "mix-shards"), extras
 
 
-def with_copies(light: DataFrame, plans: DataFrame) -> DataFrame:
-    """Each row with its source's plan and ``copies``, how often the mix takes it.
+def drawn(rows: DataFrame, plans: DataFrame, extras: DataFrame) -> DataFrame:
+    """``rows`` (with src and place) with their source's plan and ``shards``: the shard of each time the mix takes them.
 
-    The plan has one row per source and is read from files, so the planner knows whether it is small enough
-    to be sent to all tasks.
+    The plan has one row per source, and the extras hold fewer words than one document per source; both are
+    read from files, so the planner knows whether they are small enough to be sent to all tasks.
     """
-    named = plans.withColumnRenamed("src", "s")
-    return light.join(named, F.col("src").eqNullSafe(F.col("s")), "left").withColumn(
-        "copies", F.col("passes") + F.when(taken_in_rest(F.col("place")), 1).otherwise(0)).drop("s")
+    met = rows.join(plans.withColumnRenamed("src", "s"), F.col("src").eqNullSafe(F.col("s"))).drop("s")
+    met = met.join(extras, F.col("src").eqNullSafe(F.col("extra_src")) & (F.col("place") == F.col("extra")), "left")
+    once_more = (F.col("place") <= F.col("cut_place")) | F.col("extra").isNotNull()
+    own = F.when(F.col("extra").isNotNull(), F.col("cut_block")).otherwise(block(F.col("place")))
+    whole = F.when(F.col("passes") > 0, F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda k: k * BLOCKS + block(F.col("place"))))
+    draws = F.concat(F.coalesce(whole, F.array().cast("array<int>")),
+                     F.when(once_more, F.array(F.col("passes") * BLOCKS + own)).otherwise(F.array().cast("array<int>")))
+    shard = lambda draw: F.size(F.filter("ends", lambda end: end <= draw))
+    return met.withColumn("shards", F.transform(draws, shard)).drop("extra_src", "extra")
+
+
+def dealt(docs: DataFrame, shards: int = 64, source: str = "source", id_col: str = "doc_id", text: str = "text", seed: int = 17, **how: object) -> DataFrame:
+    """One row per document: id, src, size, source_size, target and ``shards``, one entry for each time the mix takes it."""
+    light = stage(light_rows(docs, source, id_col, text, seed), "mix-light")
+    return drawn(light, *plan(light, shards, seed, **how)).select("id", "src", "size", "source_size", "target", "shards")
 
 
 def mixture(docs: DataFrame, shards: int = 64, source: str = "source", id_col: str = "doc_id", text: str = "text", seed: int = 17, **how: object) -> DataFrame:
-    """The mix: rows of ``docs``, repeated as their source's target asks, with ``shard`` and ``shard_order``."""
+    """The mix: rows of ``docs``, repeated as their source's target asks, with ``shard`` and ``shard_order``.
+
+    Input columns of these two names are replaced.
+    """
     light = stage(light_rows(docs, source, id_col, text, seed), "mix-light")
-    plans = plan(light, **how)
-    quota = (F.col("passes") * BLOCKS + F.col("cut_block") + 1).cast("long")
-    ends = split_quotas(plans.select("nr", quota.alias("quota")), shards, seed)
-    plans = stage(plans.join(ends, "nr"), "mix-shards")
-    row = docs.select(F.struct(*docs.columns).alias("doc"), F.col(source).alias("src"), permuted(seed, F.col(id_col), F.xxhash64(text)).alias("place"))
-    taken = with_copies(row, plans).filter("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    extra = (F.col("pass") == F.col("passes")) & F.array_contains("extra", F.col("place"))
-    draw = F.col("pass") * BLOCKS + F.when(extra, F.col("cut_block")).otherwise(block(F.col("place")))
-    shard = F.size(F.filter("ends", lambda end: end <= draw))
-    dealt = taken.select("doc", shard.alias("_shard"), F.xxhash64("place", "pass", F.lit(seed)).alias("_order"))
-    return dealt.select("doc.*", F.col("_shard").alias("shard"), F.col("_order").alias("shard_order"))
+    kept = [c for c in docs.columns if c not in ("shard", "shard_order")]
+    row = docs.select(F.struct(*kept).alias("doc"), F.col(source).alias("src"), permuted(seed, F.col(id_col), F.xxhash64(text)).alias("place"))
+    taken = drawn(row, *plan(light, shards, seed, **how)).select("doc", "place", F.posexplode("shards").alias("pass", "shard"))
+    return taken.select("doc.*", "shard", F.xxhash64("place", "pass", F.lit(seed)).alias("shard_order"))
 
 
 def write_mixture(mix: DataFrame, path: str) -> None:

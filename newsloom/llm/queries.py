@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from newsloom.llm import licenses, linededup, manifest, mixing, packing, pii, quality, search, shards, simhash, spelling, tokencount, urlfilter
 from newsloom.llm.common import table
 from newsloom.llm.oracles import MANIFEST, SPELLING
-from newsloom.session import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {"op12_manifest": MANIFEST, "op13_spelling": SPELLING}
@@ -37,10 +36,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of every document the mix takes."""
-    light = stage(mixing.light_rows(table(spark, sf_dir, "documents"), "source", "doc_id", "text", 17), "mix-light")
-    taken = mixing.with_copies(light, mixing.plan(light))
-    return taken.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    """How many words of every document the mix takes, and the shards it goes to."""
+    found = mixing.dealt(table(spark, sf_dir, "documents"))
+    taken = F.aggregate("shards", F.lit(0).cast("long"), lambda words, _: words + F.col("size"))
+    return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", taken.alias("taken"), F.array_join(F.col("shards").cast("array<string>"), ",").alias("shards"))
 
 
 @query

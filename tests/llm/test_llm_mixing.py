@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import mixing
+from newsloom.llm import mixing, queries
 
 ROWS = "doc_id long, text string, source string, size string, passes string, nr long"
 
@@ -46,26 +46,47 @@ def test_targets_and_takings(spark):
     for _, text, source in rows:
         sizes[source] += len((text or "").split())
     goal = filled(sizes)
-    light = mixing.light_rows(docs_of(spark, rows), "source", "doc_id", "text", 17)
-    found = mixing.with_copies(light, mixing.plan(light)).collect()
-    again = mixing.with_copies(light.repartition(3), mixing.plan(light)).collect()
+    found = mixing.dealt(docs_of(spark, rows)).collect()
+    again = mixing.dealt(docs_of(spark, rows).repartition(3)).collect()
     assert sorted(map(str, found)) == sorted(map(str, again)) and len(found) == len(rows)
     taken = collections.defaultdict(int)
     for r in found:
         assert math.isclose(r["target"], goal[r["src"]], rel_tol=1e-9, abs_tol=1e-9) and r["source_size"] == sizes[r["src"]]
-        assert 0 <= r["copies"] <= 3 or r["size"] == 0
-        taken[r["src"]] += r["copies"] * r["size"]
-    assert all(abs(taken[s] - goal[s]) <= 15 for s in goal)  # documents have 3, 30 or 60 words
+        assert len(r["shards"]) <= 3 and r["shards"] == sorted(r["shards"])
+        taken[r["src"]] += len(r["shards"]) * r["size"]
+    least = min(len(t.split()) for _, t, _ in rows if (t or "").split())
+    assert all(abs(taken[s] - goal[s]) <= least / 2 for s in goal)  # each source has some of the smallest documents left
+
+
+def test_long_documents_are_passed_over(spark):
+    """Sources whose sizes differ widely: what lacks is less than any document left, or the nearest one was taken."""
+    deal = random.Random(9)
+    rows = [(i, "w " * deal.choice([1, 2, 5, 40, 300, 5000]), deal.choice("aaabc")) for i in range(150)] + [(999, "w " * 40_000, "a"), (998, "w " * 9000, "d")]
+    rows += rows[:20]  # rows equal in id and text go together
+    size = {i: len(t.split()) for i, t, _ in rows}
+    found = mixing.dealt(docs_of(spark, rows), shards=8).collect()
+    assert len(found) == len(rows) and max(len(r["shards"]) for r in found) <= 3
+    times = collections.Counter(r["id"] for r in found)
+    for source in "abcd":
+        of = [r for r in found if r["src"] == source]
+        lack = of[0]["target"] - sum(len(r["shards"]) * r["size"] for r in of)
+        passes = int(of[0]["target"] // of[0]["source_size"])
+        assert all(len(r["shards"]) in (passes, passes + 1) for r in of)
+        spare = [times[r["id"]] * size[r["id"]] for r in of if len(r["shards"]) == passes]
+        assert lack < min(spare, default=1) and -lack <= 40_000
+        if spare:
+            assert abs(lack) <= min(spare) or lack < 0
+        if lack > 0:
+            assert not spare or min(spare) >= 2 * lack
 
 
 def test_shards_split_the_mix_disjointly(spark):
     docs = docs_of(spark, corpus())
     mix = mixing.mixture(docs, shards=8)
     assert mix.columns == [*docs.columns, "shard", "shard_order"]
-    light = mixing.light_rows(docs, "source", "doc_id", "text", 17)
-    copies = {(r["id"], r["src"]): r["copies"] for r in mixing.with_copies(light, mixing.plan(light)).collect() if r["copies"]}
+    draws = collections.Counter((r["id"], r["src"], shard) for r in mixing.dealt(docs, shards=8).collect() for shard in r["shards"])
     rows = mix.collect()
-    assert collections.Counter((r["doc_id"], r["source"]) for r in rows) == copies
+    assert collections.Counter((r["doc_id"], r["source"], r["shard"]) for r in rows) == draws
     per = collections.Counter(r["shard"] for r in rows)
     assert set(per) == set(range(8)) and max(per.values()) < 1.5 * min(per.values())
 
@@ -89,8 +110,28 @@ def test_quotas_are_met_exactly(spark):
     assert max(sums) - min(sums) <= 4  # halves of halves, at most one apart each time
 
 
-def test_empty_and_native(spark):
-    light = mixing.light_rows(docs_of(spark, []), "source", "doc_id", "text", 17)
-    assert mixing.with_copies(light, mixing.plan(light)).count() == 0
-    only = mixing.light_rows(docs_of(spark, [(1, None, None), (2, "", None)]), "source", "doc_id", "text", 17)
-    assert [r["copies"] * r["size"] for r in mixing.with_copies(only, mixing.plan(only)).collect()] == [0, 0]
+def test_empty_and_wordless(spark):
+    assert mixing.dealt(docs_of(spark, [])).count() == 0 and mixing.mixture(docs_of(spark, [])).count() == 0
+    assert [r["shards"] for r in mixing.dealt(docs_of(spark, [(1, None, None), (2, "", None)])).collect()] == [[], []]
+
+
+def test_names_and_files(spark, tmp_path):
+    """Input columns named as the operator's own; written shards hold the mix, in random order."""
+    names = ["shard", "shard_order", "src", "place", "ends", "shards", "extra", "extra_src", "pass", "doc", "nr", "s"]
+    docs = docs_of(spark, corpus()).drop("size", "passes", "nr").withColumns({n: F.lit(f"own {n}") for n in names})
+    mix = mixing.mixture(docs, shards=4)
+    assert mix.columns == [*[c for c in docs.columns if c not in ("shard", "shard_order")], "shard", "shard_order"]
+    mixing.write_mixture(mix, f"{tmp_path}/mix")
+    wrote = spark.read.parquet(f"{tmp_path}/mix")
+    key = lambda r: (r["shard"], r["doc_id"], r["text"], r["place"], r["ends"])
+    assert collections.Counter(map(key, wrote.collect())) == collections.Counter(map(key, mix.collect()))
+    ids = [r["doc_id"] for r in wrote.filter("shard = 1").collect() if r["doc_id"] is not None]
+    assert ids != sorted(ids)
+
+
+def test_registered_query(spark, tmp_path):
+    docs_of(spark, corpus()).write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["op1_mixing"](spark, str(tmp_path)).collect()
+    assert len(found) == len(corpus())
+    for r in found:
+        assert r["taken"] == r["size"] * len(list(filter(None, r["shards"].split(",")))) and r["taken"] <= 3 * r["size"]
