@@ -1,21 +1,24 @@
-"""Personal data: fixed patterns, and a semi-Markov segment model, trained as a perceptron, for what they miss.
+"""Personal data: fixed patterns, and a semi-Markov conditional random field for what they miss.
 
 Candidate segments are runs of up to ``LONGEST`` tokens in zones around digits, at-signs and spelled-out ones.  Features of the
-whole segment (its shape, number of digits, checksum, neighbours) score it as one of the kinds, and a dynamic
-program over the zone chooses boundaries and kinds together.  The weights are trained here, by structured
-perceptron, on at most ``sample`` zones of the corpus, labelled by the patterns and by variants of what they
-find (no leading plus, at-signs and dots spelled out, addresses without digits).  Spans of the patterns always stay; the field adds
-spans that overlap none of them.  Null and empty texts have no spans.
+whole segment (its shape, number of digits, checksum, neighbours) and the step from the segment before score it as one of
+the kinds, and a dynamic program over the zone chooses boundaries and kinds together.  The weights are trained here, by
+conditional likelihood (sums over all segmentations, forward and backward), on at most ``sample`` zones of the corpus,
+labelled by the patterns and by variants of what they find (no leading plus, at-signs and dots spelled out, addresses
+without digits).  Spans of the patterns always stay; the field adds spans that overlap none of them.  Null and empty
+texts have no spans.  Neighbours of a trigger farther than 300 characters, and longer ones before it, are no part of its zone.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +26,8 @@ from pyspark.sql import functions as F
 from newsloom.session import ship_package
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 9
+LONGEST = 12  # tokens of a segment: a spelled-out address of six parts has eleven
+NEVER = -1e30  # log of no chance at all
 # Fixed patterns.  Possessive digits and the look-behind only save retries: no match can begin inside a run of digits.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -100,6 +104,7 @@ def zones(text: str, around: int = 2) -> Iterator[list[tuple[int, int]]]:
         at = cursor = token.end()
         for _ in range(around):
             nxt = TOKEN.search(text, cursor, min(len(text), cursor + 300))
+            nxt = nxt and TOKEN.match(text, nxt.start())  # the whole token, where the search ends inside it
             if nxt is None or (hit := TRIGGER.search(text, nxt.start())) and hit.start() < nxt.end():  # what follows "at" is outside its token
                 break
             zone.append(nxt.span())
@@ -122,41 +127,57 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> list[s
     piece = text[start:end]
     digits = digits_of(piece)
     shape = re.sub("a+", "a", re.sub("d+", "d", "".join("d" if "0" <= c <= "9" else "a" if c.isalpha() else c for c in piece[:80])))
-    letters = sum(c.isalpha() for c in piece)
+    shape = re.sub("a( a)+", "a a", shape)  # any number of plain words
+    letters = min(sum(c.isalpha() for c in piece), 3)
     count = len(digits) if len(digits) < 20 else 20
     said = text[tokens[i - 1][0]:tokens[i - 1][1]].lower().strip(":.,") if i else ""
-    found = [f"tokens={j - i + 1}", f"digits={count}", f"shape={shape}" if len(shape) <= 24 else "shape=long", f"letters={min(letters, 3)}"]
+    found = [f"tokens={min(j - i + 1, 8)}", f"digits={count}", f"shape={shape}" if len(shape) <= 24 else "shape=long", f"letters={letters}"]
     found.append(f"luhn={13 <= len(digits) <= 19 and luhn(digits)}&{letters == 0}")
     found.append(f"address={bool(IP.fullmatch(piece)) and small_parts(piece)}")
-    found.append(f"mail={bool(re.fullmatch(r'[^@]+(@|[ ]?[\[(]at[\])][ ]?| at )[a-z0-9-]+((\.|[ ]?[\[(]dot[\])][ ]?| dot )[a-z0-9-]+)+', piece, re.I))}")
+    mail = bool(re.fullmatch(r'[^@]+(@|[ ]?[\[(]at[\])][ ]?| at )[a-z0-9-]+((\.|[ ]?[\[(]dot[\])][ ]?| dot )[a-z0-9-]+)+', piece, re.I))
     found.append(f"dial={bool(re.fullmatch(r'[+]?[0-9]{0,3}[ .-]?[(]?[0-9]{2,4}[)]?([ .-]?[0-9]{2,4}){2,3}', piece))}&{9 <= len(digits) <= 15}&{letters}")
     if said in ("tel", "phone", "call", "mobile", "fax", "mail", "email", "ip", "host", "card", "visa"):
         found.append(f"said={said}")
+    dots = ("dot", "(dot)", "[dot]")  # next to a segment they say that it is a part of something longer
+    part = said in dots or j + 1 < len(tokens) and text[tokens[j + 1][0]:tokens[j + 1][1]].lower() in dots
+    found.append(f"mail={mail}&part={part}")
     return found
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weights: dict[tuple[str, str], float],
-           known: dict[tuple[int, int], list[str]] | None = None) -> list[tuple[str, int, int]]:
-    """The best segmentation of a zone: (kind, first token, last token) of its entities.  ``known`` keeps features between calls."""
-    known = {} if known is None else known
-    best: list[tuple[float, tuple[str, int, int] | None]] = [(0.0, None)]
+class Field(NamedTuple):
+    """Weights of a segment's features, one for each kind, and of steps from state to state (0: no entity; then the kinds)."""
+
+    segment: dict[str, tuple[float, ...]]
+    step: list[list[float]]
+
+
+def decode(text: str, tokens: list[tuple[int, int]], field: Field) -> list[tuple[str, int, int]]:
+    """The best segmentation of a zone, boundaries and kinds together: (kind, first token, last token) of its entities.
+
+    A segment is one token outside all entities, or up to ``LONGEST`` tokens of one kind; the zone starts outside.
+    """
+    states, none = range(len(KINDS) + 1), (0.0,) * len(KINDS)
+    enter: list[list[tuple[float, int]]] = []  # per place and next state: best score, from which state
+    best: list[list[tuple[float, int, int]]] = [[(0.0, 0, 0), *((-math.inf, 0, 0) for _ in KINDS)]]  # score, start, state before
     for j in range(len(tokens)):
-        top: tuple[float, tuple[str, int, int] | None] = (best[j][0], None)
+        enter.append([max((best[j][s][0] + field.step[s][t], -s) for s in states) for t in states])
+        score, before = enter[j][0]
+        row = [(score, j, -before)]
+        tops = [(-math.inf, 0, 0)] * len(KINDS)
         for i in range(max(0, j - LONGEST + 1), j + 1):
-            if (found := known.get((i, j))) is None:
-                found = known[i, j] = features(text, tokens, i, j)
-            for kind in KINDS:
-                score = best[i][0] + sum(weights.get((kind, f), 0.0) for f in found)
-                if score > top[0]:
-                    top = (score, (kind, i, j))
-        best.append(top)
+            own = [field.segment.get(f, none) for f in features(text, tokens, i, j)]
+            for k in range(len(KINDS)):
+                score = enter[i][k + 1][0] + sum(w[k] for w in own)
+                if score > tops[k][0]:
+                    tops[k] = (score, i, -enter[i][k + 1][1])
+        best.append(row + tops)
     chosen, j = [], len(tokens)
+    state = max(states, key=lambda s: (best[j][s][0], -s))
     while j:
-        if best[j][1]:
-            chosen.append(best[j][1])
-            j = best[j][1][1]
-        else:
-            j -= 1
+        _, i, before = best[j][state]
+        if state:
+            chosen.append((KINDS[state - 1], i, j - 1))
+        j, state = i, before
     return chosen[::-1]
 
 
@@ -190,16 +211,111 @@ def plain_address(text: str, spans: list[Span], deal: random.Random) -> tuple[st
     """The text with one address replaced by one without digits, of few or many parts, spelled out."""
     kind, start, end = deal.choice([s for s in spans if s[0] == "email"])
     part = lambda: "".join(deal.choice("abcdefghij") for _ in range(deal.randrange(2, 9)))
-    local = deal.choice([".", "-", "_"]).join(part() for _ in range(deal.choice([1, 1, 2])))
+    local = deal.choice([".", "-", "_", " dot "]).join(part() for _ in range(deal.choice([1, 2, 2])))
     host = ["-".join(part() for _ in range(deal.choice([1, 1, 1, 2]))) for _ in range(deal.choice([2, 2, 3, 4]))]
-    piece = local + deal.choice([" at ", " at ", " (at) ", " [at] ", "[at]"]) + deal.choice([".", ".", " dot ", " [dot] ", " (dot) ", "[dot]"]).join(host)
+    piece = local + deal.choice([" at ", " at ", " (at) ", " [at] ", "[at]"]) + deal.choice([".", " dot ", " dot ", " [dot] ", " (dot) ", "[dot]"]).join(host)
     shift = len(piece) - (end - start)
     other = [(k, s + shift * (s >= end), e + shift * (s >= end)) for k, s, e in spans if (k, s, e) != (kind, start, end) and (e <= start or s >= end)]
     return text[:start] + piece + text[end:], [*other, (kind, start, start + len(piece))]
 
 
-def train(texts: list[str], rounds: int = 6, seed: int = 5) -> dict[tuple[str, str], float]:
-    """Averaged structured perceptron over zone texts."""
+def summed(x: np.ndarray, axis: int) -> np.ndarray:
+    """log of the sum of exp along an axis."""
+    top = x.max(axis, keepdims=True)
+    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+
+
+def forward_backward(scores: np.ndarray, lengths: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """log Z of each zone, the marginals of all its segments, and the expected steps from state to state.
+
+    ``scores``: zones x last token x number of tokens - 1 x kind, NEVER where there is no such segment.
+    """
+    n, width, longest, kinds = scores.shape
+    ahead = np.full((n, width + 1, kinds + 1), NEVER)
+    ahead[:, 0, 0] = 0.0
+    enter = np.full((n, width, kinds + 1), NEVER)
+    for t in range(1, width + 1):
+        enter[:, t - 1] = summed(ahead[:, t - 1, :, None] + step, 1)
+        most = min(longest, t)
+        ahead[:, t, 0] = enter[:, t - 1, 0]
+        ahead[:, t, 1:] = summed(enter[:, t - most:t, 1:][:, ::-1] + scores[:, t - 1, :most], 1)
+    rows = np.arange(n)
+    total = summed(ahead[rows, lengths], 1)
+    behind = np.full((n, width + 1, kinds + 1), NEVER)
+    behind[rows, lengths] = 0.0
+    leave = np.full((n, width, kinds + 1), NEVER)
+    for t in range(width - 1, -1, -1):
+        most = min(longest, width - t)
+        ends = np.arange(most)
+        leave[:, t, 0] = behind[:, t + 1, 0]
+        leave[:, t, 1:] = summed(scores[:, t + ends, ends] + behind[:, t + 1:t + 1 + most, 1:], 1)
+        open_zone = t < lengths
+        behind[open_zone, t] = summed(step + leave[open_zone, t, None, :], 2)
+    marginals = np.zeros_like(scores)
+    for t in range(1, width + 1):
+        most = min(longest, t)
+        marginals[:, t - 1, :most] = np.exp(np.minimum(
+            enter[:, t - most:t, 1:][:, ::-1] + scores[:, t - 1, :most] + behind[:, t, None, 1:] - total[:, None, None], 0.0))
+    steps = np.exp(np.minimum(ahead[:, :width, :, None] + step + leave[:, :, None, :] - total[:, None, None, None], 0.0)).sum((0, 1))
+    return total, marginals, steps
+
+
+class Cases:
+    """Zones with their right segmentations, as arrays: each distinct set of segment features is one row of weights' sums."""
+
+    def __init__(self, zones_and_spans: list[tuple[str, list[Span]]], together: int = 256) -> None:
+        self.names: dict[str, int] = {}
+        rows: dict[tuple[int, ...], int] = {}
+        read = []
+        for text, spans in zones_and_spans:
+            tokens = [m.span() for m in TOKEN.finditer(text)]
+            if not tokens:
+                continue
+            own = np.full((len(tokens), LONGEST), -1)
+            for j in range(len(tokens)):
+                for i in range(max(0, j - LONGEST + 1), j + 1):
+                    found = tuple(self.names.setdefault(f, len(self.names)) for f in features(text, tokens, i, j))
+                    own[j, j - i] = rows.setdefault(found, len(rows))
+            read.append((own, [(KINDS.index(kind), i, j) for kind, i, j in gold(text, tokens, spans)]))
+        read.sort(key=lambda c: len(c[0]))
+        self.members = np.array([f for row in rows for f in row], np.int64)
+        self.starts = np.cumsum([0, *(len(row) for row in rows)])[:-1]
+        self.row_of = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
+        kinds = len(KINDS)
+        self.right, self.right_steps, self.batches = np.zeros((len(rows) + 1, kinds)), np.zeros((kinds + 1, kinds + 1)), []
+        for k in range(0, len(read), together):
+            part = read[k:k + together]
+            lengths = np.array([len(own) for own, _ in part])
+            ids = np.full((len(part), lengths.max(), LONGEST), -1)
+            for z, (own, segments) in enumerate(part):
+                ids[z, :len(own)] = own
+                entity, at, state = {i: (kind, j) for kind, i, j in segments}, 0, 0
+                while at < len(own):
+                    kind, last = entity.get(at, (-1, at))
+                    if kind >= 0:
+                        self.right[own[last, last - at], kind] += 1
+                    self.right_steps[state, kind + 1] += 1
+                    at, state = last + 1, kind + 1
+            self.batches.append((ids, lengths))
+
+    def likelihood(self, weights: np.ndarray, step: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of the right segmentations, and its gradients by feature weights and by steps."""
+        sums = np.add.reduceat(weights[self.members], self.starts, axis=0)
+        sums = np.vstack([sums, np.full(len(KINDS), NEVER)])  # the last row: no segment
+        value = float((sums[:-1] * self.right[:-1]).sum() + (step * self.right_steps).sum())
+        expected, steps = np.zeros_like(sums), self.right_steps.copy()
+        for ids, lengths in self.batches:
+            total, marginals, each = forward_backward(sums[ids], lengths, step)
+            value -= float(total.sum())
+            steps -= each
+            for k in range(len(KINDS)):
+                expected[:, k] += np.bincount(np.where(ids < 0, len(sums) - 1, ids).ravel(), marginals[..., k].ravel(), len(sums))
+        apart = (self.right - expected)[self.row_of]
+        return value, np.stack([np.bincount(self.members, apart[:, k], len(self.names)) for k in range(len(KINDS))], 1), steps
+
+
+def train(texts: list[str], rounds: int = 60, rate: float = 0.25, prior: float = 0.02, seed: int = 5) -> Field:
+    """Semi-Markov CRF: zone texts labelled by the patterns, fitted by conditional likelihood with a Gaussian prior (Adam)."""
     deal, apart = random.Random(seed), random.Random(seed + 1)
     examples = []
     for text in texts:
@@ -209,29 +325,22 @@ def train(texts: list[str], rounds: int = 6, seed: int = 5) -> dict[tuple[str, s
             examples += [variant(text, spans, deal) for _ in range(2)]
         if any(kind == "email" for kind, _, _ in spans):
             examples += [plain_address(text, spans, apart) for _ in range(2)]
-    cases = []
-    for text, spans in examples:
-        tokens = [m.span() for m in TOKEN.finditer(text)]
-        cases.append((text, tokens, gold(text, tokens, spans), {}))
-    weights: dict[tuple[str, str], float] = defaultdict(float)
-    total: dict[tuple[str, str], float] = defaultdict(float)
-    step = 1
-    for _ in range(rounds):
-        deal.shuffle(cases)
-        for text, tokens, right, known in cases:
-            guess = decode(text, tokens, weights, known)
-            for sign, side in ((1.0, right), (-1.0, guess)):
-                for kind, i, j in side:
-                    if (kind, i, j) in right and (kind, i, j) in guess:
-                        continue
-                    for f in known[i, j]:
-                        weights[kind, f] += sign
-                        total[kind, f] += sign * step
-            step += 1
-    return {k: w - total[k] / step for k, w in weights.items() if w - total[k] / step}
-
-
-def spans_of(text: str | None, weights: dict[tuple[str, str], float]) -> tuple[list[Span], list[Span]]:
+    cases = Cases(examples)
+    if not cases.batches:
+        return Field({}, [[0.0] * (len(KINDS) + 1) for _ in range(len(KINDS) + 1)])
+    now = [np.zeros((len(cases.names), len(KINDS))), np.zeros((len(KINDS) + 1, len(KINDS) + 1))]
+    mean, square = [np.zeros_like(w) for w in now], [np.zeros_like(w) for w in now]
+    for k in range(1, rounds + 1):
+        _, *slopes = cases.likelihood(*now)
+        for p, slope in enumerate(slopes):
+            slope = slope - prior * now[p]
+            mean[p] = 0.9 * mean[p] + 0.1 * slope
+            square[p] = 0.99 * square[p] + 0.01 * slope ** 2
+            now[p] = now[p] + rate * (mean[p] / (1 - 0.9 ** k)) / (np.sqrt(square[p] / (1 - 0.99 ** k)) + 1e-8)
+    return Field({name: tuple(now[0][k].tolist()) for name, k in cases.names.items()}, now[1].tolist())
+
+
+def spans_of(text: str | None, weights: Field) -> tuple[list[Span], list[Span]]:
     """Spans of the patterns, and all spans: ordered by kind, then place."""
     text = text or ""
     key = lambda s: (KINDS.index(s[0]), s[1])
