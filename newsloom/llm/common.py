@@ -27,6 +27,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.size(words(text)), F.lit(0)).cast("long")
 
 
+def unused(name: str, docs: DataFrame) -> str:
+    """``name``, made longer until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` worked out once."""
     return F.element_at(F.transform(F.array(value), use), 1)

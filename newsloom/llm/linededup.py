@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import BLANKS, let
+from newsloom.llm.common import BLANKS, let, unused
 from newsloom.session import stage
 
 BUCKETS = 1 << 16
@@ -157,11 +157,12 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     count = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
     may = maybe_seen(table, F.xxhash64(document(id_col, text)))
     untouched = plain.filter(~may).withColumn("_lines", F.struct(count.alias("before"), F.lit(0).cast("long").alias("removed")))
-    touched = plain.filter(may).withColumn("_doc", document(id_col, text))
-    joined = touched.join(gone, touched["_doc"] == gone["doc"], "left")
+    own, new = unused("_doc", plain), unused("_left", plain)
+    touched = plain.filter(may).withColumn(own, document(id_col, text))
+    joined = touched.join(gone, touched[own] == gone["doc"], "left")
     body = F.split(joined[text], "\n")
     left = F.array_join(F.filter(body, lambda x, k: ~F.array_contains(gone["gone"], k)), "\n")
     made = joined.withColumn("_lines", F.struct(count.alias("before"), F.coalesce(F.size(gone["gone"]), F.lit(0)).cast("long").alias("removed")))
-    made = made.withColumn("_left", F.when(gone["gone"].isNull(), F.col(text)).otherwise(left))
-    kept = [F.col("_left").alias(c) if c == text else touched[c] for c in plain.columns]
+    made = made.withColumn(new, F.when(gone["gone"].isNull(), touched[text]).otherwise(left))
+    kept = [F.col(new).alias(c) if c == text else touched[c] for c in plain.columns]
     return untouched.union(made.select(*kept, "_lines"))

@@ -67,11 +67,11 @@ def packed(docs: DataFrame, room: int = 1024, id_col: str = "doc_id", source: st
            group_rows: int = 4096) -> DataFrame:
     """One row per piece: id, source, size, piece, first_word, n_words, bin, offset.
 
-    ``cluster``: the document's group of duplicates; by default the hash of its words in lower case.
+    ``cluster``: the document's group of duplicates; by default the hash of its text in lower case, null for null texts.
     """
     ship_package(docs.sparkSession)
-    own = F.xxhash64(F.lower(text)) if cluster is None else cluster
-    light = stage(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), own.alias("cluster"), word_count(F.col(text)).alias("size")),
+    own = F.when(F.col(text).isNotNull(), F.xxhash64(F.lower(text))) if cluster is None else cluster
+    light = stage(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), own.cast("string").alias("cluster"), word_count(F.col(text)).alias("size")),
                   "pack-light").withColumn("seq", F.monotonically_increasing_id())
     groups = max(1, -(-light.count() // group_rows))
     dealt = light.withColumn("group", F.pmod(F.xxhash64("id", "cluster", "seq"), F.lit(groups)))

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.common import unused
 from newsloom.session import stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,9 +104,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", html: str = "htm
     distrust = propagate(back, seeds.select("host", F.col("blocked").alias("seed")), damping, rounds)
     known = stage(shares.select("host").join(fitting, "host", "left").join(trust.withColumnRenamed("rank", "trust"), "host", "left")
                   .join(distrust.withColumnRenamed("rank", "distrust"), "host", "left"), "hosts")
-    joined = pages.withColumn("_host", host(F.col(url))).join(known.withColumnRenamed("host", "_known"), F.col("_host") == F.col("_known"), "left")
-    best = longest(known["rules"], path(F.col(url)))
+    own, met = unused("_host", pages), unused("_known", pages)
+    joined = pages.withColumn(own, host(F.col(url))).join(known.withColumnRenamed("host", met), F.col(own) == F.col(met), "left")
+    best = longest(known["rules"], path(pages[url]))
     by_host = F.when(F.coalesce(known["distrust"] - known["trust"], F.lit(0.0)) > threshold, "block").otherwise("allow")
-    made = F.struct(F.col("_host").alias("host"), path(F.col(url)).alias("path"), best["rule"].alias("rule"), F.coalesce(best["verdict"], by_host).alias("verdict"),
+    made = F.struct(F.col(own).alias("host"), path(pages[url]).alias("path"), best["rule"].alias("rule"), F.coalesce(best["verdict"], by_host).alias("verdict"),
                     F.coalesce(known["trust"], F.lit(0.0)).alias("trust"), F.coalesce(known["distrust"], F.lit(0.0)).alias("distrust"))
     return joined.select(*(pages[c] for c in pages.columns if c != "_url"), made.alias("_url"))

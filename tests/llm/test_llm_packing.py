@@ -54,3 +54,9 @@ def test_laws(spark):
         assert len({r["source"] for r in members}) == len(members)
     assert sum(r["id"] == 3000 for r in found) == 40
     assert packing.packed(docs.limit(0)).count() == 0
+
+
+def test_null_texts_are_no_cluster(spark):
+    found = packing.packed(spark.createDataFrame([(1, None, "a", "b", "s"), (2, None, "b", "b", "s"), (3, "same", "c", "b", "s"), (4, "same", "d", "b", "s")], ROWS)).collect()
+    bins = {r["id"]: r["bin"] for r in found}
+    assert bins[1] == bins[2] and bins[3] != bins[4]
