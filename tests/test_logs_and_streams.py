@@ -234,3 +234,27 @@ def test_cache_stream_goes_by_event_time(spark):
     shuffled = random.Random(1).sample(rows + many, len(rows + many))
     assert _answers(spark, [shuffled[:500], shuffled[500:], tick], "100 days") == want
     assert _answers(spark, [rows + many, tick], "100 days") == want
+
+
+def test_cache_stream_holds_values_by_slots(spark):
+    """Many keys in few calls: copies, several batches of passed rows, null keys, requests without a time, expiry."""
+    day = dt.datetime(2024, 1, 1)
+    at = lambda n: day + dt.timedelta(days=n)
+    keys = [None, "", *(f"k{n}" for n in range(300))]
+    stores = [(k, f"v{i}", at(0)) for i, k in enumerate(keys)]
+    asks = [(k, None, at(10)) for k in keys] * 2
+    later = [("k1", "new", at(35)), ("k1", None, at(40)), ("k2", None, at(40)), ("k3", None, None), ("k4", "lost", None)]
+    files = [stores, asks, [("tick", None, at(20))], later, [("tick", None, at(90))]]
+    source, out = fresh_dir(spark, "in"), fresh_dir(spark, "out")
+    for rows in files:
+        spark.createDataFrame(rows, "key string, value string, at timestamp").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("key string, value string, at timestamp").option("maxFilesPerTrigger", 1).parquet(source)
+    query = sc.answer_available(stream, out, fresh_dir(spark, "progress"), "10 days")
+    query.awaitTermination()
+    found = [(r.key, r.asked_at, r.value) for r in spark.read.parquet(out).collect()]
+    want = [(k, at(10), f"v{i}") for i, k in enumerate(keys)] * 2
+    want += [("tick", at(20), None), ("k1", at(40), "new"), ("k2", at(40), None), ("k3", None, None)]
+    named = lambda rows: sorted(map(repr, rows))
+    assert named(found) == named(want)
+    held = [op for progress in query.recentProgress for op in progress.stateOperators if op.operatorName.startswith("transformWithState")]
+    assert held[-1].numRowsTotal < len(keys)  # slots, not keys; what expired is gone
