@@ -87,3 +87,22 @@ def test_no_labels_and_no_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["_quality"]["kept"] for r in quality.judge(docs, labels).orderBy("doc_id").collect()] == [False, True]
     assert quality.judge(docs.limit(0), labels).count() == 0
+
+
+def test_every_labelled_row_counts(spark):
+    """Of 400 labelled rows 40 are drawn for the cuts; the counts and the threshold are those of all."""
+    deal = random.Random(12)
+    rows = [(i, prose(deal)) for i in range(360)]
+    rows += [(i, re.sub(" ", " # ", prose(deal), count=8 + i % 30)) for i in range(360, 380)]      # odd, but good
+    rows += [(i, re.sub(" ", "### ", prose(deal)) + "$$$") for i in range(380, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 380)) for i in range(400)], "doc_id long, quality int")
+    judged = quality.judge(docs, labels, "doc_id", "text", 40, rows=16).select("doc_id", "_quality.*").toPandas().set_index("doc_id")
+    assert judged["kept"][judged.index < 380].all() and not judged["kept"][judged.index >= 380].any()
+    stats = pd.DataFrame([quality.statistics(t) for _, t in rows], columns=[*quality.COUNTS, *quality.SHAPE])
+    x, good = quality.features(stats), np.arange(400) < 380
+    table = spark.createDataFrame(pd.DataFrame(x, columns=[*quality.FEATURES]).assign(id=np.arange(400), good=good)).repartition(5)
+    few = quality.learned(table, 40, rows=16)
+    assert few.rows == 400 and (few.size.sum(1) == 400).all() and few.threshold >= few.scores(x)[good].max()
+    every, want = quality.learned(table, 1000), quality.calibrated(x[np.lexsort(x.T[::-1])], good[np.lexsort(x.T[::-1])])
+    assert (every.size == want.size).all() and np.isclose(every.threshold, want.threshold)
