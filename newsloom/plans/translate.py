@@ -147,6 +147,11 @@ def call_service(pending: DataFrame, fn: TranslateFn) -> DataFrame:
 
 # --- units -----------------------------------------------------------------
 
+def _no_markup() -> Column:
+    """Only pieces that go with their tags need their markup again."""
+    return F.lit(None).cast("string")
+
+
 def _unit(kind: str, markup: Column, text: Column) -> Column:
     return F.struct(F.lit(kind).alias("unit_kind"), markup.alias("markup"), text.alias("unit_text"))
 
@@ -155,8 +160,8 @@ def text_units(text: Column) -> Column:
     """A text in the pieces that are sent: itself, or its chunks."""
     return F.when(
         byte_len(text) > fixed.LARGE_TEXT_BYTES,
-        F.transform(text_chunks(text), lambda c: _unit("text", c, c)),
-    ).otherwise(F.array(_unit("text", text, text)))
+        F.transform(text_chunks(text), lambda c: _unit("text", _no_markup(), c)),
+    ).otherwise(F.array(_unit("text", _no_markup(), text)))
 
 
 def html_units(markup: Column) -> Column:
@@ -168,18 +173,18 @@ def html_units(markup: Column) -> Column:
     def by_tags(part: Column) -> Column:
         return _unit("tags", part, tags_to_tokens(part))
 
-    def plain_units(part: Column, plain: Column) -> Column:
+    def plain_units(plain: Column) -> Column:
         long = (byte_len(plain) > fixed.LARGE_TEXT_BYTES) & (trimmed(plain) != "")
         chunks = F.when(long, text_chunks(plain)).otherwise(F.array(plain))
         kind = lambda i, n: (
             F.when(n == 1, "plain").when(i == 0, "plain_first").when(i == n - 1, "plain_last").otherwise("plain_middle")
         )
         return let(chunks, lambda cs: F.transform(
-            cs, lambda c, i: F.struct(kind(i, F.size(cs)).alias("unit_kind"), part.alias("markup"), c.alias("unit_text"))
+            cs, lambda c, i: F.struct(kind(i, F.size(cs)).alias("unit_kind"), _no_markup().alias("markup"), c.alias("unit_text"))
         ))
 
     def piece(part: Column) -> Column:
-        return F.when(byte_len(part) > fixed.LARGE_PIECE_BYTES, plain_units(part, strip_tags(part))).otherwise(F.array(by_tags(part)))
+        return F.when(byte_len(part) > fixed.LARGE_PIECE_BYTES, plain_units(strip_tags(part))).otherwise(F.array(by_tags(part)))
 
     def section(part: Column) -> Column:
         return F.when(
@@ -225,21 +230,26 @@ def translate_rows(rows: DataFrame, cache: Cache, now, fn: TranslateFn = offline
     Blank texts and texts in the target language already come back as they are.
     """
     keyed = rows.withColumn("key", cache_key(F.col("text"), F.col("source_lang"), F.col("target_lang"), F.col("kind")))
-    wanted = keyed.where(~is_blank("text") & (F.col("source_lang") != F.col("target_lang")))
+    sought = ~is_blank("text") & (F.col("source_lang") != F.col("target_lang"))
+    wanted = keyed.where(sought)
     carried = ("kind", "text", "source_lang", "target_lang")
     # the cache is asked for the run's own keys only, and what is known and what is missing is written once
     asked = stage(wanted.select("key").distinct(), "asked-keys")
     cached = stage(entries_among(cache, asked, now), "cached-texts")
-    missing = stage(protect(unknown_texts(wanted, cached, *carried), "text"), "missing-texts")
     is_html = F.col("kind") == "html"
-    units = missing.withColumn(
+    missing = protect(unknown_texts(wanted, cached, *carried), "text")
+    # each text is written once: plain texts have no protected form, answers and results no copy of their text
+    missing = stage(missing.withColumns({c: F.when(is_html, F.col(c)) for c in ("protected", "tokens")}), "missing-texts")
+    # a text that is sent as it is lies in ``missing`` already; only the pieces of the others are written
+    as_it_is = (F.col("kind") == "text") & ~(byte_len("text") > fixed.LARGE_TEXT_BYTES)
+    pieces = missing.where(~as_it_is).withColumn(
         "_units", F.when(is_html, html_units(F.col("protected"))).otherwise(text_units(F.col("text")))
     ).select("key", "source_lang", "target_lang", F.posexplode("_units").alias("place", "_unit"))
-    units = units.select("key", "source_lang", "target_lang", "place", "_unit.*")
+    pieces = stage(pieces.select("key", "source_lang", "target_lang", "place", "_unit.*"), "units")
+    wholes = missing.where(as_it_is).select("key", "source_lang", "target_lang", F.lit(0).alias("place"), _unit("text", _no_markup(), F.col("text")).alias("_unit"))
+    units = pieces.unionByName(wholes.select("key", "source_lang", "target_lang", "place", "_unit.*"))
     unit_kind = F.when(F.col("unit_kind") == "tags", "tags").otherwise("text")
-    units = stage(
-        units.withColumn("unit_key", cache_key(F.col("unit_text"), F.col("source_lang"), F.col("target_lang"), unit_kind)), "units"
-    )
+    units = units.withColumn("unit_key", cache_key(F.col("unit_text"), F.col("source_lang"), F.col("target_lang"), unit_kind))
     cached_units = stage(entries_among(cache, units, now, "unit_key"), "cached-units")
 
     to_send = unknown_texts(
@@ -248,7 +258,7 @@ def translate_rows(rows: DataFrame, cache: Cache, now, fn: TranslateFn = offline
         ),
         cached_units, "text", "source_lang", "target_lang",
     )
-    answers = stage(call_service(to_send, fn), "translations")
+    answers = stage(call_service(to_send, fn).select("key", "value", "error"), "translations")
     known = answers.select(F.col("key").alias("_key"), "value").unionByName(
         cached_units.select(F.col("key").alias("_key"), "value")
     )
@@ -261,23 +271,31 @@ def translate_rows(rows: DataFrame, cache: Cache, now, fn: TranslateFn = offline
         F.col("key").alias("_key"),
         F.when(F.col("_kind") == "text", F.array_join(pieces, "\n\n")).otherwise(F.array_join(pieces, "")).alias("_out"),
     )
-    assembled = missing.join(whole, missing["key"] == whole["_key"], "left")
+    # a text that was sent as it is has come back whole
+    bare = missing.withColumn("text", F.when(~as_it_is, F.col("text")))
+    assembled = bare.join(whole, bare["key"] == whole["_key"], "left")
     unchanged = F.col("_out").isNull() | (F.col("_out") == F.col("protected"))
     assembled = assembled.select(
-        "key", "text",
+        "key",
         F.when(is_html & unchanged, F.col("text")).when(is_html, restore_protected(F.col("_out"), F.col("tokens")))
         .otherwise(F.coalesce("_out", "text")).alias("value"),
     )
     assembled = stage(assembled, "assembled")
     all_known = assembled.select(F.col("key").alias("_key"), "value").unionByName(cached.select(F.col("key").alias("_key"), "value"))
-    values = keyed.join(all_known, (keyed["key"] == all_known["_key"]) & (F.col("source_lang") != F.col("target_lang")), "left")
-    values = values.select(*rows.columns, F.coalesce("value", "text").alias("value"))
+    # a wanted text has its value there and need not go along to meet it, unless the cache holds nulls
+    has_value = F.lit(False) if cached.where(F.col("value").isNull()).take(1) else F.coalesce(sought & F.col("key").isNotNull(), F.lit(False))
+    light = keyed.withColumn("_own", F.when(~has_value, F.col("text")))
+    values = light.join(all_known, (light["key"] == all_known["_key"]) & (F.col("source_lang") != F.col("target_lang")), "left")
+    values = values.select(*rows.columns, F.coalesce("value", "_own").alias("value"))
+    sent = units.select(F.col("unit_key").alias("_key"), F.col("unit_text").alias("text"))
+    texts = missing.select(F.col("key").alias("_key"), "text").unionByName(sent)
+    found = assembled.unionByName(answers.select("key", "value")).where(~is_blank("value"))
     entries = (
-        assembled.unionByName(answers.select("key", "text", "value"))
-        .where(~is_blank("value") & (F.col("value") != F.col("text")))
+        found.join(texts, F.col("key").eqNullSafe(F.col("_key"))).where(F.col("value") != F.col("text"))
         .groupBy("key").agg(F.any_value("text").alias("text"), F.any_value("value").alias("value"))
     )
-    errors = answers.where(F.col("error").isNotNull()).select("key", "text", "error")
+    failed = answers.where(F.col("error").isNotNull()).select("key", "error")
+    errors = failed.join(sent.dropDuplicates(["_key"]), F.col("key").eqNullSafe(F.col("_key"))).select("key", "text", "error")
     return Translation(values, entries, errors)
 
 

@@ -290,3 +290,28 @@ def test_disabled_rewriter(spark):
 def test_parse_response(spark, raw, title, bad):
     out = one(spark, raw, lambda t: rw.parse_response(t))
     assert (out.answer.title if out.answer else None) == title and (out.error is not None) == bad
+
+
+def test_translation_writes_each_text_few_times(spark, tmp_path, monkeypatch):
+    """What is written for long texts stays below four times their size, whatever is asked of the result."""
+    import pathlib
+    import random
+
+    deal = random.Random(5)
+    texts = ["".join(deal.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(3000)) for _ in range(200)]
+    written = []
+    plain = tr.stage
+    monkeypatch.setattr(tr, "stage", lambda df, name: written.append((name, plain(df, name))) or written[-1][1])
+    out = tr.translate_rows(rows_of(spark, texts), empty_cache(spark), NOW, upper)
+    assert sorted(r.value for r in out.values.collect()) == sorted(upper(texts, "", ""))
+    files = [pathlib.Path(f.removeprefix("file://")) for _, df in written for f in df.inputFiles()]
+    assert sum(f.stat().st_size for f in files) < 4 * sum(map(len, texts))
+    assert sorted((r.text, r.value) for r in out.entries.collect()) == sorted(zip(texts, upper(texts, "", "")))
+
+
+def test_translation_where_the_cache_holds_a_null(spark):
+    rows = rows_of(spark, ["known", "fresh"])
+    keyed = rows.select(tr.cache_key(F.col("text"), F.col("source_lang"), F.col("target_lang"), F.col("kind")).alias("key"), "text")
+    cache = keyed.where("text = 'known'").select("key", F.lit(None).cast("string").alias("value"), F.lit(NOW).cast("timestamp_ntz").alias("cached_at"))
+    out = tr.translate_rows(rows, cache, NOW, upper)
+    assert sorted(r.value for r in out.values.collect()) == ["FRESH", "known"]
