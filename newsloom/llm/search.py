@@ -14,13 +14,13 @@ documents that share no term with a query are not found by it.  Queries are take
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 PIECE_DOCS, PIECE_WORDS = 8192, 3_000_000
 GROUP = 256  # queries scored together on the frequent terms
+BATCH_BYTES = 4 << 20
 
 
 def terms(text: str | None) -> list[bytes]:
@@ -46,37 +47,65 @@ class Queries:
         self.terms = [np.array(sorted(self.vocabulary[w] for w in c), np.int64) for c in counts]
         self.times = [np.array([c for _, c in sorted((self.vocabulary[w], n) for w, n in c.items())], float) for c in counts]
 
-    def numbers(self, text: str | None) -> tuple[np.ndarray, int]:
-        """The vocabulary numbers of a text's words, and its length in words."""
-        found = terms(text)
-        at = np.fromiter(map(self.vocabulary.get, found, itertools.repeat(-1)), np.int64, len(found))
-        return at[at >= 0], len(found)
+    def numbers(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[np.ndarray], list[int], pa.Array | None]]:
+        """Per batch: each text's words as vocabulary numbers, the texts' lengths in words, and their ids if there are any."""
+        words = pa.array(list(self.vocabulary), pa.binary())
+        for batch in whole(batches):
+            lists = pc.ascii_split_whitespace(pc.ascii_lower(batch["text"].cast(pa.string()).fill_null("")))
+            found = lists.flatten()
+            number = pc.index_in(found.cast(pa.binary()), value_set=words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            # a text's blanks at its ends leave empty words
+            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            lengths = np.bincount(doc[pc.binary_length(found).to_numpy(zero_copy_only=False) > 0], minlength=len(lists))
+            ends = np.cumsum(np.bincount(doc[number >= 0], minlength=len(lists)))
+            yield np.split(number[number >= 0], ends[:-1]), lengths.tolist(), batch["id"] if "id" in batch.schema.names else None
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``BATCH_BYTES`` or a little more, as looking words up has a cost per batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield pa.concat_batches(held)
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.concat_batches(held)
 
 
-def frequencies(batches: Iterator[pd.DataFrame], queries: Queries) -> Iterator[pd.DataFrame]:
+def frequencies(batches: Iterator[pa.RecordBatch], queries: Queries) -> Iterator[pa.RecordBatch]:
     """(term, n): document frequencies; -1 the number of documents, -2 of words."""
-    df, docs, length = np.zeros(len(queries.vocabulary), np.int64), 0, 0
-    for batch in batches:
-        for text in batch["text"]:
-            at, n = queries.numbers(text)
-            df[np.unique(at)] += 1
-            docs, length = docs + 1, length + n
+    n_terms, docs, length = len(queries.vocabulary), 0, 0
+    df = np.zeros(n_terms, np.int64)
+    for numbers, lengths, _ in queries.numbers(batches):
+        doc = np.repeat(np.arange(len(numbers)), [len(a) for a in numbers])
+        if len(doc):
+            df += np.bincount(np.unique(doc * n_terms + np.concatenate(numbers)) % n_terms, minlength=n_terms)
+        docs, length = docs + len(numbers), length + sum(lengths)
     held = np.flatnonzero(df)
-    yield pd.DataFrame({"term": np.r_[held, -1, -2], "n": np.r_[df[held], docs, length]})
+    yield pa.record_batch({"term": np.r_[held, -1, -2], "n": np.r_[df[held], docs, length]})
 
 
 class Piece:
     """Inverted index of some documents: postings by term, and the largest impact of each term in each block."""
 
     def __init__(self, ids: list[int | None], numbers: list[np.ndarray], lengths: list[int], mean: float, n_terms: int) -> None:
-        common = [int(np.bincount(a).argmax()) if len(a) else -1 for a in numbers]
-        order = sorted(range(len(ids)), key=lambda k: (common[k], lengths[k]))
-        self.ids = np.array([np.nan if ids[k] is None else ids[k] for k in order], object)
         self.size = len(ids)
-        doc = np.repeat(np.arange(self.size), [len(numbers[k]) for k in order])
-        flat = np.concatenate([numbers[k] for k in order]) if self.size else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(self.size), [len(a) for a in numbers])
+        flat = np.concatenate(numbers) if self.size else np.zeros(0, np.int64)
         key, tf = np.unique(flat * self.size + doc, return_counts=True)
-        self.doc, term = key % max(self.size, 1), key // max(self.size, 1)
+        doc, term = key % max(self.size, 1), key // max(self.size, 1)
+        most, common = np.zeros(self.size, np.int64), np.full(self.size, -1)
+        np.maximum.at(most, doc, tf)
+        at = np.flatnonzero(tf == most[doc])[::-1]  # of equally common words the first is written last
+        common[doc[at]] = term[at]
+        order = np.lexsort((np.array(lengths, np.int64), common))
+        self.ids = np.array([np.nan if ids[k] is None else ids[k] for k in order], object)
+        place = np.empty(self.size, np.int64)
+        place[order] = np.arange(self.size)
+        key = term * self.size + place[doc]
+        by_place = np.argsort(key)
+        self.doc, term, tf = place[doc][by_place], term[by_place], tf[by_place]
         norm = K1 * (1 - B + B * np.array([lengths[k] for k in order], float) / max(mean, 1e-9))
         self.impact = tf * (K1 + 1) / (tf + norm[self.doc])
         self.start = np.searchsorted(term, np.arange(n_terms + 1))
@@ -84,13 +113,14 @@ class Piece:
         head = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (self.doc[1:] // BLOCK != self.doc[:-1] // BLOCK)]) if len(key) else np.zeros(0, np.int64)
         self.top = np.maximum.reduceat(self.impact, head) if len(key) else np.zeros(0)
         self.top_block, self.top_start = (self.doc // BLOCK)[head], np.searchsorted(term[head], np.arange(n_terms + 1))
+        self.run = np.r_[head, len(key)]  # where the postings of a term in a block start
 
     @staticmethod
     def gather(start: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of all entries of the chosen terms, and which term each is of."""
         first, count = start[chosen], start[chosen + 1] - start[chosen]
         which = np.repeat(np.arange(len(chosen)), count)
-        return np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count), which
+        return np.arange(len(which)) + (first - np.cumsum(count) + count)[which], which
 
     def dense(self) -> tuple[np.ndarray, np.ndarray]:
         """The terms that an eighth of the documents or more have, and their impacts on all documents."""
@@ -108,7 +138,8 @@ class Piece:
         score and the largest impacts of the other terms; a document's base is a bound from below.
         """
         at, which = self.gather(self.top_start, chosen)
-        bound = np.maximum.reduceat(base, np.arange(0, self.size, BLOCK)) + np.bincount(self.top_block[at], weights[which] * self.top[at], self.blocks)
+        block, weight = self.top_block[at], weights[which]
+        bound = np.maximum.reduceat(base, np.arange(0, self.size, BLOCK)) + np.bincount(block, weight * self.top[at], self.blocks)
         bound *= 1 + 1e-9
         if self.size >= k:
             floor = max(floor, float(np.partition(base, -k)[-k]))
@@ -119,11 +150,9 @@ class Piece:
             live = np.zeros(self.blocks, bool)
             live[todo] = alive[todo]
             if live.any() and len(chosen):
-                at, which = self.gather(self.start, chosen)
-                doc = self.doc[at]
-                inside = live[doc // BLOCK]
-                doc = doc[inside]
-                scores += np.bincount(doc, weights[which[inside]] * self.impact[at[inside]], self.size)
+                inside = np.flatnonzero(live[block])
+                posting, run = self.gather(self.run, at[inside])  # of these blocks only
+                scores += np.bincount(self.doc[posting], weight[inside][run] * self.impact[posting], self.size)
             done |= live
             if self.size >= k:
                 floor = max(floor, float(np.partition(scores, -k)[-k]))
@@ -140,7 +169,7 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.array(sorted(keep, key=lambda j: (-scores[j], ids[j] != ids[j], ids[j] if ids[j] == ids[j] else 0))[:k], np.int64)
 
 
-def shard(batches: Iterator[pd.DataFrame], queries: Queries, idf: np.ndarray, mean: float, k: int) -> Iterator[pd.DataFrame]:
+def shard(batches: Iterator[pa.RecordBatch], queries: Queries, idf: np.ndarray, mean: float, k: int) -> Iterator[pa.RecordBatch]:
     """The k best of this task's documents for every query: (query, content, id, score)."""
     weights = [idf[t] * n for t, n in zip(queries.terms, queries.times, strict=True)]
     held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, object), np.zeros(0))] * len(queries.ids)
@@ -171,19 +200,20 @@ def shard(batches: Iterator[pd.DataFrame], queries: Queries, idf: np.ndarray, me
         ids.clear(), numbers.clear(), lengths.clear()
 
     words = 0
-    for batch in batches:
-        for id_, text in zip(batch["id"], batch["text"], strict=True):
-            at, n = queries.numbers(text)
-            ids.append(None if pd.isna(id_) else int(id_)), numbers.append(at), lengths.append(n)
+    for some, lengths_in, ids_in in queries.numbers(batches):
+        for id_, at, n in zip(ids_in.to_pylist(), some, lengths_in, strict=True):
+            ids.append(id_), numbers.append(at), lengths.append(n)
             words += len(at)
             if len(ids) >= PIECE_DOCS or words >= PIECE_WORDS:
                 index()
                 words = 0
     if ids:
         index()
-    for q, (some, scores) in enumerate(held):
-        if len(some):
-            yield pd.DataFrame({"query": queries.ids[q][0], "content": queries.ids[q][1], "id": pd.array([None if x != x else x for x in some], "Int64"), "score": scores})
+    found = [len(scores) for _, scores in held]
+    if sum(found):
+        query, content = np.repeat(np.array(queries.ids, np.int64), found, axis=0).T
+        best = [None if x != x else int(x) for some, _ in held for x in some]
+        yield pa.record_batch({"query": query, "content": content, "id": pa.array(best, pa.int64()), "score": np.concatenate([scores for _, scores in held])})
 
 
 def top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
@@ -201,12 +231,12 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int = 10, id_col: str = "doc_i
     for part in range(parts):  # a block of queries holds about block_bytes of text
         rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(parts)) == part).orderBy("id", "content").toPandas()
         given = spark.sparkContext.broadcast(Queries(list(zip(rows["id"].tolist(), rows["content"].tolist(), strict=True)), rows["text"].tolist()))
-        counts = {r["term"]: r["n"] for r in every.select("text").mapInPandas(lambda b, g=given: frequencies(b, g.value), "term long, n long")
+        counts = {r["term"]: r["n"] for r in every.select("text").mapInArrow(lambda b, g=given: frequencies(b, g.value), "term long, n long")
                   .groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most the block's vocabulary
         n, length = counts.get(-1, 0), counts.get(-2, 0)
         df = np.array([counts.get(t, 0) for t in range(len(given.value.vocabulary))], float)
         idf, mean = np.log1p((n - df + 0.5) / (df + 0.5)), length / max(n, 1)
-        best = every.mapInPandas(lambda b, g=given, i=idf, m=mean: shard(b, g.value, i, m, k), "query long, content long, id long, score double")
+        best = every.mapInArrow(lambda b, g=given, i=idf, m=mean: shard(b, g.value, i, m, k), "query long, content long, id long, score double")
         best = stage(best, "shard-best")
         found = best if found is None else found.union(best)
     order = Window.partitionBy("query", "content").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())

@@ -53,6 +53,28 @@ def test_blocks_are_skipped():
     assert len(found) == 64 and scores.min() > 5  # the other nine blocks are below the tenth best
 
 
+def test_postings_of_skipped_blocks_are_not_read(monkeypatch):
+    import numpy as np
+
+    numbers = [np.array([0] * 5 + [1]) if d < 64 else np.array([2]) for d in range(640)]
+    piece = search.Piece(list(range(640)), numbers, [len(x) for x in numbers], 2.0, 3)
+    gather, read = search.Piece.gather, []
+    monkeypatch.setattr(search.Piece, "gather", staticmethod(lambda *a: read.append(len(gather(*a)[0])) or gather(*a)))
+    piece.search(np.zeros(640), np.array([0, 2]), np.array([5.0, 0.1]), 10, 0.0)
+    assert sum(read) <= 10 + 2 * 64  # of 640 postings: one bound per block, then the two blocks looked at
+
+
+def test_words_are_looked_up_as_terms_are_cut():
+    import pyarrow as pa
+
+    texts = [None, "", " \t", " The\x0bthe\x1cend\u00a0x \u00c4b\u0085c\r\n", "\u00c4B the", "un known the\fTHE "]
+    queries = search.Queries([(1, 1)], ["the the\x1cend\u00a0x \u00c4b\u0085c \u00c4b"])
+    found = list(queries.numbers(iter([pa.record_batch({"text": texts[:3]}), pa.record_batch({"text": pa.array(texts[3:])})])))
+    words = list(queries.vocabulary)
+    got = [([words[k] for k in a], n) for numbers, lengths, _ in found for a, n in zip(numbers, lengths)]
+    assert got == [([w for w in search.terms(t) if w in words], len(search.terms(t))) for t in texts]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], ROWS)
     assert search.top_k(none, none).count() == 0
