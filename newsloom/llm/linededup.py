@@ -6,20 +6,24 @@ kept or not; earlier is by document id, then line number (documents without an i
 one id go by the hash of their text).  Lines without a word are never removed.  Rows equal in id and text are
 one document and lose the same lines.  Null texts stay null.
 
-The join: tokens are ordered by rarity (counted over all lines in hash buckets; any order is right, a rare-first
-one is fast), and a set of n tokens is looked up by its first n - ceil(4n/5) + 1 only, for sets that match share
-one of those.  Lengths and positions rule out most others, and what is left is verified on the whole sets.  Equal
-sets are folded together first.  Within a group that shares a token each line is compared with the earliest;
+The join: a set of n tokens is looked up by the first n - ceil(4n/5) + 1 in any one order of tokens, for sets that
+match share one of those.  Equal sets are folded together first.  It goes by two orders.  By that of the hashes, which
+costs no count, all sets are looked up; those that share no token there match nothing and are done with.  For the
+others tokens are ordered by rarity (counted over their lines in hash buckets; any order is right, a rare-first one is
+fast).  Lengths and positions rule out most others, and what is left is verified on the whole sets.
+Within a group that shares a token each line is compared with the earliest;
 only lines that this does not settle are compared with the others, so a group of copies never yields all pairs.
 Tokens are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import BLANKS, let, unused
+from newsloom.llm.common import let, unused
 from newsloom.session import stage
 
 BUCKETS = 1 << 16
@@ -27,12 +31,15 @@ FILTER_WORDS = 1 << 17  # of 64 bits: a fixed megabyte
 
 
 def tokens(line: Column, width: int) -> Column:
-    """Hashes of the shingles of a line without blanks at its ends, in order, repeats included."""
+    """Hashes of the shingles of a line whose only blanks are spaces, none at its ends; in order, repeats included."""
     def shingles(hashed: Column) -> Column:
-        each = F.transform(F.slice(hashed, F.lit(1), F.size(hashed) - (width - 1)), lambda _, i: F.xxhash64(F.slice(hashed, i + 1, F.lit(width))))
+        starts = F.slice(hashed, F.lit(1), F.size(hashed) - (width - 1))
+        each = F.transform(starts, lambda w, i: F.xxhash64(w, *(F.get(hashed, i + k) for k in range(1, width))))
         return F.when(F.size(hashed) < width, F.array(F.xxhash64(hashed))).otherwise(each)
 
-    return let(F.transform(F.split(line, BLANKS), lambda w: F.xxhash64(w)), shingles)
+    found = F.split(line, " ")
+    found = F.when(F.contains(line, F.lit("  ")), F.array_remove(found, "")).otherwise(found)
+    return let(F.transform(found, lambda w: F.xxhash64(w)), shingles)
 
 
 def document(id_col: str, text: str) -> Column:
@@ -41,18 +48,22 @@ def document(id_col: str, text: str) -> Column:
 
 
 def text_lines(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """(doc, line, body) of the lines with a word, without the blanks at their ends."""
-    lines = docs.select(document(id_col, text).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line", "body"))
-    return lines.select("doc", "line", F.btrim("body", F.lit(" \t\n\x0b\f\r")).alias("body")).filter("body <> ''")
+    """(doc, line, body) of the lines with a word, all blanks as spaces, without those at their ends."""
+    other = "\t\x0b\f\r"
+    has_other = functools.reduce(lambda a, b: a | b, (F.contains(F.col(text), F.lit(c)) for c in other))
+    spaced = F.when(has_other, F.translate(text, other, " " * len(other))).otherwise(F.col(text))
+    lines = docs.select(document(id_col, text).alias("doc"), F.posexplode_outer(F.split(spaced, "\n")).alias("line", "body"))
+    # outer: else Spark first filters by the size of the array and so splits each text twice
+    return lines.select("doc", "line", F.trim("body").alias("body")).filter("body <> ''")
 
 
-def rarity(lines: DataFrame, width: int) -> Column:
-    """For each hash bucket of tokens one of 16 classes, by its count against the mean.
+def rarity(sets: DataFrame) -> Column:
+    """For each hash bucket of the sets' ``tokens`` one of 16 classes, by its count against the mean.
 
     An array of fixed size, so it can be part of the plan.
     """
     bucket = F.col("t").bitwiseAND(F.lit(BUCKETS - 1))
-    counts = stage(lines.select(F.explode(tokens(F.col("body"), width)).alias("t")).groupBy(bucket.alias("bucket")).count(), "token-counts")
+    counts = stage(sets.select(F.explode_outer("tokens").alias("t")).groupBy(bucket.alias("bucket")).count(), "token-counts")
     mean = counts.agg(F.sum("count") / BUCKETS).scalar()
     classed = counts.select("bucket", F.least(F.lit(15), F.floor(2 * F.log2(1 + F.col("count") / mean))).cast("long").alias("class"))
     held = {r["bucket"]: r["class"] for r in classed.collect()}  # at most BUCKETS rows
@@ -94,30 +105,36 @@ def could_match(n: Column, i: Column, m: Column, j: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (9 * most >= 4 * (n + m))
 
 
+def first_of(sorted_tokens: Column) -> Column:
+    """What a set is looked up by."""
+    n = F.size(sorted_tokens)
+    return F.slice(sorted_tokens, F.lit(1), n - needed(n) + 1)
+
+
 def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
     """(doc, line) of every line to remove."""
-    lines = text_lines(docs, id_col, text)
-    classes = rarity(lines, width)
-    codes = F.sort_array(F.array_distinct(F.transform(tokens(F.col("body"), width), lambda t: ordered(t, classes))))
-    coded = lines.select(F.struct("doc", "line").alias("at"), codes.alias("codes"))
-    n = F.size("codes")
-    keyed = stage(coded.select("at", n.alias("n"), F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"),
-                               F.slice("codes", F.lit(1), n - needed(n) + 1).alias("prefix")), "line-keys")
+    codes = F.sort_array(F.array_distinct(tokens(F.col("body"), width)))
+    coded = text_lines(docs, id_col, text).select(F.struct("doc", "line").alias("at"), codes.alias("codes"))
+    keyed = stage(coded.select("at", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"), first_of(F.col("codes")).alias("prefix")), "line-keys")
     # equal sets: h1 and h2 together name a set
-    sets = stage(keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")), "sets")
-    copied = sets.filter(F.col("first") < F.col("last")).select("h1", "h2", "first")
+    sets = stage(keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("lines")), "sets")
+    copied = sets.filter("lines > 1").select("h1", "h2", "first")
     equal = keyed.filter(maybe_seen(seen_filter(copied, "h1"), F.col("h1"))).join(copied, ["h1", "h2"]).filter(F.col("at") != F.col("first")).select("at.doc", "at.line")
 
-    # keys that different sets share; only their rows go on
-    keys = keyed.select("h1", "h2", "n", F.posexplode("prefix").alias("i", "key"))
+    # sets that share a key with a different one; only these go on
+    keys = keyed.select("h1", "h2", F.explode_outer("prefix").alias("key"))
     shared = stage(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "shared-keys")
-    common = stage(keys.filter(maybe_seen(seen_filter(shared, "key"), F.col("key"))).join(shared, "key", "left_semi").distinct(), "common")
+    common = keys.filter(maybe_seen(seen_filter(shared, "key"), F.col("key"))).join(shared, "key", "left_semi").select("h1", "h2").distinct()
     # numbers that rise with the order of the sets' first lines
-    places = sets.join(common.select("h1", "h2").distinct(), ["h1", "h2"]).select("h1", "h2", F.col("first").alias("at"))
+    places = sets.join(common, ["h1", "h2"], "left_semi").select(F.col("first").alias("at"))
     first = stage(places.repartitionByRange("at").sortWithinPartitions("at").withColumn("nr", F.monotonically_increasing_id()), "first-lines")
-    numbered = stage(common.join(first.select("h1", "h2", "nr"), ["h1", "h2"]).select("key", "nr", "n", "i"), "numbered")
-    met = stage(numbered.join(numbered.groupBy("key").agg(F.min("nr").alias("centre")), "key"), "met")
-    tokens_of = line_sets(docs, id_col, text, width, first.select("nr", "at"))
+    tokens_of = line_sets(docs, id_col, text, width, first)
+
+    classes = rarity(tokens_of)
+    rare_first = tokens_of.select("nr", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", lambda t: ordered(t, classes))).alias("codes"))
+    numbered = stage(rare_first.select("nr", "n", F.posexplode_outer(first_of(F.col("codes"))).alias("i", "key")), "numbered")
+    centres = numbered.groupBy("key").agg(F.min("nr").alias("centre"), F.max("nr").alias("last")).filter("centre < last").select("key", "centre")
+    met = stage(numbered.join(centres, "key"), "met")
 
     a, b = met.alias("a"), met.alias("b")
     fits = could_match(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"))

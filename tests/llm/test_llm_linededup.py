@@ -65,5 +65,25 @@ def test_prefix_and_positions_lose_no_match(n):
                 assert same > n - p and same > m - q and 5 * n >= 4 * m
 
 
+def test_lines_that_share_no_token_are_not_counted(spark, monkeypatch):
+    """Only sets that share a key with a different one are hashed again, counted and ordered by rarity."""
+    counted, rarity = [], linededup.rarity
+    monkeypatch.setattr(linededup, "rarity", lambda sets, *more: counted.append(sets.count()) or rarity(sets, *more))
+    alone = [(i, " ".join(f"own{i}_{k}" for k in range(30))) for i in range(50)]
+    near = [" ".join(f"near{k}" for k in range(40)), " ".join(f"near{k}" for k in range(41))]
+    rows = alone + [(60, near[0]), (61, near[1]), (62, alone[3][1])]
+    got = linededup.remove_lines(spark.createDataFrame([(i, t, 1, "k", "l") for i, t in rows], ROWS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute(rows)
+    assert counted == [2]
+
+
+def test_all_blanks_part_words(spark):
+    words = [f"v{k}" for k in range(12)]
+    rows = [(1, " ".join(words)), (2, "\t" + "\t".join(words) + " \r"), (3, "  " + "\x0b \f".join(words) + "\n\t\r\x0b\f\n"), (4, "\u00a0" + " ".join(words[:4])),
+            (5, " ".join(words[:4])), (6, "a\x1cb"), (7, "a b"), (8, "\x1c"), (9, "\x1c \n "), (10, "")]
+    got = linededup.remove_lines(spark.createDataFrame([(i, t, 1, "k", "l") for i, t in rows], ROWS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute(rows)
+
+
 def test_empty(spark):
     assert linededup.remove_lines(spark.createDataFrame([], ROWS)).count() == 0
