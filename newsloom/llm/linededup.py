@@ -116,25 +116,26 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     codes = F.sort_array(F.array_distinct(tokens(F.col("body"), width)))
     coded = text_lines(docs, id_col, text).select(F.struct("doc", "line").alias("at"), codes.alias("codes"))
     keyed = stage(coded.select("at", F.xxhash64("codes").alias("h1"), F.xxhash64(F.lit(7), "codes").alias("h2"), first_of(F.col("codes")).alias("prefix")), "line-keys")
-    # equal sets: h1 and h2 together name a set
-    sets = stage(keyed.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("lines")), "sets")
-    copied = sets.filter("lines > 1").select("h1", "h2", "first")
-    equal = keyed.filter(maybe_seen(seen_filter(copied, "h1"), F.col("h1"))).join(copied, ["h1", "h2"]).filter(F.col("at") != F.col("first")).select("at.doc", "at.line")
-
-    # sets that share a key with a different one; only these go on
-    keys = keyed.select("h1", "h2", F.explode_outer("prefix").alias("key"))
+    # equal sets: h1 and h2 together name a set; only sets that come twice are ordered by line
+    copied = stage(keyed.groupBy("h1", "h2").count().filter("count > 1").select("h1"), "copied")
+    copies = keyed.select("at", "h1", "h2").filter(maybe_seen(seen_filter(copied, "h1"), F.col("h1")))
+    firsts = copies.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.count("*").alias("lines")).filter("lines > 1").select("h1", "h2", "first")
+    equal = stage(copies.join(stage(firsts, "first-copies"), ["h1", "h2"]).filter(F.col("at") != F.col("first")).select("at"), "equal")
+
+    # sets that share a key with a different one; only the first lines of these go on
+    keys = keyed.select("at", "h1", F.explode_outer("prefix").alias("key"))
     shared = stage(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).filter("low < high").select("key"), "shared-keys")
-    common = keys.filter(maybe_seen(seen_filter(shared, "key"), F.col("key"))).join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    # numbers that rise with the order of the sets' first lines
-    places = sets.join(common, ["h1", "h2"], "left_semi").select(F.col("first").alias("at"))
+    common = keys.filter(maybe_seen(seen_filter(shared, "key"), F.col("key"))).join(shared, "key", "left_semi").select("at").distinct()
+    places = stage(common.join(equal, "at", "left_anti"), "places")  # staged, for the range partitioner reads it twice
+    # numbers that rise with the order of the lines
     first = stage(places.repartitionByRange("at").sortWithinPartitions("at").withColumn("nr", F.monotonically_increasing_id()), "first-lines")
     tokens_of = line_sets(docs, id_col, text, width, first)
 
     classes = rarity(tokens_of)
     rare_first = tokens_of.select("nr", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", lambda t: ordered(t, classes))).alias("codes"))
     numbered = stage(rare_first.select("nr", "n", F.posexplode_outer(first_of(F.col("codes"))).alias("i", "key")), "numbered")
-    centres = numbered.groupBy("key").agg(F.min("nr").alias("centre"), F.max("nr").alias("last")).filter("centre < last").select("key", "centre")
-    met = stage(numbered.join(centres, "key"), "met")
+    centres = stage(numbered.groupBy("key").agg(F.min("nr").alias("centre"), F.max("nr").alias("last")).filter("centre < last").select("key", "centre"), "centres")
+    met = stage(numbered.filter(maybe_seen(seen_filter(centres, "key"), F.col("key"))).join(centres, "key"), "met")
 
     a, b = met.alias("a"), met.alias("b")
     fits = could_match(F.col("a.n"), F.col("a.i"), F.col("b.n"), F.col("b.i"))
@@ -144,7 +145,7 @@ def later_matches(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
     rest = a.filter("nr > centre").join(open_rows, (F.col("a.key") == F.col("b.key")) & (F.col("a.nr") < F.col("b.nr"))).filter(fits)
     more = verified(rest.select(F.col("a.nr").alias("x"), F.col("b.nr").alias("y")).distinct(), tokens_of)
     near = first.select("nr", "at").join(settled.union(more), F.col("nr") == F.col("y"), "left_semi").select("at.doc", "at.line")
-    return stage(equal.union(near), "later-matches")
+    return stage(equal.select("at.doc", "at.line").union(near), "later-matches")
 
 
 def line_sets(docs: DataFrame, id_col: str, text: str, width: int, wanted: DataFrame) -> DataFrame:
@@ -171,7 +172,8 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     gone = stage(later_matches(docs, id_col, text, width).groupBy("doc").agg(F.collect_set("line").alias("gone")), "gone")
     table = seen_filter(gone.select(F.xxhash64("doc").alias("d")), "d")
     plain = docs.drop("_lines")
-    count = F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long")
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    count = F.coalesce(ends + 1, F.lit(0)).cast("long")
     may = maybe_seen(table, F.xxhash64(document(id_col, text)))
     untouched = plain.filter(~may).withColumn("_lines", F.struct(count.alias("before"), F.lit(0).cast("long").alias("removed")))
     own, new = unused("_doc", plain), unused("_left", plain)

@@ -87,3 +87,22 @@ def test_all_blanks_part_words(spark):
 
 def test_empty(spark):
     assert linededup.remove_lines(spark.createDataFrame([], ROWS)).count() == 0
+
+
+def test_lines_without_a_copy_or_a_shared_token_are_not_sorted_or_joined(spark, monkeypatch):
+    """Only copied sets are ordered by line, only keys that are shared meet, and lines are numbered from a staged table."""
+    staged, stage = {}, linededup.stage
+
+    def kept(df, name):
+        done = stage(df, name)
+        staged[name] = done.count()
+        return done
+
+    monkeypatch.setattr(linededup, "stage", kept)
+    alone = [(i, " ".join(f"own{i}_{k}" for k in range(30))) for i in range(50)]
+    near = [" ".join(f"near{k}" for k in range(40)), " ".join(f"near{k}" for k in range(41))]
+    rows = alone + [(60, near[0]), (61, near[1]), (62, alone[3][1]), (63, near[0])]
+    got = linededup.remove_lines(spark.createDataFrame([(i, t, 1, "k", "l") for i, t in rows], ROWS)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == brute(rows)
+    assert (staged["first-copies"], staged["equal"], staged["places"]) == (2, 2, 2)
+    assert 0 < staged["centres"] <= staged["met"] / 2
