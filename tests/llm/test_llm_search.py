@@ -1,8 +1,10 @@
 """Search against the formula over all documents."""
 
+import functools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.llm import search
 
@@ -78,3 +80,86 @@ def test_words_are_looked_up_as_terms_are_cut():
 def test_empty(spark):
     none = spark.createDataFrame([], ROWS)
     assert search.top_k(none, none).count() == 0
+
+
+def test_texts_are_cut_once(spark):
+    cut = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        cut.add(1)
+        return text
+
+    rows = [(i, " ".join(f"w{i * j % 91}" for j in range(1, 40))) for i in range(200)]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], ROWS).repartition(2).localCheckpoint()
+    asked = docs.filter("doc_id % 10 = 0")
+    found = search.top_k(asked, docs.withColumn("text", F.udf(seen)("text")), block_bytes=500).collect()  # several blocks of queries
+    assert len({r["query_id"] for r in found}) == 20 and cut.value == 200
+
+
+@functools.cache
+def asked_and_best():
+    rows, want = corpus(), {}
+    asked = [(i, t) for i, t in rows if i is not None and (i % 20 == 0 or i > 598)]
+    for i, text in asked:
+        scores = search.bm25(text or "", [t for _, t in rows])
+        want[i] = sorted(((-round(s, 9), d is None, d or 0) for s, (d, _) in zip(scores, rows) if s > 0))[:10]
+    return rows, asked, want
+
+
+@pytest.mark.parametrize("settings", [{}, {"PIECE_DOCS": 50, "BLOCK": 4, "GROUP": 7, "HELD_DOCS": 128}, {"BLOCK": 4, "ADDED": 50, "FREQUENT": 2},
+                                      {"BLOCK": 4, "PIECE_POSTINGS": 900, "SKIPPING": 2.0, "WORTH": 0}])
+@pytest.mark.parametrize("floor", [0.0, 1.0])
+def test_shard_finds_the_best(monkeypatch, settings, floor):
+    import numpy as np
+    import pyarrow as pa
+
+    for name, value in settings.items():
+        monkeypatch.setattr(search, name, value)
+    rows, asked, want = asked_and_best()
+    queries = search.Queries([(i, 0) for i, _ in asked], [t for _, t in asked])
+    n_terms = len(queries.words)
+    batches = [pa.record_batch({"id": pa.array([i for i, _ in some], pa.int64()), "text": [t for _, t in some]}) for some in (rows[:300], rows[300:])]
+    index = list(search.forward(iter(batches), queries.words))
+    counts = next(search.frequencies(iter(index), n_terms)).to_pydict()
+    counts = dict(zip(counts["term"], counts["n"]))
+    assert counts[-1] == len(rows) and counts[-2] == sum(len(search.terms(t)) for _, t in rows)
+    df = np.array([counts.get(t, 0) for t in range(n_terms)], float)
+    block = search.Block(queries, np.log1p((len(rows) - df + 0.5) / (df + 0.5)))
+    names = block.ids[:, 0].tolist()
+    block.floor[:] = [-want[i][9][0] * floor if len(want[i]) == 10 else 0 for i in names]  # the score of the tenth reaches its floor
+    found = {}
+    for batch in search.shard(iter(index), block, counts[-2] / counts[-1], 10):
+        for r in batch.to_pylist():
+            assert names[r["place"]] == r["query"]
+            found.setdefault(r["query"], []).append((-r["score"], r["id"] is None, r["id"] or 0))
+    for i, best in want.items():
+        assert [g[1:] for g in found.get(i, [])] == [w[1:] for w in best] and [g[0] for g in found.get(i, [])] == pytest.approx([w[0] for w in best])
+
+
+def test_postings_of_a_group_are_skipped(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(search, "BLOCK", 4)
+    monkeypatch.setattr(search, "FREQUENT", 1)  # no term has a row
+    numbers = [np.array([0] * 5 + [1]) if d < 64 else np.array([2] + [1] * (d % 2)) for d in range(640)]
+    piece = search.Piece(list(range(640)), numbers, [len(x) for x in numbers], 2.0, 3)
+    add, read = search.Piece.add, []
+    monkeypatch.setattr(search.Piece, "add", lambda self, *a: read.append(int((a[3] - a[2]).sum())) or add(self, *a))
+    found = dict(piece.candidates(np.array([0, 0]), np.array([0, 2]), np.array([0, 1]), np.array([5.0, 0.1]), np.array([4.0]), np.array([1e-6]), 10,
+                                  np.empty(640, np.float32)))
+    assert len(found[0]) == 64 and sum(read) <= 64  # of 640 postings
+
+
+def test_scores_are_those_of_double_precision():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = corpus()
+    queries = search.Queries([(0, 0)], [rows[7][1]])
+    (numbers, lengths, _), = queries.numbers(iter([pa.record_batch({"text": [t for _, t in rows]})]))
+    doc, term, times = search.counted(numbers, len(queries.words))
+    lengths = np.array(lengths)
+    piece = search.Piece.of(doc, term, times, lengths, lengths.sum() / len(rows), len(queries.words))
+    df = np.bincount(term, minlength=len(queries.words))
+    weights = np.log1p((len(rows) - df + 0.5) / (df + 0.5))[queries.term] * queries.times
+    assert piece.exact(np.arange(len(rows)), queries.term, weights) == pytest.approx(search.bm25(rows[7][1], [t for _, t in rows]), abs=2e-9)
